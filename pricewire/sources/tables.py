@@ -23,6 +23,11 @@ DOCS_PER_DAY = 20            # doc_id div this ...
 CORPUS_DAYS = 30             # ... modulo this = day offset
 SIG_PCT = 100.0              # significance threshold (percent) for these tables
 INSIG_PCT = 25.0             # insignificance threshold (percent)
+# The other reference thresholds (percent) scaled by the same factor 100 as the
+# significance threshold (1 -> 100), to fit the value range of these tables.
+STOCK_SIG_PCT = 200.0        # stock table significance (reference 2)
+MC_PCT = 100.0               # up / flat / down threshold (reference 1)
+BUFFER_PCT = (20.0, 70.0)    # buffer band (reference 0.2, 0.7)
 TOPIC_K = 10                 # topic vector length taken from an embedding
 TOPIC_ALPHA = 0.05           # Dirichlet alpha written next to the gammas
 N_PREV = 20                  # history length of a labelled sample

@@ -112,12 +112,17 @@ def ngrams(tokens, max_order: int, min_order: int = 1) -> Column:
     parts = []
     for n in range(min_order, max_order + 1):
         starts = F.sequence(F.lit(1), F.size(tok) - F.lit(n - 1))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tok, i, F.lit(n)), " "))
+        grams = F.transform(starts, _gram_at(tok, n))
         # sequence(1, 0) is [1, 0] in Spark; keep only when there are enough tokens
         parts.append(F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _gram_at(tok: Column, n: int):
+    # one-argument lambda: Spark passes (element, index) to two-argument ones
+    return lambda i: F.array_join(F.slice(tok, i, F.lit(n)), " ")
+
+
 def join_tokens(tokens) -> Column:
     """Tokens back to one space-separated string."""
     return F.array_join(_col(tokens), " ")

@@ -52,29 +52,47 @@ def hash_to_long(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
+def exact_rank(df: DataFrame, order: Sequence[Column], buckets: Sequence[tuple[str, Column, bool]],
+               partition_by: Sequence[str] = (), out: str = "rank",
+               with_group_size: str | None = None) -> DataFrame:
+    """Exact 0-based ``row_number() OVER (PARTITION BY p ORDER BY order) - 1``.
+
+    ``buckets`` are ``(name, expr, ascending)`` coarsenings of a prefix of
+    ``order`` (same direction), e.g. the first hex digits of an md5 key, or a
+    frequency followed by the term's first letters.  Ranks are computed inside
+    each (partition, bucket) cell and shifted by the running count of the
+    earlier cells, taken from a small per-cell count table; no task ever
+    holds a whole group.  ``order`` must be a total order for a stable result.
+    """
+    part = list(partition_by)
+    names = [b[0] for b in buckets]
+    d = df.select("*", *[b[1].alias(b[0]) for b in buckets])
+    counts = d.groupBy(*part, *names).agg(F.count(F.lit(1)).alias("_cell_n"))
+    cell_order = [F.col(n).asc() if asc else F.col(n).desc() for n, _, asc in buckets]
+    before = Window.partitionBy(*part).orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_cell_off", F.coalesce(F.sum("_cell_n").over(before), F.lit(0)))
+    keep = [*part, *names, "_cell_off"]
+    if with_group_size:
+        offsets = offsets.withColumn(with_group_size, F.sum("_cell_n").over(Window.partitionBy(*part)))
+        keep.append(with_group_size)
+    within = Window.partitionBy(*part, *names).orderBy(*order)
+    ranked = d.withColumn("_cell_rn", F.row_number().over(within) - 1)
+    joined = ranked.join(offsets.select(*keep), on=[*part, *names], how="inner")
+    return (joined.withColumn(out, (F.col("_cell_off") + F.col("_cell_rn")).cast("long"))
+                  .drop(*names, "_cell_off", "_cell_rn"))
+
+
 def hash_rank(df: DataFrame, key: str, partition_by: Sequence[str] = (), out: str = "rank",
               tie: Sequence[str] = (), with_group_size: str | None = None,
               bucket_hex: int = RANK_BUCKET_HEX) -> DataFrame:
-    """Exact 0-based rank of each row by ``key`` (string) within ``partition_by``.
+    """Exact 0-based rank by an md5 ``key`` (string) within ``partition_by``.
 
-    ``tie`` columns break equal keys.  Optionally adds the group size.
+    The bucket is the key's first ``bucket_hex`` hex digits: uniform, so even a
+    group holding a third of all rows spreads over 16**bucket_hex cells.
     """
-    part = list(partition_by)
-    bucket = "_rank_bucket"
-    d = df.withColumn(bucket, F.substring(F.col(key), 1, bucket_hex))
-    counts = d.groupBy(*part, bucket).agg(F.count(F.lit(1)).alias("_bucket_n"))
-    before = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_bucket_off", F.coalesce(F.sum("_bucket_n").over(before), F.lit(0)))
-    cols = [*part, bucket, "_bucket_off"]
-    if with_group_size:
-        offsets = offsets.withColumn(with_group_size, F.sum("_bucket_n").over(Window.partitionBy(*part)))
-        cols.append(with_group_size)
-    offsets = offsets.select(*cols)
-    within = Window.partitionBy(*part, bucket).orderBy(F.col(key), *_cols(tie))
-    ranked = d.withColumn("_bucket_rn", F.row_number().over(within) - 1)
-    joined = ranked.join(offsets, on=[*part, bucket], how="inner")
-    return (joined.withColumn(out, (F.col("_bucket_off") + F.col("_bucket_rn")).cast("long"))
-                  .drop(bucket, "_bucket_off", "_bucket_rn"))
+    return exact_rank(df, [F.col(key), *_cols(tie)],
+                      [("_rank_bucket", F.substring(F.col(key), 1, bucket_hex), True)],
+                      partition_by=partition_by, out=out, with_group_size=with_group_size)
 
 
 def ntile_from_rank(rank: Column | str, n: Column | str, k: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricewire.plans import q_prices  # noqa: F401
+from pricewire.plans import q_prices, q_text  # noqa: F401
 from pricewire.plans.base import ORACLE, QUERIES
 
 

@@ -35,12 +35,12 @@ SERIES = """series AS (
 
 TOPICS = f"""topics AS (
   SELECT {T.TOPIC_K} AS k, vec_id AS doc_idx,
-         list_transform(embedding[1:{T.TOPIC_K}], x -> abs(CAST(x AS DOUBLE)) + {T.TOPIC_ALPHA}) AS gamma
+         list_transform(embedding[1:{T.TOPIC_K}], lambda x: abs(CAST(x AS DOUBLE)) + {T.TOPIC_ALPHA}) AS gamma
   FROM embeddings),
 topics_n AS (
   SELECT k, doc_idx,
-         list_transform(gamma, x -> (x - {T.TOPIC_ALPHA})
-             / list_sum(list_transform(gamma, y -> y - {T.TOPIC_ALPHA}))) AS topic
+         list_transform(gamma, lambda x: (x - {T.TOPIC_ALPHA})
+             / list_sum(list_transform(gamma, lambda y: y - {T.TOPIC_ALPHA}))) AS topic
   FROM topics)"""
 
 TOPICS_LONG = """topics_long AS (
@@ -81,3 +81,44 @@ def md5_key(col: str, seed) -> str:
 
 def md5_long(expr: str) -> str:
     return f"CAST(('0x' || substr({expr}, 1, 15)) AS BIGINT)"
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _chain(expr: str, rules) -> str:
+    for pat, rep in rules:
+        expr = f"regexp_replace({expr}, {_lit(pat)}, {_lit(rep)}, 'g')"
+    return expr
+
+
+def clean_text(expr: str, sentences: bool = False) -> str:
+    """T1 / T2 as DuckDB SQL (ASCII-only lower case, same rewrite order)."""
+    from pricewire.functions import text as X
+    low = f"translate({expr}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = X.CONTRACTIONS + (X.SENTENCE_MARKS if sentences else [])
+    out = _chain(low, rules)
+    out = f"regexp_replace({out}, {_lit(X.DISALLOWED)}, '', 'g')"
+    return f"regexp_replace({out}, {_lit(X.WHITESPACE_RUN)}, ' ', 'g')"
+
+
+def tokens(expr: str) -> str:
+    """T5 as DuckDB SQL (backreferences written \\1 instead of $1)."""
+    from pricewire.functions import text as X
+    rules = [(p, r.replace("$", "\\")) for p, r in X.TOKEN_SPLITS]
+    return f"list_filter(string_split_regex({_chain(expr, rules)}, '\\s+'), lambda x: x <> '')"
+
+
+CLEAN_DOCS = f"""cd AS (
+  SELECT doc_idx, company, date, {clean_text('text')} AS clean FROM coll),
+toks AS (
+  SELECT doc_idx, company, date, clean, {tokens('clean')} AS tokens FROM cd WHERE length(clean) > 0)"""
+
+WORD_FREQ = """wf AS (SELECT term, count(*) AS freq FROM (SELECT unnest(tokens) AS term FROM toks) GROUP BY term)"""
+
+
+def vocab(size: int | None) -> str:
+    q = "row_number() OVER (ORDER BY freq DESC, term ASC) - 1"
+    lim = f" QUALIFY idx < {size}" if size is not None else ""
+    return f"vocab AS (SELECT term, CAST({q} AS BIGINT) AS idx, freq FROM wf{lim})"

@@ -127,3 +127,34 @@ def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("row_idx"), (F.col("label") % 2).cast("double").alias("label"),
                     F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+
+
+def article_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(company, _id, pub_date, file_no, line_no)`` crawl metadata.
+
+    Every document appears in file 0 with its corpus day; every fourth one is
+    repeated in file 1 with the next day, which de-duplication must drop.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    day = corpus_day(F.col("doc_id"))
+    first = d.select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("_id"),
+                     F.concat(day.cast("string"), F.lit("T12:00:00Z")).alias("pub_date"),
+                     F.lit(0).alias("file_no"), F.col("doc_id").alias("line_no"))
+    again = d.where(F.col("doc_id") % 4 == 0).select(
+        F.col("source").alias("company"), F.col("doc_id").cast("string").alias("_id"),
+        F.concat(F.date_add(day, 1).cast("string"), F.lit("T08:30:00Z")).alias("pub_date"),
+        F.lit(1).alias("file_no"), F.col("doc_id").alias("line_no"))
+    return first.unionByName(again)
+
+
+def article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(company, _id, text)`` article bodies; every fifth repeated verbatim,
+    every seventh also present with a changed text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    base = d.select(F.col("source").alias("company"), F.col("doc_id").cast("string").alias("_id"), "text")
+    dup = d.where(F.col("doc_id") % 5 == 0).select(
+        F.col("source").alias("company"), F.col("doc_id").cast("string").alias("_id"), "text")
+    changed = d.where(F.col("doc_id") % 7 == 0).select(
+        F.col("source").alias("company"), F.col("doc_id").cast("string").alias("_id"),
+        F.concat("text", F.lit(" (updated)")).alias("text"))
+    return base.unionByName(dup).unionByName(changed)

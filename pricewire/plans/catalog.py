@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricewire.plans import q_prices, q_text, q_topics  # noqa: F401
+from pricewire.plans import q_prices, q_splits, q_text, q_topics  # noqa: F401
 from pricewire.plans.base import ORACLE, QUERIES
 
 

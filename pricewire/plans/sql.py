@@ -48,14 +48,11 @@ TOPICS_LONG = """topics_long AS (
 
 LABELS3 = """lab AS (SELECT doc_id AS doc_idx, quality, toxic, quality - toxic AS label3 FROM labels)"""
 
-PREDICTIONS = """preds AS (
-  SELECT 'a' AS run_id, doc_idx AS row_idx, label3 AS label,
-         CAST(CASE WHEN doc_idx % 10 < 6 THEN label3 ELSE doc_idx % 3 - 1 END AS INTEGER) AS prediction
-  FROM lab
-  UNION ALL
-  SELECT 'b', doc_idx, label3,
-         CAST(CASE WHEN (doc_idx // 10) % 10 < 7 THEN label3 ELSE (doc_idx // 3) % 3 - 1 END AS INTEGER)
-  FROM lab)"""
+PREDICTIONS = "preds AS (\n" + "\n  UNION ALL\n".join(
+    f"""  SELECT '{run}' AS run_id, doc_idx AS row_idx, label3 AS label,
+         CAST(CASE WHEN (doc_idx // {div}) % 10 < {right} THEN label3 ELSE (doc_idx // {guess}) % 3 - 1 END
+              AS INTEGER) AS prediction FROM lab"""
+    for run, div, right, guess in T.PREDICTION_RUNS) + ")"
 
 
 def with_(*ctes: str) -> str:

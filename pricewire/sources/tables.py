@@ -105,21 +105,29 @@ def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("quality") - F.col("toxic")).alias("label3"))
 
 
-def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(run_id, row_idx, label, prediction)`` of two fixed "models".
+# Fixed rule of the prediction fixture: run -> (divisor, right below, guess divisor).
+# A run is right on a document when (doc_idx div divisor) % 10 < right_below,
+# otherwise it guesses (doc_idx div guess) % 3 - 1.
+PREDICTION_RUNS = [
+    ("change_a", 1, 6, 1),
+    ("change_b", 10, 7, 3),
+    ("hist_a", 3, 5, 7),
+    ("hist_b", 7, 8, 11),
+]
 
-    Model ``a`` is right when ``doc_id % 10 < 6``, model ``b`` when
-    ``(doc_id div 10) % 10 < 7``; otherwise each guesses from the id.
-    """
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run_id, row_idx, label, prediction)`` of four fixed three-class "models"
+    over the labelled documents (label = quality - toxic)."""
     lab = class_labels(spark, sf_dir)
     d = F.col("doc_idx")
-    pa = F.when(d % 10 < 6, F.col("label3")).otherwise(d % 3 - 1)
-    pb = F.when(F.floor(d / 10) % 10 < 7, F.col("label3")).otherwise(F.floor(d / 3) % 3 - 1)
-    a = lab.select(F.lit("a").alias("run_id"), d.alias("row_idx"), F.col("label3").alias("label"),
-                   pa.cast("int").alias("prediction"))
-    b = lab.select(F.lit("b").alias("run_id"), d.alias("row_idx"), F.col("label3").alias("label"),
-                   pb.cast("int").alias("prediction"))
-    return a.unionByName(b)
+    out = None
+    for run, div, right, guess in PREDICTION_RUNS:
+        pred = F.when(F.floor(d / div) % 10 < right, F.col("label3")).otherwise(F.floor(d / guess) % 3 - 1)
+        part = lab.select(F.lit(run).alias("run_id"), d.alias("row_idx"), F.col("label3").alias("label"),
+                          pred.cast("int").alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricewire.plans import q_eval, q_prices, q_splits, q_terms, q_text, q_topics  # noqa: F401
+from pricewire.plans import q_eval, q_models, q_prices, q_splits, q_terms, q_text, q_topics  # noqa: F401
 from pricewire.plans.base import ORACLE, QUERIES
 
 

@@ -30,6 +30,14 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 
+# ---------------------------------------------------------------------------
+# The reference's grids and settings.
+LOGISTIC_C = [0.001, 0.01, 0.1, 1, 10, 100, 1000]
+LOGISTIC_MAX_ITER = 500
+SVM_C = [2.0 ** e for e in range(-5, 10)]        # 2^-5 .. 2^9
+SVM_GAMMA = [2.0 ** e for e in range(-10, 3)]    # 2^-10 .. 2^2
+# ---------------------------------------------------------------------------
+
 # Grid points fitted at the same time (independent Spark jobs, like
 # ``CrossValidator(parallelism=...)``); each fit is itself distributed.
 GRID_PARALLELISM = 8

@@ -62,8 +62,8 @@ def sample_blocks(spark, sf_dir):
     t = T.topics(spark, sf_dir)
     c = TP.topic_change_prev(s, t, KEY)
     arr = (c.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "today", "change"))).alias("_c"))
-            .select(*KEY, F.transform("_c", lambda r: r["today"]).alias("today"),
-                    F.transform("_c", lambda r: r["change"]).alias("change")))
+            .select(*KEY, F.transform("_c", lambda r: r["today"]).alias("topic_today"),
+                    F.transform("_c", lambda r: r["change"]).alias("topic_change")))
     s = s.join(arr, list(KEY), "inner")
     s = _md5_split(s)
     return (s.withColumn("stock1", M.stock_block("changes", 1))
@@ -98,7 +98,7 @@ SELECT symbol, date, CAST(j AS INTEGER) AS j, round(value, 6) AS value FROM (
     ON d.doc_idx = s.doc_idx, range(1, 6) r(k))""")
 def q_hstack_features(spark, sf_dir):
     """today's topics and five stock changes assembled into one vector (VectorAssembler)."""
-    b = M.assemble(sample_blocks(spark, sf_dir), ["today", "stock5"], "fv")
+    b = M.assemble(sample_blocks(spark, sf_dir), ["topic_today", "stock5"], "fv")
     out = M.to_array(b, "fv", "arr").select(*KEY, F.posexplode("arr").alias("j", "value"))
     return rounded(out)
 
@@ -234,12 +234,12 @@ def q_var_price_regression_n1(spark, sf_dir):
 
 
 SWEEP_SETS = [
-    ("topics today", ["today"]),
-    ("topic change", ["change"]),
-    ("change + topic distribution", ["change", "today"]),
+    ("topics today", ["topic_today"]),
+    ("topic change", ["topic_change"]),
+    ("change + topic distribution", ["topic_change", "topic_today"]),
     ("stock t=1", ["stock1"]),
     ("stock t=5", ["stock5"]),
-    ("topics today + stock t=1", ["today", "stock1"]),
+    ("topics today + stock t=1", ["topic_today", "stock1"]),
 ]
 
 
@@ -257,9 +257,9 @@ def q_tune_all_feature_sets(spark, sf_dir):
             name, blocks = item
             a = M.assemble(data, blocks)
             res, best = M.tune_svm_linear(a.where(F.col("split") == 0), a.where(F.col("split") == 1),
-                                          M.SVM_C[::2])
+                                          M.SVM_C[::3])
             return [(name, c, acc, c == best) for c, acc in res]
 
-        chosen = [x for x in SWEEP_SETS if "topic" in x[0]]
+        chosen = [x for x in SWEEP_SETS if x[0] in ("topic change", "change + topic distribution")]
         rows = [r for part in M.grid_map(one, chosen, 2) for r in part]
     return spark.createDataFrame(rows, "features string, C double, valid_acc double, best boolean")

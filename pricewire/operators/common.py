@@ -32,10 +32,16 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it small; else leave the choice to AQE."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def checked_broadcast(df: DataFrame, bound: int | None = None,
+                      max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when its row count is bounded by construction
+    (``bound``: e.g. a vocabulary limited to n terms, a class table) and the
+    bound is small.  Without a proven bound no hint is given: the planner's
+    size estimate and AQE's runtime statistics decide (and fall back to a
+    shuffled join for a big side).  No extra job is run to count rows."""
+    if bound is not None and bound <= max_rows:
+        return F.broadcast(df)
+    return df
 
 
 def random_key(id_col, seed) -> Column:

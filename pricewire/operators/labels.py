@@ -29,8 +29,9 @@ def join_symbol_company(prices: DataFrame, symbol_map: DataFrame, strict: bool =
     """Attach the company of each symbol; unmapped symbols are dropped.
 
     ``strict=True`` keeps them with a NULL company and fails the job on the
-    first one (the stock-table behaviour).  The map is broadcast only after
-    its row count is checked.
+    first one (the stock-table behaviour).  The map has no size bound of its
+    own, so the join strategy is left to the planner and AQE (a listing of
+    symbols is tiny and becomes a broadcast hash join at runtime).
     """
     m = checked_broadcast(symbol_map.select("symbol", "company"))
     if not strict:

@@ -58,9 +58,10 @@ def given_vocab(scores: DataFrame, top_k: int) -> DataFrame:
                       out="idx").select("term", "idx")
 
 
-def bow_counts(counts: DataFrame, vocab: DataFrame, keys=("row_idx",)) -> DataFrame:
-    """``(keys..., idx, cnt)`` restricted to the vocabulary."""
-    v = checked_broadcast(vocab.select("term", "idx"))
+def bow_counts(counts: DataFrame, vocab: DataFrame, keys=("row_idx",), bound: int | None = None) -> DataFrame:
+    """``(keys..., idx, cnt)`` restricted to the vocabulary (broadcast when
+    its size is bounded: ``max_features`` / ``top_k``)."""
+    v = checked_broadcast(vocab.select("term", "idx"), bound)
     return counts.join(v, "term", "inner").select(*keys, "idx", "cnt")
 
 

@@ -63,23 +63,24 @@ def vocab_coverage(freq: DataFrame, vocab: DataFrame) -> DataFrame:
                  F.count(F.col("_in")).cast("long").alias("vocab_terms"))
 
 
-def _vocab_side(vocab: DataFrame) -> DataFrame:
-    return checked_broadcast(vocab.select("term", "idx"))
+def _vocab_side(vocab: DataFrame, bound: int | None) -> DataFrame:
+    return checked_broadcast(vocab.select("term", "idx"), bound)
 
 
-def filter_vocab(docs: DataFrame, vocab: DataFrame, keys=("doc_idx",)) -> DataFrame:
+def filter_vocab(docs: DataFrame, vocab: DataFrame, keys=("doc_idx",), bound: int | None = None) -> DataFrame:
     """Per document, the in-vocabulary tokens in order (repeats kept), long form
-    ``(keys..., pos, term, idx)``."""
-    return token_rows(docs, keys=keys).join(_vocab_side(vocab), "term", "inner")
+    ``(keys..., pos, term, idx)``.  ``bound`` = the vocabulary's size limit, when
+    it has one (then it is broadcast)."""
+    return token_rows(docs, keys=keys).join(_vocab_side(vocab, bound), "term", "inner")
 
 
-def raw_corpus(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def raw_corpus(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """K3: ``(doc_idx, company, date, text)`` with only vocabulary words, space separated.
 
     Documents without any vocabulary word keep an empty text (left join).
     The regroup is by document, so a task holds one document at a time.
     """
-    kept = filter_vocab(docs, vocab)
+    kept = filter_vocab(docs, vocab, bound=bound)
     grouped = (kept.groupBy("doc_idx")
                    .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_t")))
     text = F.coalesce(F.array_join(F.transform("_t", lambda s: s["term"]), " "), F.lit(""))
@@ -87,21 +88,21 @@ def raw_corpus(docs: DataFrame, vocab: DataFrame) -> DataFrame:
                 .select("doc_idx", "company", "date", text.alias("text")))
 
 
-def doc_term(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def doc_term(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """A6 (long form): ``(doc_idx, idx, freq)`` per document and vocabulary index."""
-    return filter_vocab(docs, vocab).groupBy("doc_idx", "idx").agg(F.count(F.lit(1)).alias("freq"))
+    return filter_vocab(docs, vocab, bound=bound).groupBy("doc_idx", "idx").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def doc_term_summary(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def doc_term_summary(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """Number of distinct vocabulary words per document (0 when none)."""
-    n = doc_term(docs, vocab).groupBy("doc_idx").agg(F.count(F.lit(1)).alias("n_unique"))
+    n = doc_term(docs, vocab, bound).groupBy("doc_idx").agg(F.count(F.lit(1)).alias("n_unique"))
     return (docs.select("doc_idx").join(n, "doc_idx", "left")
                 .select("doc_idx", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique")))
 
 
-def doc_term_lines(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def doc_term_lines(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """K4: ``{n_unique} {idx:freq} ...`` per document, ascending idx; empty doc gives ``0 ``."""
-    dt = doc_term(docs, vocab)
+    dt = doc_term(docs, vocab, bound)
     g = dt.groupBy("doc_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "freq"))).alias("_p"))
     pairs = F.transform("_p", lambda s: F.concat(s["idx"].cast("string"), F.lit(":"), s["freq"].cast("string")))
     line = F.concat(F.size("_p").cast("string"), F.lit(" "),

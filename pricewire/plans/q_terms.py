@@ -11,33 +11,36 @@ from pricewire.plans import sql as S
 from pricewire.plans.base import query, rounded
 from pricewire.plans.q_splits import DS, SPLIT, dated_split
 from pricewire.plans.q_text import corpus
+from pricewire.session import cut_lineage
 
 MAX_FEATURES = 1000
 TOP_K = 100
 
 
 def text_dataset(spark, sf_dir):
-    """``(row_idx, split, label, text)``: cleaned, tokenised document text per labelled row."""
+    """``(row_idx, split, label, text)``: cleaned, tokenised document text per
+    labelled row, written once (reliable checkpoint): every term query reads it
+    several times (vocabulary, counts, document totals)."""
     sp = dated_split(spark, sf_dir).select("row_idx", "split", "label")
     c = corpus(spark, sf_dir).select(F.col("doc_idx").alias("row_idx"), X.join_tokens("tokens").alias("text"))
-    return sp.join(c, "row_idx", "inner")
+    return cut_lineage(sp.join(c, "row_idx", "inner"))
 
 
-def counts(spark, sf_dir, ngram_max=1):
-    return O.doc_term_counts(text_dataset(spark, sf_dir), ngram_max=ngram_max)
+def counts(ds, ngram_max=1):
+    return O.doc_term_counts(ds, ngram_max=ngram_max)
 
 
-def train_docs(spark, sf_dir):
-    return text_dataset(spark, sf_dir).where(F.col("split") == 0)
+def train_docs(ds):
+    return ds.where(F.col("split") == 0)
 
 
-def train_counts(spark, sf_dir, ngram_max=1):
-    d = train_docs(spark, sf_dir).select("row_idx")
-    return counts(spark, sf_dir, ngram_max).join(d, "row_idx", "left_semi")
+def train_counts(ds, ngram_max=1, all_counts=None):
+    c = counts(ds, ngram_max) if all_counts is None else all_counts
+    return c.join(train_docs(ds).select("row_idx"), "row_idx", "left_semi")
 
 
-def chi2(spark, sf_dir):
-    return O.chi2_scores(train_counts(spark, sf_dir), train_docs(spark, sf_dir))
+def chi2(ds):
+    return O.chi2_scores(train_counts(ds), train_docs(ds))
 
 
 _VT = "regexp_extract_all(lower(text), '\\b\\w\\w+\\b')"
@@ -73,18 +76,20 @@ chi AS (
 SELECT c.row_idx, v.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN voc v USING (term)""")
 def q_bow_counts(spark, sf_dir):
     """term counts with a vocabulary learned on train (top 1000), used for every split."""
-    c = counts(spark, sf_dir)
-    vocab = O.learn_vocab(train_counts(spark, sf_dir), MAX_FEATURES)
-    return O.bow_counts(c, vocab).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
+    ds = text_dataset(spark, sf_dir)
+    c = counts(ds)
+    vocab = O.learn_vocab(train_counts(ds, all_counts=c), MAX_FEATURES)
+    return O.bow_counts(c, vocab, bound=MAX_FEATURES).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
 
 
 @query("ngram_counts", _DOCS + ", " + _cnt_sql(2) + ", " + _vocab_sql() + """
 SELECT c.row_idx, v.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN voc v USING (term)""")
 def q_ngram_counts(spark, sf_dir):
     """F2 + T7: uni- and bigram counts, vocabulary learned on train."""
-    c = counts(spark, sf_dir, 2)
-    vocab = O.learn_vocab(train_counts(spark, sf_dir, 2), MAX_FEATURES)
-    return O.bow_counts(c, vocab).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
+    ds = text_dataset(spark, sf_dir)
+    c = counts(ds, 2)
+    vocab = O.learn_vocab(train_counts(ds, 2, all_counts=c), MAX_FEATURES)
+    return O.bow_counts(c, vocab, bound=MAX_FEATURES).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
 
 
 @query("tfidf", _DOCS + ", " + _cnt_sql() + ", " + _vocab_sql() + """,
@@ -96,8 +101,9 @@ SELECT row_idx, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_idx)), 6)
 def q_tfidf(spark, sf_dir):
     """tf-idf with the +1 idf, unit L2 rows, IDF fitted on train only."""
     d = text_dataset(spark, sf_dir)
-    vocab = O.learn_vocab(train_counts(spark, sf_dir), MAX_FEATURES)
-    bow = O.bow_counts(counts(spark, sf_dir), vocab)
+    c = counts(d)
+    vocab = O.learn_vocab(train_counts(d, all_counts=c), MAX_FEATURES)
+    bow = O.bow_counts(c, vocab, bound=MAX_FEATURES)
     return rounded(O.tfidf(bow, d, fit_where=F.col("split") == 0))
 
 
@@ -105,7 +111,7 @@ def q_tfidf(spark, sf_dir):
 SELECT term, round(score, 6) AS score FROM chi""")
 def q_chi2_scores(spark, sf_dir):
     """chi-square of every train term against the label."""
-    return rounded(chi2(spark, sf_dir))
+    return rounded(chi2(text_dataset(spark, sf_dir)))
 
 
 @query("mi_scores", _DOCS + ", " + _cnt_sql() + """,
@@ -123,7 +129,8 @@ SELECT term, round(greatest(sum(nvc / nn.n * ln(nvc * nn.n / (nv * nc))), 0), 6)
 FROM allc JOIN marg USING (term, v) JOIN cls USING (label), nn GROUP BY term""")
 def q_mi_scores(spark, sf_dir):
     """mutual information (nats) of each train term's count with the label."""
-    return rounded(O.mi_scores(train_counts(spark, sf_dir), train_docs(spark, sf_dir)))
+    ds = text_dataset(spark, sf_dir)
+    return rounded(O.mi_scores(train_counts(ds), train_docs(ds)))
 
 
 @query("select_k_best", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + f"""
@@ -131,7 +138,7 @@ SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS idx, round
 FROM (SELECT * FROM chi ORDER BY round(score, 9) DESC, term DESC LIMIT {TOP_K})""")
 def q_select_k_best(spark, sf_dir):
     """the k best chi-square terms, renumbered alphabetically."""
-    return rounded(O.select_k_best(chi2(spark, sf_dir), TOP_K))
+    return rounded(O.select_k_best(chi2(text_dataset(spark, sf_dir)), TOP_K))
 
 
 @query("order_by_score", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + """
@@ -139,7 +146,7 @@ SELECT term, round(score, 6) AS score,
        CAST(row_number() OVER (ORDER BY round(score, 9) DESC, term DESC) - 1 AS BIGINT) AS rank FROM chi""")
 def q_order_by_score(spark, sf_dir):
     """V3 / K9 order: terms by (score, term) descending with their rank."""
-    return rounded(O.order_by_score(chi2(spark, sf_dir)))
+    return rounded(O.order_by_score(chi2(text_dataset(spark, sf_dir))))
 
 
 @query("given_vocab", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + f""",
@@ -148,8 +155,9 @@ gv AS (SELECT term, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, term
 SELECT c.row_idx, g.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN gv g USING (term)""")
 def q_given_vocab(spark, sf_dir):
     """S19 + F7: counts over the first k terms of a score table (idx = score order)."""
-    vocab = O.given_vocab(chi2(spark, sf_dir), TOP_K)
-    return O.bow_counts(counts(spark, sf_dir), vocab).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
+    ds = text_dataset(spark, sf_dir)
+    vocab = O.given_vocab(chi2(ds), TOP_K)
+    return O.bow_counts(counts(ds), vocab, bound=TOP_K).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
 
 
 @query("vocab_of_dataset", S.with_(DS, SPLIT, S.COLLECTION, S.CLEAN_DOCS) + """,

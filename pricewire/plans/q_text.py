@@ -8,6 +8,7 @@ from pricewire.functions import text as X
 from pricewire.operators import text as O
 from pricewire.plans import sql as S
 from pricewire.plans.base import query, rounded
+from pricewire.session import cut_lineage
 from pricewire.sources import tables as T
 
 VOCAB_SIZE = 1000   # vocabulary size used by the registered queries
@@ -17,8 +18,16 @@ def corpus(spark, sf_dir):
     return O.clean_corpus(T.collection(spark, sf_dir))
 
 
-def vocab(spark, sf_dir, size=VOCAB_SIZE):
-    return O.vocab_topk(O.word_freq(corpus(spark, sf_dir)), size)
+def stored_corpus(spark, sf_dir):
+    """The cleaned, tokenised corpus written once (reliable checkpoint) for
+    queries that read it twice (vocabulary + documents): the regex cleaning
+    of whole documents is the expensive step and must not run twice."""
+    return cut_lineage(corpus(spark, sf_dir).select("doc_idx", "company", "date", "tokens"))
+
+
+def vocab(spark, sf_dir, size=VOCAB_SIZE, docs=None):
+    docs = corpus(spark, sf_dir) if docs is None else docs
+    return O.vocab_topk(O.word_freq(docs), size)
 
 
 _CORPUS_SQL = S.with_(S.COLLECTION, S.CLEAN_DOCS)
@@ -124,7 +133,7 @@ SELECT round(CAST((SELECT sum(freq) FROM vocab) AS DOUBLE) / (SELECT sum(freq) F
        CAST((SELECT count(*) FROM vocab) AS BIGINT) AS vocab_terms""")
 def q_vocab_coverage(spark, sf_dir):
     """Share of all tokens covered by the vocabulary."""
-    d = corpus(spark, sf_dir)
+    d = stored_corpus(spark, sf_dir)
     f = O.word_freq(d)
     return rounded(O.vocab_coverage(f, O.vocab_topk(f, VOCAB_SIZE)))
 
@@ -142,7 +151,8 @@ FROM toks t LEFT JOIN (SELECT doc_idx, string_agg(term, ' ' ORDER BY pos) AS tex
   USING (doc_idx)""")
 def q_raw_corpus(spark, sf_dir):
     """P4 + K3: in-vocabulary words of each document, order and repeats kept."""
-    return O.raw_corpus(corpus(spark, sf_dir), vocab(spark, sf_dir))
+    d = stored_corpus(spark, sf_dir)
+    return O.raw_corpus(d, vocab(spark, sf_dir, docs=d), bound=VOCAB_SIZE)
 
 
 @query("doc_term", _VOCAB_SQL + """
@@ -150,7 +160,8 @@ SELECT t.doc_idx, CAST(coalesce(n, 0) AS BIGINT) AS n_unique
 FROM toks t LEFT JOIN (SELECT doc_idx, count(DISTINCT idx) AS n FROM kept GROUP BY 1) k USING (doc_idx)""")
 def q_doc_term(spark, sf_dir):
     """Distinct vocabulary words per document (documents without any kept)."""
-    return O.doc_term_summary(corpus(spark, sf_dir), vocab(spark, sf_dir))
+    d = stored_corpus(spark, sf_dir)
+    return O.doc_term_summary(d, vocab(spark, sf_dir, docs=d), bound=VOCAB_SIZE)
 
 
 @query("doc_term_lines", _VOCAB_SQL + """
@@ -160,7 +171,8 @@ FROM toks t LEFT JOIN (
   FROM (SELECT doc_idx, idx, count(*) AS n FROM kept GROUP BY 1, 2) GROUP BY 1) k USING (doc_idx)""")
 def q_doc_term_lines(spark, sf_dir):
     """K4: ``{n_unique} {idx:freq} ...`` lines for a topic-model input."""
-    return O.doc_term_lines(corpus(spark, sf_dir), vocab(spark, sf_dir))
+    d = stored_corpus(spark, sf_dir)
+    return O.doc_term_lines(d, vocab(spark, sf_dir, docs=d), bound=VOCAB_SIZE)
 
 
 @query("corpus_stats", S.with_(S.COLLECTION) + """

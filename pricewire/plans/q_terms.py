@@ -107,11 +107,19 @@ def q_tfidf(spark, sf_dir):
     return rounded(O.tfidf(bow, d, fit_where=F.col("split") == 0))
 
 
+def _r96(c):
+    """Chi-square scores of small integer counts are often exact 7-digit ties
+    (e.g. 289/640); both sides round to 9 digits first, so float noise of the
+    two different summation orders cannot flip the 6-digit result."""
+    return F.round(F.round(c, 9), 6)
+
+
 @query("chi2_scores", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + """
-SELECT term, round(score, 6) AS score FROM chi""")
+SELECT term, round(round(score, 9), 6) AS score FROM chi""")
 def q_chi2_scores(spark, sf_dir):
     """chi-square of every train term against the label."""
-    return rounded(chi2(text_dataset(spark, sf_dir)))
+    c = chi2(text_dataset(spark, sf_dir))
+    return c.select("term", _r96(F.col("score")).alias("score"))
 
 
 @query("mi_scores", _DOCS + ", " + _cnt_sql() + """,
@@ -134,19 +142,21 @@ def q_mi_scores(spark, sf_dir):
 
 
 @query("select_k_best", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + f"""
-SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS idx, round(score, 6) AS score
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS idx, round(round(score, 9), 6) AS score
 FROM (SELECT * FROM chi ORDER BY round(score, 9) DESC, term DESC LIMIT {TOP_K})""")
 def q_select_k_best(spark, sf_dir):
     """the k best chi-square terms, renumbered alphabetically."""
-    return rounded(O.select_k_best(chi2(text_dataset(spark, sf_dir)), TOP_K))
+    k = O.select_k_best(chi2(text_dataset(spark, sf_dir)), TOP_K)
+    return k.withColumn("score", _r96(F.col("score")))
 
 
 @query("order_by_score", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + """
-SELECT term, round(score, 6) AS score,
+SELECT term, round(round(score, 9), 6) AS score,
        CAST(row_number() OVER (ORDER BY round(score, 9) DESC, term DESC) - 1 AS BIGINT) AS rank FROM chi""")
 def q_order_by_score(spark, sf_dir):
     """V3 / K9 order: terms by (score, term) descending with their rank."""
-    return rounded(O.order_by_score(chi2(text_dataset(spark, sf_dir))))
+    r = O.order_by_score(chi2(text_dataset(spark, sf_dir)))
+    return r.withColumn("score", _r96(F.col("score")))
 
 
 @query("given_vocab", _DOCS + ", " + _cnt_sql() + ", " + _CHI2_SQL + f""",

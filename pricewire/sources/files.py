@@ -7,7 +7,7 @@ dense 0-based line numbers per file without a single-task window and without
 Python: rows of one file block are contiguous in a scan partition, so a
 line's number is the count of rows in the earlier blocks of its file plus its
 offset inside its block (``monotonically_increasing_id`` minus the block's
-first id).  The per-block table is tiny and joined back by broadcast.
+first id).  The per-block table has one row per file block.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
     blocks = d.groupBy("file_path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("file_path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    j = d.join(F.broadcast(blocks.select("file_path", "_blk", "_off", "_first")), ["file_path", "_blk"])
+    # one row per file block (data size / block size): small, but it grows with
+    # the data, so the join strategy is left to the planner and AQE
+    j = d.join(blocks.select("file_path", "_blk", "_off", "_first"), ["file_path", "_blk"])
     return j.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_blk", "_mid", "_off", "_first")
 
 

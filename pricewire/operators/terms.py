@@ -28,8 +28,10 @@ def doc_term_counts(docs: DataFrame, text_col: str = "text", ngram_max: int = 1,
     # several times per element and must not re-run the regex each time
     toks = docs.select(*keys, X.vector_tokens(text_col).alias("_toks"))
     grams = X.ngrams("_toks", ngram_max) if ngram_max > 1 else F.col("_toks")
-    return (toks.select(*keys, F.explode(grams).alias("term"))
-                .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("cnt")))
+    # explode_outer: a plain explode lets the optimiser copy the token/n-gram
+    # expressions into an inferred size filter (computed twice)
+    terms = toks.select(*keys, F.explode_outer(grams).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def learn_vocab(counts: DataFrame, max_features: int | None = None) -> DataFrame:

@@ -20,21 +20,25 @@ DEFAULT_VOCAB_SIZE = 50_000
 
 def clean_corpus(coll: DataFrame, text_col: str = "text", drop_empty: bool = True) -> DataFrame:
     """T1 + T5 + P5: ``clean`` text and ``tokens``; empty cleaned documents dropped."""
-    out = coll.withColumn("clean", X.clean_text(text_col))
-    if drop_empty:
-        out = out.where(F.length("clean") > 0)
-    return out.withColumn("tokens", X.tokenize("clean"))
+    src = coll.where(X.has_clean_text(text_col)) if drop_empty else coll
+    return src.withColumn("clean", X.clean_text(text_col)).withColumn("tokens", X.tokenize("clean"))
 
 
 def token_rows(docs: DataFrame, tokens_col: str = "tokens", keys=("doc_idx",)) -> DataFrame:
-    """Long form ``(keys..., pos, term)`` of a token array."""
-    return docs.select(*keys, F.posexplode(tokens_col).alias("pos", "term"))
+    """Long form ``(keys..., pos, term)`` of a token array.
+
+    ``posexplode_outer`` + a filter on the generated column: a plain
+    ``posexplode`` makes the optimiser infer ``size(tokens) > 0`` and push it
+    below the projections, which copies the whole cleaning / tokenising chain
+    into that filter and runs it again."""
+    out = docs.select(*keys, F.posexplode_outer(tokens_col).alias("pos", "term"))
+    return out.where(F.col("pos").isNotNull())
 
 
 def word_freq(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """A5: ``(term, freq)`` over all documents (map-side partial counts)."""
-    return (docs.select(F.explode(tokens_col).alias("term"))
-                .groupBy("term").agg(F.count(F.lit(1)).alias("freq")))
+    terms = docs.select(F.explode_outer(tokens_col).alias("term")).where(F.col("term").isNotNull())
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def vocab_topk(freq: DataFrame, size: int | None = DEFAULT_VOCAB_SIZE) -> DataFrame:

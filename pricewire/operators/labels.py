@@ -154,3 +154,10 @@ def class_counts(samples: DataFrame, split_col: str = "split", label_col: str =
     """Rows per (split, label) and the label's share within its split."""
     c = samples.groupBy(split_col, label_col).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(split_col)))
+
+
+def join_sentiment(samples: DataFrame, sentiment: DataFrame, features_col: str = "features") -> DataFrame:
+    """Append the three sentiment values of a sample's document to its
+    feature array; samples without sentiment are dropped (inner join)."""
+    j = samples.join(sentiment.select("doc_idx", "sentiment"), "doc_idx", "inner")
+    return j.withColumn(features_col, F.concat(F.col(features_col), F.col("sentiment"))).drop("sentiment")

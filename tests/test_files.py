@@ -136,3 +136,13 @@ def test_stream_cleaning(spark):
     out = TS.run_to_memory(stream, "clean_docs_test", os.path.join(d, "ckpt"))
     n = spark.read.parquet(f"{src}/documents.parquet").count()
     assert 0 < out.count() <= n
+
+
+def test_join_sentiment(spark):
+    from pricewire.operators.labels import join_sentiment
+    d = _dir()
+    _write(d, "sent.csv", "a,b,7,0.1,0.2,0.7\n")
+    s = S.src_sentiment(spark, os.path.join(d, "sent.csv"))
+    samples = spark.createDataFrame([(7, [1.0, 2.0]), (8, [3.0])], "doc_idx long, features array<double>")
+    out = join_sentiment(samples, s).collect()
+    assert [(r["doc_idx"], r["features"]) for r in out] == [(7, [1.0, 2.0, 0.1, 0.2, 0.7])]

@@ -131,21 +131,30 @@ def vector_tokens(c) -> Column:
 def ngrams(tokens, max_order: int, min_order: int = 1) -> Column:
     """All n-grams of order ``min_order..max_order``, unigrams first.
 
-    Expressed with ``transform(sequence, slice)``, so it stays one projection.
+    The n-grams of order n zip n shifted slices of the token array (one pass,
+    no per-gram slice), so it stays one projection.
     """
     tok = _col(tokens)
     parts = []
     for n in range(min_order, max_order + 1):
-        starts = F.sequence(F.lit(1), F.size(tok) - F.lit(n - 1))
-        grams = F.transform(starts, _gram_at(tok, n))
-        # sequence(1, 0) is [1, 0] in Spark; keep only when there are enough tokens
+        if n == 1:
+            parts.append(tok)
+            continue
+        length = F.size(tok) - F.lit(n - 1)
+        shifted = [F.slice(tok, k + 1, length) for k in range(n)]
+        if n == 2:
+            grams = F.zip_with(shifted[0], shifted[1], lambda a, b: F.concat(a, F.lit(" "), b))
+        else:
+            zipped = F.arrays_zip(*[sh.alias(f"p{k}") for k, sh in enumerate(shifted)])
+            grams = F.transform(zipped, _join_fields(n))
+        # fewer tokens than n: no grams (slice would get a negative length)
         parts.append(F.when(F.size(tok) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def _gram_at(tok: Column, n: int):
+def _join_fields(n: int):
     # one-argument lambda: Spark passes (element, index) to two-argument ones
-    return lambda i: F.array_join(F.slice(tok, i, F.lit(n)), " ")
+    return lambda r: F.concat_ws(" ", *[r[f"p{k}"] for k in range(n)])
 
 
 def join_tokens(tokens) -> Column:

@@ -12,6 +12,7 @@ from pricewire.plans.base import query, rounded
 from pricewire.plans.q_splits import DS, SPLIT, dated_split
 from pricewire.plans.q_text import corpus
 from pricewire.session import cut_lineage
+from pricewire.sources import tables as T
 
 MAX_FEATURES = 1000
 TOP_K = 100
@@ -21,9 +22,12 @@ def text_dataset(spark, sf_dir):
     """``(row_idx, split, label, text)``: cleaned, tokenised document text per
     labelled row, written once (reliable checkpoint): every term query reads it
     several times (vocabulary, counts, document totals)."""
-    sp = dated_split(spark, sf_dir).select("row_idx", "split", "label")
-    c = corpus(spark, sf_dir).select(F.col("doc_idx").alias("row_idx"), X.join_tokens("tokens").alias("text"))
-    return cut_lineage(sp.join(c, "row_idx", "inner"))
+    sp = dated_split(spark, sf_dir).select(F.col("row_idx").alias("doc_idx"), "split", "label")
+    # join first, clean after: only labelled documents pay for the regex work
+    coll = T.collection(spark, sf_dir).join(sp, "doc_idx", "inner")
+    c = TX.clean_corpus(coll).select(F.col("doc_idx").alias("row_idx"), "split", "label",
+                                     X.join_tokens("tokens").alias("text"))
+    return cut_lineage(c)
 
 
 def counts(ds, ngram_max=1):
@@ -179,5 +183,5 @@ FROM wf""")
 def q_vocab_of_dataset(spark, sf_dir):
     """V2: word vocabulary over train + test documents (not valid), all terms ranked."""
     sp = dated_split(spark, sf_dir).where(F.col("split").isin(0, 1)).select(F.col("row_idx").alias("doc_idx"))
-    docs = corpus(spark, sf_dir).join(sp, "doc_idx", "left_semi")
+    docs = TX.clean_corpus(T.collection(spark, sf_dir).join(sp, "doc_idx", "left_semi"))
     return TX.vocab_topk(TX.word_freq(docs), None)

@@ -105,3 +105,35 @@ def q_day_corpus_file(spark, sf_dir):
     m = TX.dedup_articles(T.article_meta(spark, sf_dir)).withColumn("date", X.pub_day("pub_date"))
     K.sink_day_corpus(TX.day_articles(m).select("company", "date", "_id", "ord"), path)
     return spark.read.parquet(path).select("company", "date", "_id", "ord")
+
+
+# Fixed layout of the generated result log: run -> (k, variant) as in the
+# reference's topic log ("[Topic] k=10,  change only ...").
+RUN_LOG_LAYOUT = [("change_a", 10, "change only"), ("change_b", 10, "change + topic distribution"),
+                  ("hist_a", 15, "change only"), ("hist_b", 15, "change + topic distribution")]
+
+
+@query("run_log_tables", ORACLE["accuracy"].replace(
+    "SELECT run_id, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM preds GROUP BY run_id",
+    ", acc AS (SELECT run_id, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM preds GROUP BY run_id),\n"
+    "lay AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {k}, '{v}')" for r, k, v in RUN_LOG_LAYOUT) +
+    ") t(run_id, k, variant))\n"
+    "SELECT k, max(CASE WHEN variant = 'change only' THEN accuracy END) AS change,\n"
+    "       max(CASE WHEN variant <> 'change only' THEN accuracy END) AS dist\n"
+    "FROM acc JOIN lay USING (run_id) GROUP BY k", 1))
+def q_run_log_tables(spark, sf_dir):
+    """S16 + P6 + A12: run accuracies written as a result log in the reference's line
+    format, read back, parsed by regex and pivoted to 'change only' vs 'change + topic
+    distribution' per k."""
+    from pricewire.operators import evaluate as E
+    from pricewire.operators import runlogs as RL
+    from pricewire.plans.q_eval import preds
+    acc = E.accuracy(preds(spark, sf_dir))
+    lay = spark.createDataFrame(RUN_LOG_LAYOUT, "run_id string, k int, variant string")
+    line = F.concat(F.lit("[Topic] k="), F.col("k").cast("string"), F.lit(",  "), F.col("variant"),
+                    F.lit(" \t[Accuracy] train: "), F.format_string("%.6f", "accuracy"),
+                    F.lit(" \ttest: "), F.format_string("%.6f", "accuracy"))
+    path = _folder(spark, "runlog")
+    acc.join(F.broadcast(lay), "run_id").select(line.alias("value")).write.text(path)
+    log = S.src_run_log(spark, path)
+    return RL.pivot_change_vs_dist(log).select(F.col("k").cast("int").alias("k"), "change", "dist")

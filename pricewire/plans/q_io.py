@@ -137,3 +137,20 @@ def q_run_log_tables(spark, sf_dir):
     acc.join(F.broadcast(lay), "run_id").select(line.alias("value")).write.text(path)
     log = S.src_run_log(spark, path)
     return RL.pivot_change_vs_dist(log).select(F.col("k").cast("int").alias("k"), "change", "dist")
+
+
+@query("libsvm_roundtrip", ORACLE["topic_libsvm"].split("SELECT l.doc_id AS doc_idx")[0] + """
+SELECT CAST(l.quality AS DOUBLE) AS label, CAST(len(t.topic) AS INTEGER) AS n_features,
+       round(list_sum(list_transform(t.topic, lambda v: CAST(printf('%.6f', v) AS DOUBLE))), 6) AS total
+FROM labels l JOIN topics_n t ON t.doc_idx = l.doc_id""")
+def q_libsvm_roundtrip(spark, sf_dir):
+    """K7 + S12: topic features written as LIBSVM lines and parsed back
+    (label, number of pairs, sum of values per line)."""
+    from pricewire.operators import topics as TP
+    lab = T.class_labels(spark, sf_dir).select("doc_idx", F.col("quality").alias("label"))
+    path = _folder(spark, "libsvm")
+    K.sink_libsvm(TP.topic_libsvm(lab, T.topics(spark, sf_dir)), path)
+    back = S.src_libsvm(spark, path)
+    vals = F.map_values("features")
+    return rounded(back.select("label", F.size("features").alias("n_features"),
+                               F.aggregate(vals, F.lit(0.0), lambda a, v: a + v).alias("total")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pricewire.operators import terms as TM
 from pricewire.operators import text as TX
 from pricewire.plans import q_prices, q_splits, q_terms, q_text
+from pricewire.plans import sql as S_
 from pricewire.plans.base import ORACLE, flatten, query, rounded
 from pricewire.session import ensure_checkpoint_dir
 from pricewire.sources import files as S
@@ -154,3 +155,21 @@ def q_libsvm_roundtrip(spark, sf_dir):
     vals = F.map_values("features")
     return rounded(back.select("label", F.size("features").alias("n_features"),
                                F.aggregate(vals, F.lit(0.0), lambda a, v: a + v).alias("total")))
+
+
+@query("price_samples_roundtrip", q_prices._SERIES_SQL + f"""
+SELECT company, date, doc_idx, round(next_open, 6) AS next_open, 0 AS split,
+  {S_.lag_cols('open', T.N_PREV, 'open_', q_prices.W, default=0, rnd=6, start=0)},
+  CASE WHEN abs(change) >= {T.SIG_PCT} THEN 1 ELSE 0 END AS label
+FROM series
+QUALIFY doc_idx IS NOT NULL AND (abs(change) >= {T.SIG_PCT} OR abs(change) <= {T.INSIG_PCT})""")
+def q_price_samples_roundtrip(spark, sf_dir):
+    """K6 (price mode) + S13: price samples written as 26-column CSV and read back."""
+    s = q_prices.labelled_samples(spark, sf_dir)
+    flat = flatten(s.select("company", F.col("date").cast("string").alias("date"), "doc_idx", "next_open",
+                            "opens", "label", F.lit(0).alias("split")), "opens", T.N_PREV, "open_", start=0)
+    cols = ["company", "date", "doc_idx", "next_open", *[f"open_{i}" for i in range(T.N_PREV)], "label", "split"]
+    path = _folder(spark, "pricesamples")
+    flat.select(*cols).write.csv(path, nullValue="nan")
+    back = S.src_price_samples(spark, path)
+    return rounded(flatten(back, "opens", T.N_PREV, "open_", start=0))

@@ -76,16 +76,18 @@ def oversample(df: DataFrame, label_col: str = "label", seed=7, id_col: str = "r
     ranked = hash_rank(_keyed(base, id_col, seed), "_key", partition_by=[*part, label_col], out="_r",
                        tie=[id_col]).drop("_key")
     sizes = _class_sizes(base, label_col, part)
+    # target size and source class per partition, by windows over the small
+    # class table (no join: the partition key may be a constant)
+    wp = Window.partitionBy(*part)
     if target_class is None:
-        # source of draw numbers: the largest class (smallest label on ties)
-        tgt = (sizes.where(F.col("_n") == F.col("_nmax")).groupBy(*part)
-                    .agg(F.min(label_col).alias("_src"), F.max("_n").alias("_target")))
+        src = F.min(F.when(F.col("_n") == F.col("_nmax"), F.col(label_col))).over(wp)
+        tgt = F.col("_nmax")
     else:
-        tgt = sizes.where(F.col(label_col) == F.lit(target_class)).select(
-            *part, F.col(label_col).alias("_src"), F.col("_n").alias("_target"))
-    need = sizes.join(tgt, part, "inner").select(
-        *part, "_src", F.col(label_col).alias("_cls"), F.col("_n").alias("_ncls"),
-        (F.col("_target") - F.col("_n")).alias("_deficit"))
+        # taken from the data (not a literal) so the draw join keeps an equi-key
+        src = F.max(F.when(F.col(label_col) == F.lit(target_class), F.col(label_col))).over(wp)
+        tgt = F.max(F.when(F.col(label_col) == F.lit(target_class), F.col("_n"))).over(wp)
+    need = sizes.select(*part, src.alias("_src"), F.col(label_col).alias("_cls"), F.col("_n").alias("_ncls"),
+                        (tgt - F.col("_n")).alias("_deficit"))
     if classes is not None:
         need = need.where(F.col("_cls").isin(list(classes)))
     need = F.broadcast(need.where(F.col("_deficit") > 0))
@@ -129,16 +131,19 @@ def sample_balanced(df: DataFrame, label_col: str = "label", seed=7, id_col: str
     if not sample:
         return checked.withColumn("draw", F.lit(-1).cast("long"))
     pos = checked.where(F.col(label_col) == 1)
-    neg = _keyed(checked.where(F.col(label_col) == 0), id_col, seed).withColumn("_p", F.lit(0))
-    negr = hash_rank(neg, "_key", out="_pick", with_group_size="_nneg", tie=[id_col]).drop("_key")
-    nneg = F.broadcast(negr.select("_p", "_nneg").distinct())      # one row
-    posr = hash_rank(_keyed(pos, id_col, seed), "_key", out="draw", tie=[id_col]).select(
-        "draw", F.lit(0).alias("_p"))
+    neg = _keyed(checked.where(F.col(label_col) == 0), id_col, seed)
+    negr = hash_rank(neg, "_key", out="_pick", tie=[id_col]).drop("_key")
+    # negatives' count on every row: a window over the two-row class table,
+    # joined back on the label (an equi-join, never a cartesian product)
+    cls = checked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
+    cls = cls.select(label_col, F.coalesce(F.sum(F.when(F.col(label_col) == 0, F.col("_nc"))).over(Window.partitionBy()),
+                                           F.lit(0)).alias("_nneg"))
+    posr = hash_rank(_keyed(pos, id_col, seed), "_key", out="draw", tie=[id_col]).select(label_col, "draw")
     key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:neg")))
-    draws = posr.join(nneg, "_p", "left").withColumn(
-        "_pick", F.coalesce(hash_to_long(key) % F.col("_nneg"),
-                            F.raise_error(F.lit("no negatives to sample")).cast("long")))
-    picked = draws.join(negr.drop("_nneg"), ["_p", "_pick"], "inner").drop("_pick", "_nneg", "_p")
+    draws = posr.join(F.broadcast(cls), label_col).withColumn(
+        "_pick", F.when(F.col("_nneg") > 0, hash_to_long(key) % F.col("_nneg"))
+                  .otherwise(F.raise_error(F.lit("no negatives to sample")).cast("long")))
+    picked = draws.select("draw", "_pick").join(negr, "_pick", "inner").drop("_pick")
     out = pos.withColumn("draw", F.lit(-1).cast("long"))
     return out.unionByName(picked.select(*out.columns))
 

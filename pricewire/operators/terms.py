@@ -13,7 +13,7 @@ avoid the documents x classes cross product:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.feature import CountVectorizerModel
 
@@ -55,9 +55,10 @@ def _score_key():
 def given_vocab(scores: DataFrame, top_k: int) -> DataFrame:
     """S19 + F7: the first ``top_k`` terms of a score table (score desc, term desc);
     idx = position in that order."""
-    top = scores.orderBy(_score_key().desc(), F.col("term").desc()).limit(top_k)
-    return exact_rank(top, [_score_key().desc(), F.col("term").desc()], [("_b", F.lit(0), True)],
-                      out="idx").select("term", "idx")
+    order = [_score_key().desc(), F.col("term").desc()]
+    top = scores.orderBy(*order).limit(top_k)
+    # bounded by top_k rows: one ordered window is fine here
+    return top.select("term", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("idx"))
 
 
 def bow_counts(counts: DataFrame, vocab: DataFrame, keys=("row_idx",), bound: int | None = None) -> DataFrame:
@@ -78,14 +79,13 @@ def tfidf(bow: DataFrame, docs: DataFrame, fit_where=None, keys=("row_idx",),
     """
     g = [group_col] if group_col else []
     fit_docs = docs if fit_where is None else docs.where(fit_where)
-    n = fit_docs.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else \
-        fit_docs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.lit(0))
     fit_bow = bow.join(fit_docs.select(*keys, *g), list(keys) + g, "left_semi")
     df_ = fit_bow.groupBy(*g, "idx").agg(F.count(F.lit(1)).alias("_df"))
     if g:
-        idf = df_.join(F.broadcast(n), g)
+        n = fit_docs.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        idf = df_.join(F.broadcast(n), g)       # one row per group
     else:
-        idf = df_.withColumn("_g", F.lit(0)).join(F.broadcast(n), "_g").drop("_g")
+        idf = df_.withColumn("_n", F.lit(fit_docs.count()))   # one scalar
     idf = idf.select(*g, "idx", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
     b = bow.join(docs.select(*keys, *g), list(keys), "inner") if g else bow
     w = b.join(idf, [*g, "idx"], "inner").withColumn("_w", F.col("cnt") * F.col("_idf"))
@@ -102,11 +102,11 @@ def chi2_scores(counts: DataFrame, docs: DataFrame, label_col: str = "label",
     """per term ``sum_c (O_c - E_c)^2 / E_c``; ``O_c`` = summed counts in class c,
     ``E_c`` = class share x the term's total count."""
     classes = _class_table(docs, label_col)
-    n_docs = classes.agg(F.sum("_nc").alias("_N"))
     labelled = counts.join(docs.select(*keys, label_col), list(keys), "inner")
     obs = labelled.groupBy(term_col, label_col).agg(F.sum("cnt").cast("double").alias("_o"))
-    cls = F.broadcast(classes.withColumn("_k", F.lit(0)).join(n_docs.withColumn("_k", F.lit(0)), "_k")
-                      .select(label_col, (F.col("_nc") / F.col("_N")).alias("_p")))
+    # class shares by a window over the (few-row) class table
+    cls = F.broadcast(classes.select(label_col, (F.col("_nc") / F.sum("_nc").over(Window.partitionBy()))
+                                     .alias("_p")))
     cells = obs.join(cls, label_col, "inner")
     per_term = cells.groupBy(term_col).agg(F.sum(F.col("_o") * F.col("_o") / F.col("_p")).alias("_s"),
                                            F.sum("_o").alias("_f"))
@@ -118,20 +118,19 @@ def mi_scores(counts: DataFrame, docs: DataFrame, label_col: str = "label",
     """mutual information (nats) between a term's count in a document and the
     label, counts treated as discrete values (zero included), clipped at 0."""
     classes = _class_table(docs, label_col)
-    n_all = classes.agg(F.sum("_nc").alias("_N")).withColumn("_k", F.lit(0))
     labelled = counts.join(docs.select(*keys, label_col), list(keys), "inner")
     cells = labelled.groupBy(term_col, "cnt", label_col).agg(F.count(F.lit(1)).cast("double").alias("_nvc"))
-    kN = F.broadcast(n_all)
-    cls = F.broadcast(classes)
+    # class sizes and the total by a window over the (few-row) class table
+    cls = F.broadcast(classes.withColumn("_N", F.sum("_nc").over(Window.partitionBy())))
     # non-zero count values
     nv = cells.groupBy(term_col, "cnt").agg(F.sum("_nvc").alias("_nv"))
-    pos = (cells.join(nv, [term_col, "cnt"]).join(cls, label_col).withColumn("_k", F.lit(0)).join(kN, "_k")
+    pos = (cells.join(nv, [term_col, "cnt"]).join(cls, label_col)
            .select(term_col, (F.col("_nvc") / F.col("_N") *
                               F.log(F.col("_nvc") * F.col("_N") / (F.col("_nv") * F.col("_nc")))).alias("_mi")))
     # zero cells: per (term, present class) n_0c = N_c - docs of c with the term
     seen = cells.groupBy(term_col, label_col).agg(F.sum("_nvc").alias("_s"))
     dt = seen.groupBy(term_col).agg(F.sum("_s").alias("_dt"))
-    z = (seen.join(dt, term_col).join(cls, label_col).withColumn("_k", F.lit(0)).join(kN, "_k")
+    z = (seen.join(dt, term_col).join(cls, label_col)
          .withColumn("_n0", F.col("_N") - F.col("_dt"))
          .withColumn("_n0c", F.col("_nc") - F.col("_s")))
     zero_present = z.where(F.col("_n0c") > 0).select(
@@ -150,7 +149,8 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """the ``k`` best terms (ties: later term first, as a stable ascending
     sort keeping the last k does), renumbered alphabetically: ``(term, idx, score)``."""
     top = scores.orderBy(_score_key().desc(), F.col("term").desc()).limit(k)
-    return exact_rank(top, [F.col("term")], [("_b", F.lit(0), True)], out="idx").select("term", "idx", "score")
+    # bounded by k rows: one ordered window is fine here
+    return top.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"), "score")
 
 
 def order_by_score(scores: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@
 ``row_number() OVER (PARTITION BY g ORDER BY md5(id:seed)) - 1`` without a
 single-task window: rows are bucketed by the first hex digits of their md5
 key (uniform, so a group holding a third of all rows is still cut into
-thousands of even buckets), ranked inside each bucket, and shifted by the
+tens of thousands of even buckets), ranked inside each bucket, and shifted by the
 running count of the earlier buckets, which comes from a small
 ``(group, bucket, n)`` table.  The big side is shuffled once, on
 ``(group, bucket)``, and that same partitioning serves the offset join.
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 # Rows up to which a side is broadcast after an explicit count.
 BROADCAST_MAX_ROWS = 2_000_000
-# Hex digits of the md5 key used as rank bucket (16**3 = 4096 buckets per group).
-RANK_BUCKET_HEX = 3
+# Hex digits of the md5 key used as rank bucket: 16**4 = 65536 cells per group,
+# so a group of 10^11 rows still ranks about 1.5M rows per task, while the
+# per-cell count table stays at most 65536 rows per group.
+RANK_BUCKET_HEX = 4
 
 
 def _cols(cols) -> list[Column]:

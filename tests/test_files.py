@@ -146,3 +146,17 @@ def test_join_sentiment(spark):
     samples = spark.createDataFrame([(7, [1.0, 2.0]), (8, [3.0])], "doc_idx long, features array<double>")
     out = join_sentiment(samples, s).collect()
     assert [(r["doc_idx"], r["features"]) for r in out] == [(7, [1.0, 2.0, 0.1, 0.2, 0.7])]
+
+
+def test_line_numbers_across_file_blocks(spark):
+    d = _dir()
+    _write(d, "big.txt", "".join(f"{i}\n" for i in range(5000)))
+    _write(d, "small.txt", "".join(f"{i}\n" for i in range(7)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")     # many blocks per file
+    try:
+        df = S.with_line_numbers(spark.read.text(d))
+        bad = df.where(F.col("value").cast("long") != F.col("line_no")).count()
+        assert df.count() == 5007 and bad == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

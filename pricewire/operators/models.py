@@ -2,7 +2,7 @@
 
 Fits are distributed by Spark ML; the driver only holds parameter grids and
 metric rows.  Feature blocks stay ``array<double>`` until the fit, where they
-are assembled (``VectorAssembler``) into one ``VectorUDT`` column.
+are concatenated and turned into one ``VectorUDT`` column (``array_to_vector``).
 
 Regularisation is mapped from the reference's ``C`` (penalty on the summed
 loss) to Spark's ``regParam`` (penalty on the mean loss): ``regParam = 1/(C n)``.
@@ -16,7 +16,7 @@ from typing import Iterable, Sequence
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -84,11 +84,11 @@ def reg_param(C: float, n: int) -> float:
 
 def assemble(df: DataFrame, blocks: Sequence[str], out: str = "features") -> DataFrame:
     """join array blocks side by side into one vector column (a block left
-    out is simply not listed)."""
-    vecs = [array_to_vector(F.col(b)).alias(f"_v{i}") for i, b in enumerate(blocks)]
-    tmp = df.select("*", *vecs)
-    va = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(blocks))], outputCol=out)
-    return va.transform(tmp).drop(*[f"_v{i}" for i in range(len(blocks))])
+    out is simply not listed).  The arrays are concatenated and converted once
+    (``array_to_vector``), which needs no vector-size metadata, so it also
+    works on an empty input (``VectorAssembler`` would read a first row)."""
+    arr = F.concat(*[F.col(b) for b in blocks]) if len(blocks) > 1 else F.col(blocks[0])
+    return df.withColumn(out, array_to_vector(arr))
 
 
 def hstack_arrays(*blocks: Column) -> Column:

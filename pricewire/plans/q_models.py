@@ -97,7 +97,7 @@ SELECT symbol, date, CAST(j AS INTEGER) AS j, round(value, 6) AS value FROM (
   SELECT s.symbol, s.date, 10 + r.k - 1, s.h[r.k] FROM samp s JOIN (SELECT DISTINCT doc_idx FROM topics_long) d
     ON d.doc_idx = s.doc_idx, range(1, 6) r(k))""")
 def q_hstack_features(spark, sf_dir):
-    """today's topics and five stock changes assembled into one vector (VectorAssembler)."""
+    """today's topics and five stock changes assembled into one feature vector."""
     b = M.assemble(sample_blocks(spark, sf_dir), ["topic_today", "stock5"], "fv")
     out = M.to_array(b, "fv", "arr").select(*KEY, F.posexplode("arr").alias("j", "value"))
     return rounded(out)

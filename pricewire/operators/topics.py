@@ -164,26 +164,24 @@ def topic_features(change: DataFrame, hist: DataFrame, key: Sequence[str], alpha
     kk = F.max("i").over(Window.partitionBy(*key, "k")) + 1   # k components per sample
     c = c.withColumn("_k", kk)
 
-    def block(variant: str, offset: Column | int, value: Column):
-        off = offset if isinstance(offset, Column) else F.lit(offset)
-        return c.select(*key, "k", F.lit(variant).alias("variant"), (F.col("i") + off).alias("j"), value.alias("value"))
-
     today, chg, hs = F.col("today"), F.col("change"), F.col("hist")
-    kcol = F.col("_k")
-    parts = [
-        block("today", 0, today),
-        block("change", 0, chg),
-        block("change+today", 0, chg), block("change+today", kcol, today),
-        block("today+hist", 0, today + hs),
-        block("today|hist", 0, today), block("today|hist", kcol, hs),
-        block("change|today+hist", 0, chg), block("change|today+hist", kcol, today + hs),
-        block("change|today|hist", 0, chg), block("change|today|hist", kcol, today),
-        block("change|today|hist", kcol * 2, hs),
+    kcol, zero = F.col("_k"), F.lit(0)
+    # (variant, offset of the block, value): all seven sets from one pass over
+    # the joined rows (a generator, not a union of re-computed branches)
+    blocks = [
+        ("today", zero, today),
+        ("change", zero, chg),
+        ("change+today", zero, chg), ("change+today", kcol, today),
+        ("today+hist", zero, today + hs),
+        ("today|hist", zero, today), ("today|hist", kcol, hs),
+        ("change|today+hist", zero, chg), ("change|today+hist", kcol, today + hs),
+        ("change|today|hist", zero, chg), ("change|today|hist", kcol, today),
+        ("change|today|hist", kcol * 2, hs),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    arr = F.array(*[F.struct(F.lit(v).alias("variant"), off.cast("int").alias("off"), val.alias("value"))
+                    for v, off, val in blocks])
+    out = c.select(*key, "k", "i", F.inline(arr))
+    return out.select(*key, "k", "variant", (F.col("i") + F.col("off")).alias("j"), "value")
 
 
 def topic_libsvm(labelled: DataFrame, topics: DataFrame, label_col: str = "label",

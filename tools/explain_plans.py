@@ -29,8 +29,10 @@ def main() -> None:
         plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
         with open(os.path.join(out, f"{name}.txt"), "w") as f:
             f.write(plan)
-        n_ex = plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
-        print(f"{name}: {n_ex} shuffles, {plan.count('BroadcastExchange')} broadcasts")
+        nodes = [ln for ln in plan.splitlines() if ln[:1] == "(" and ") " in ln[:6]]
+        n_ex = sum(1 for ln in nodes if ln.split(") ", 1)[1].startswith("Exchange"))
+        n_bc = sum(1 for ln in nodes if ln.split(") ", 1)[1].startswith("BroadcastExchange"))
+        print(f"{name}: {n_ex} shuffles, {n_bc} broadcasts")
 
 
 if __name__ == "__main__":

@@ -91,12 +91,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hashes: int = HASHES, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     bits, bitmaps = _filter(docs, text_col, bits_per_row, hashes, max_filter_bits)
-    rows = probe(docs, text_col, bits, bitmaps, hashes)
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = rows.filter("_maybe").withColumn("text_sha256", F.sha2(text_of(text_col), 256)) if \
-        "text_sha256" not in docs.columns else None
-    if maybe is None:
-        raise ValueError("documents already have a column text_sha256")
-    tie = F.xxhash64(*keep)
-    rest = _resolve(maybe, id_col, tie).filter("kept")
-    return rows.filter(~F.col("_maybe")).select(*keep).unionByName(rest.select(*keep))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("doc_id"))
+    text = f"_row.`{text_col}`"
+    rows = probe(packed, text, bits, bitmaps, hashes)
+    maybe = rows.filter("_maybe").withColumn("text_sha256", F.sha2(text_of(text), 256))
+    rest = _resolve(maybe, "doc_id", F.xxhash64("_row")).filter("kept")
+    return rows.filter(~F.col("_maybe")).select("_row.*").unionByName(rest.select("_row.*"))

@@ -52,7 +52,7 @@ def extra_walks(spark: SparkSession, n: int, seed: int = SEED, rounds: int = ROU
     """Passes needed after the first one: the longest walk of the fewer than sqrt(n)+1 values outside 0..n-1."""
     a, b = grid(n)
     left, walks = spark.range(n, a * b).select(F.col("id").alias("x")), 0
-    while not left.isEmpty():
+    while n > 0 and not left.isEmpty():
         left = left.select(_permuted(F.col("x"), n, seed, rounds, invert).alias("s")).filter("not s.inside").select("s.x")
         walks += 1
     return walks

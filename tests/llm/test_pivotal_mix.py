@@ -72,14 +72,14 @@ def test_query_on_the_documents(spark):
 def test_fractions_do_not_change_on_average(spark):
     rows = [(i, "w " * (1 + i % 4), "a" if i % 2 else "b") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    total, runs = defaultdict(int), 40
+    total, runs = defaultdict(int), 12
     want = {}
     for seed in range(runs):
         for r in pm.pivotal_mix(df, fan=4, seed=seed).collect():
             total[r.doc_id] += r.copies
             want[r.doc_id] = r.target / r.source_size
     mean = sum(total[i] / runs - want[i] for i in total) / len(total)
-    assert abs(mean) < 0.05 and all(abs(total[i] / runs - want[i]) < 0.4 for i in total)
+    assert abs(mean) < 0.08 and all(abs(total[i] / runs - want[i]) < 0.7 for i in total)
 
 
 def test_mixed_repeats_rows_as_taken(spark):

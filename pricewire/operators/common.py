@@ -72,22 +72,27 @@ def exact_rank(df: DataFrame, order: Sequence[Column], buckets: Sequence[tuple[s
     earlier cells, taken from a small per-cell count table; no task ever
     holds a whole group.  ``order`` must be a total order for a stable result.
     """
-    part = list(partition_by)
-    names = [b[0] for b in buckets]
+    part, names = list(partition_by), [b[0] for b in buckets]
+    # Join keys that are never NULL, so rows with a NULL group or bucket keep their rank; shared by the
+    # windows, the counts and the join, which therefore need one shuffle of the rows.
+    keys = [f"_key_{i}" for i in range(len(part) + len(names))]
     d = df.select("*", *[b[1].alias(b[0]) for b in buckets])
-    counts = d.groupBy(*part, *names).agg(F.count(F.lit(1)).alias("_cell_n"))
+    for key, c in zip(keys, [*part, *names], strict=True):
+        d = d.withColumn(key, F.coalesce(F.col(c).cast("string"), F.lit("\x00null")))
+    groups = keys[:len(part)]
+    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cell_n"), *[F.first(n).alias(n) for n in names])
     cell_order = [F.col(n).asc() if asc else F.col(n).desc() for n, _, asc in buckets]
-    before = Window.partitionBy(*part).orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy(*cell_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_cell_off", F.coalesce(F.sum("_cell_n").over(before), F.lit(0)))
-    keep = [*part, *names, "_cell_off"]
+    keep = [*keys, "_cell_off"]
     if with_group_size:
-        offsets = offsets.withColumn(with_group_size, F.sum("_cell_n").over(Window.partitionBy(*part)))
+        offsets = offsets.withColumn(with_group_size, F.sum("_cell_n").over(Window.partitionBy(*groups)))
         keep.append(with_group_size)
-    within = Window.partitionBy(*part, *names).orderBy(*order)
+    within = Window.partitionBy(*keys).orderBy(*order)
     ranked = d.withColumn("_cell_rn", F.row_number().over(within) - 1)
-    joined = ranked.join(offsets.select(*keep), on=[*part, *names], how="inner")
+    joined = ranked.join(offsets.select(*keep), on=keys, how="inner")
     return (joined.withColumn(out, (F.col("_cell_off") + F.col("_cell_rn")).cast("long"))
-                  .drop(*names, "_cell_off", "_cell_rn"))
+                  .drop(*keys, *names, "_cell_off", "_cell_rn"))
 
 
 def hash_rank(df: DataFrame, key: str, partition_by: Sequence[str] = (), out: str = "rank",

@@ -156,7 +156,7 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
 def order_by_score(scores: DataFrame) -> DataFrame:
     """V3: terms ranked by (score, term) descending, as written to a score file."""
     return exact_rank(scores, [_score_key().desc(), F.col("term").desc()],
-                      [("_b", F.floor(F.col("score")), False)], out="rank")
+                      [("_b", F.floor(_score_key() * 10_000), False)], out="rank")
 
 
 def to_count_vectorizer(vocab: DataFrame, input_col: str = "terms", output_col: str = "features"):

@@ -27,14 +27,16 @@ PRICE_COLUMNS = ["Date", "Open", "High", "Low", "Close"]
 # ---------------------------------------------------------------------------
 
 
-def with_line_numbers(df: DataFrame, out: str = "line_no") -> DataFrame:
-    """Add the 0-based line number of each row within its file (``df`` must come
-    straight from a file scan).  Also adds ``file_path``."""
+def with_line_numbers(df: DataFrame, out: str = "line_no", whole: bool = False) -> DataFrame:
+    """Add the 0-based line number of each row within its file or, with ``whole``,
+    within the whole input in the order of the file paths, where it is a unique id
+    (``df`` must come straight from a file scan).  Also adds ``file_path``."""
     d = df.select("*", F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("_blk"),
                   F.monotonically_increasing_id().alias("_mid"))
     blocks = d.groupBy("file_path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.partitionBy("file_path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file_path", "_blk") if whole else Window.partitionBy("file_path").orderBy("_blk")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # one row per file block (data size / block size): small, but it grows with
     # the data, so the join strategy is left to the planner and AQE
@@ -104,11 +106,15 @@ def src_day_corpus(spark: SparkSession, path: str) -> DataFrame:
 def src_collection(spark: SparkSession, path: str) -> DataFrame:
     """S5 + S9: ``company \\t date \\t tokens`` lines; the line number is the
     document index; empty documents dropped after numbering."""
-    df = with_line_numbers(spark.read.text(path))
+    out = _collection_lines(spark, path)
+    return out.where(F.length("text") > 0).withColumn("tokens", F.split("text", " "))
+
+
+def _collection_lines(spark: SparkSession, path: str) -> DataFrame:
+    df = with_line_numbers(spark.read.text(path), whole=True)
     p = F.split("value", "\t")
-    out = df.select(F.col("line_no").alias("doc_idx"), p[0].alias("company"),
+    return df.select(F.col("line_no").alias("doc_idx"), p[0].alias("company"),
                     X.pub_day(p[1]).alias("date"), F.coalesce(p[2], F.lit("")).alias("text"))
-    return out.where(F.length("text") > 0).withColumn("tokens", F.split("text", " "))
 
 
 def src_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +144,7 @@ def src_listing_map(spark: SparkSession, path: str) -> DataFrame:
 
 def src_corpus_coverage(spark: SparkSession, path: str) -> DataFrame:
     """S9 + A4: ``(company, date, doc_idx)`` with the corpus line number as index."""
-    c = src_collection(spark, path)
-    return c.select("company", "date", "doc_idx")
+    return _collection_lines(spark, path).select("company", "date", "doc_idx")  # every line, empty ones too
 
 
 def _sample_schema(n: int = SAMPLE_HISTORY) -> T.StructType:
@@ -183,9 +188,9 @@ def src_topic_gamma(spark: SparkSession, root: str) -> DataFrame:
 
 def src_libsvm(spark: SparkSession, path: str) -> DataFrame:
     """``label i:v ...`` with the 0-based line index: ``(row_idx, label, features map)``."""
-    df = with_line_numbers(spark.read.text(path))
+    df = with_line_numbers(spark.read.text(path), whole=True)
     toks = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
-    pairs = F.transform(F.slice(toks, 2, 1_000_000), lambda p: F.struct(
+    pairs = F.transform(F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))), lambda p: F.struct(
         F.split(p, ":")[0].cast("int").alias("k"), F.split(p, ":")[1].cast("double").alias("v")))
     return df.select(F.col("line_no").alias("row_idx"), toks[0].cast("double").alias("label"),
                      F.map_from_entries(pairs).alias("features"))
@@ -218,9 +223,9 @@ def src_label_prediction_pairs(spark: SparkSession, labels_path: str, prediction
                                run_id: str) -> DataFrame:
     """S15 + J9: true label (first token of a LIBSVM line) and prediction (one int
     per line) paired by line number."""
-    lab = with_line_numbers(spark.read.text(labels_path)).select(
+    lab = with_line_numbers(spark.read.text(labels_path), whole=True).select(
         "line_no", F.split(F.trim("value"), r"\s+")[0].cast("double").cast("int").alias("label"))
-    pred = with_line_numbers(spark.read.text(predictions_path)).select(
+    pred = with_line_numbers(spark.read.text(predictions_path), whole=True).select(
         "line_no", F.trim("value").cast("double").cast("int").alias("prediction"))
     return lab.join(pred, "line_no").select(F.lit(run_id).alias("run_id"), F.col("line_no").alias("row_idx"),
                                             "label", "prediction")
@@ -228,15 +233,15 @@ def src_label_prediction_pairs(spark: SparkSession, labels_path: str, prediction
 
 def parse_run_log(lines: DataFrame) -> DataFrame:
     """``k``, ``alpha``, ``L`` and test accuracy of result-log lines
-    (same fixed-width patterns as the reference: ``k=..``, ``alpha=...``, ``L=..?``)."""
+    (numbers are read to their end)."""
     v = F.col("value")
 
     def num(pattern: str, kind: str) -> Column:
         s = F.regexp_extract(v, pattern, 1)
         return F.when(s != "", s.try_cast(kind))
 
-    return lines.select("*", num(r"k=(..)", "int").alias("k"), num(r"alpha=(...)", "double").alias("alpha"),
-                        num(r"L=(..?)", "int").alias("L"), num(r"test: (.*)$", "double").alias("test_acc"),
+    return lines.select("*", num(r"k=([0-9]+)", "int").alias("k"), num(r"alpha=([0-9]+\.?[0-9]*)", "double").alias("alpha"),
+                        num(r"L=([0-9]+)", "int").alias("L"), num(r"test: (.*)$", "double").alias("test_acc"),
                         num(r"train: *([0-9.eE+-]+)", "double").alias("train_acc"),
                         num(r"t=([0-9]+)", "int").alias("t"))
 
@@ -270,13 +275,13 @@ def src_term_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def src_split_column(spark: SparkSession, path: str, column: int = 6) -> DataFrame:
     """``(row_idx, split)`` from column ``column`` of a split file, by line."""
-    df = with_line_numbers(spark.read.text(path))
+    df = with_line_numbers(spark.read.text(path), whole=True)
     return df.select(F.col("line_no").alias("row_idx"), F.split("value", ",")[column].cast("int").alias("split"))
 
 
 def src_labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(pos, company, doc_idx, label)`` of each labelled row, file order kept."""
-    df = with_line_numbers(spark.read.text(path))
+    df = with_line_numbers(spark.read.text(path), whole=True)
     p = F.split("value", ",")
     return df.select(F.col("line_no").alias("pos"), p[0].alias("company"), p[2].cast("long").alias("doc_idx"),
                      F.element_at(p, -1).cast("double").alias("label"))

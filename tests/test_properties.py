@@ -54,3 +54,32 @@ def test_oversampling_draws_only_minority_rows(spark):
     assert counts == {0: 83, 1: 83, -1: 83}
     drawn = o.where("draw >= 0")
     assert drawn.where("(label = 1 AND row_idx >= 7) OR (label = -1 AND row_idx < 90)").count() == 0
+
+
+def test_rows_with_null_keys_keep_their_rank(spark):
+    from pyspark.sql import functions as F
+
+    from pricewire.operators.common import hash_rank, random_key
+    rows = [(i, None if i % 10 == 0 else i % 3) for i in range(100)] + [(None, 1)] * 3
+    df = spark.createDataFrame(rows, "id long, g int").withColumn("k", random_key("id", 5))
+    got = hash_rank(df, "k", ["g"], with_group_size="n").collect()
+    assert len(got) == len(rows)
+    for g in (None, 0, 1, 2):
+        ranks = sorted(r["rank"] for r in got if r.g == g)
+        assert ranks == list(range(len(ranks))) and {r.n for r in got if r.g == g} == {len(ranks)}
+    assert df.filter(F.col("k").isNull()).count() == 3
+
+
+def test_line_ids_are_unique_over_files_and_long_lines_are_whole(spark, tmp_path):
+    from pricewire.sources import files
+    for name in ("a", "b"):
+        (tmp_path / f"part-{name}.txt").write_text("1 1:2\n0 2:3\n1 3:4\n")
+    (tmp_path / "part-c.txt").write_text("1 " + " ".join(f"{i}:1" for i in range(1, 1_000_006)) + "\n")
+    got = files.src_libsvm(spark, str(tmp_path)).selectExpr("row_idx", "size(features) n").collect()
+    assert sorted(r.row_idx for r in got) == list(range(7)) and max(r.n for r in got) == 1_000_005
+
+
+def test_run_log_numbers_are_read_to_their_end(spark):
+    from pricewire.sources.files import parse_run_log
+    r = parse_run_log(spark.createDataFrame([("k=100, alpha=0.95, L=120",)], "value string")).first()
+    assert (r.k, r.alpha, r.L) == (100, 0.95, 120)

@@ -100,8 +100,7 @@ def anchors(templates=TEMPLATES, t: Fraction = MIN_DICE) -> list[str]:
     return sorted(chosen)
 
 
-def _bigrams(norm: Column) -> Column:
-    words = F.split(norm, " ")
+def _bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)),
                        lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>")))
@@ -135,17 +134,18 @@ def licence_scan(docs: DataFrame, templates=TEMPLATES, min_dice: Fraction = MIN_
                         best["name"].alias("licence"), u["unit"].alias("unit"), u["no"].alias("unit_no"))
 
     def units(parts: Column, kind: str) -> Column:
-        made = F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("no"),
-                                                        _bigrams(normalised(x)).alias("grams")))
+        worded = F.transform(parts, lambda x: F.split(normalised(x), " "))  # once per unit, then used by name
+        made = F.transform(worded, lambda w, i: F.struct(F.lit(kind).alias("unit"), i.alias("no"),
+                                                         _bigrams(w).alias("grams")))
         return F.filter(made, lambda u: F.size(u["grams"]) >= least)
 
-    raw = F.translate(F.col("text"), *AZ)
     has = F.lit(False)
     for w in anchors(templates, min_dice):
-        has = has | F.contains(raw, F.lit(w))
+        has = has | F.contains(F.col("_lower"), F.lit(w))
     none = F.array().cast("array<string>")
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.withColumn("text", F.when(has, F.col("text")))  # null: settled, no licence
+    d = d.withColumn("_lower", F.translate("text", *AZ))  # a column of its own, so it is made once per text
+    d = d.withColumn("text", F.when(has, F.col("text"))).drop("_lower")  # null: settled, no licence
     d = d.withColumn("_lines", F.split("text", "\n")).withColumn("_paras", F.split("text", r"\n[ \t\r]*\n"))
     d = d.withColumn("_whole", F.when(F.size("_paras") > 1, F.array("text")).otherwise(none))
     d = d.withColumn("_paras", F.when(F.size("_lines") > 1, F.filter("_paras", lambda p: F.contains(p, F.lit("\n"))))

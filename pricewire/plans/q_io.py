@@ -28,15 +28,14 @@ def _folder(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex}"
 
 
-@query("src_labelled_samples", ORACLE["label_significance"].replace(
-    "CASE WHEN abs(change) >=", "0 AS split, CASE WHEN abs(change) >=", 1))
+@query("src_labelled_samples", "SELECT * EXCLUDE (symbol) FROM (" + ORACLE["label_significance"].replace(
+    "CASE WHEN abs(change) >=", "0 AS split, CASE WHEN abs(change) >=", 1) + ")")
 def q_src_labelled_samples(spark, sf_dir):
-    """K6 + S10: the labelled sample written as 46-column CSV and read back."""
+    """K6 + S10: the labelled sample written as 46-column CSV and read back (the format holds the company, not the symbol)."""
     path = _folder(spark, "samples")
     K.sink_labelled_samples(q_prices.labelled_samples(spark, sf_dir).withColumn("split", F.lit(0)), path)
-    back = S.src_labelled_samples(spark, path)
-    s = back.join(T.symbol_map(spark, sf_dir).select("company", "symbol"), "company")
-    s = s.select("company", "symbol", "date", "doc_idx", "change", F.slice("changes", 2, T.N_PREV).alias("hist"),
+    s = S.src_labelled_samples(spark, path)
+    s = s.select("company", "date", "doc_idx", "change", F.slice("changes", 2, T.N_PREV).alias("hist"),
                  "prev_doc_idx", "label", "split")
     s = flatten(flatten(s, "hist", T.N_PREV, "change_"), "prev_doc_idx", T.N_PREV, "prev_doc_")
     return rounded(s)

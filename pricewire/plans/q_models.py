@@ -90,11 +90,11 @@ _TOPIC_SAMPLES = S.with_(S.PRICES, S.SYMBOL_MAP, S.COLLECTION, S.DOCS_PER_DAY, S
   QUALIFY doc_idx IS NOT NULL AND (abs(change) >= {T.SIG_PCT} OR abs(change) <= {T.INSIG_PCT}))""")
 
 
-@query("hstack_features", _TOPIC_SAMPLES + """
+@query("hstack_features", _TOPIC_SAMPLES + f"""
 SELECT symbol, date, CAST(j AS INTEGER) AS j, round(value, 6) AS value FROM (
   SELECT s.symbol, s.date, t.i - 1 AS j, t.v AS value FROM samp s JOIN topics_long t ON t.doc_idx = s.doc_idx
   UNION ALL
-  SELECT s.symbol, s.date, 10 + r.k - 1, s.h[r.k] FROM samp s JOIN (SELECT DISTINCT doc_idx FROM topics_long) d
+  SELECT s.symbol, s.date, {T.TOPIC_K} + r.k - 1, s.h[r.k] FROM samp s JOIN (SELECT DISTINCT doc_idx FROM topics_long) d
     ON d.doc_idx = s.doc_idx, range(1, 6) r(k))""")
 def q_hstack_features(spark, sf_dir):
     """today's topics and five stock changes assembled into one feature vector."""

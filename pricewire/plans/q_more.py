@@ -132,7 +132,7 @@ def q_f_beta(spark, sf_dir):
   SELECT a.doc_idx, a.topic AS x, b.topic AS y FROM topics_n a JOIN topics_n b ON b.doc_idx = a.doc_idx + 1)""") + """
 SELECT doc_idx, CAST(j - 1 AS INTEGER) AS j, round(x[j] + y[j], 6) AS added, round(x[j] - y[j], 6) AS subtracted,
        round(list_concat(x, y)[j], 6) AS concat_head, round(list_concat(x, y)[j + len(x)], 6) AS concat_tail
-FROM pairs, range(1, 11) r(j)""")
+FROM pairs, range(1, len(x) + 1) r(j)""")
 def q_vector_combine(spark, sf_dir):
     """Add, subtract and concatenate topic vectors (each document with the next one)."""
     t = T.topics(spark, sf_dir).select("doc_idx", "topic")

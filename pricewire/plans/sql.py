@@ -14,8 +14,8 @@ PRICES = f"""prices AS (
 
 SYMBOL_MAP = f"""symbol_map AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS symbol,
-         '{T.COMPANY_PREFIX}' || CAST(user_id AS VARCHAR) AS company
-  FROM events WHERE user_id < {T.SYMBOL_LIMIT})"""
+         '{T.COMPANY_PREFIX}' || CAST(user_id % {T.COMPANIES} AS VARCHAR) AS company
+  FROM events WHERE user_id % {T.UNMAPPED[0]} <> {T.UNMAPPED[1]})"""
 
 COLLECTION = f"""coll AS (
   SELECT doc_id AS doc_idx, source AS company,
@@ -35,7 +35,7 @@ SERIES = """series AS (
 
 TOPICS = f"""topics AS (
   SELECT {T.TOPIC_K} AS k, vec_id AS doc_idx,
-         list_transform(embedding[1:{T.TOPIC_K}], lambda x: abs(CAST(x AS DOUBLE)) + {T.TOPIC_ALPHA}) AS gamma
+         list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) + {T.TOPIC_ALPHA}) AS gamma
   FROM embeddings),
 topics_n AS (
   SELECT k, doc_idx,

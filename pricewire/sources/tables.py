@@ -16,8 +16,9 @@ from pricewire.functions.vectors import topic_normalize
 
 # ---------------------------------------------------------------------------
 # Fixed values of the binding (see FIXTURES.md part B).
-SYMBOL_LIMIT = 20            # users below this id are mapped symbols
-COMPANY_PREFIX = "src"       # company name = prefix || id
+COMPANIES = 20               # a symbol's company = prefix || (user_id modulo this)
+UNMAPPED = (50, 49)          # symbols without a company: user_id modulo the first = the second (2 %)
+COMPANY_PREFIX = "src"
 DOC_EPOCH = "2024-01-01"     # first corpus day
 DOCS_PER_DAY = 20            # doc_id div this ...
 CORPUS_DAYS = 30             # ... modulo this = day offset
@@ -28,7 +29,7 @@ INSIG_PCT = 25.0             # insignificance threshold (percent)
 STOCK_SIG_PCT = 200.0        # stock table significance (reference 2)
 MC_PCT = 100.0               # up / flat / down threshold (reference 1)
 BUFFER_PCT = (20.0, 70.0)    # buffer band (reference 0.2, 0.7)
-TOPIC_K = 10                 # topic vector length taken from an embedding
+TOPIC_K = 64                 # topic vector length: the whole embedding
 TOPIC_ALPHA = 0.05           # Dirichlet alpha written next to the gammas
 N_PREV = 20                  # history length of a labelled sample
 # ---------------------------------------------------------------------------
@@ -54,12 +55,11 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(symbol, company)`` for the mapped users (at most SYMBOL_LIMIT rows)."""
+    """``(symbol, company)``: several symbols share a company, a few have none."""
     ev = table(spark, sf_dir, "events")
-    return (ev.where(F.col("user_id") < SYMBOL_LIMIT)
+    return (ev.select("user_id").distinct().where(F.col("user_id") % UNMAPPED[0] != UNMAPPED[1])
               .select(F.col("user_id").cast("string").alias("symbol"),
-                      F.concat(F.lit(COMPANY_PREFIX), F.col("user_id").cast("string")).alias("company"))
-              .distinct())
+                      F.concat(F.lit(COMPANY_PREFIX), (F.col("user_id") % COMPANIES).cast("string")).alias("company")))
 
 
 def corpus_day(doc_id: Column) -> Column:
@@ -77,7 +77,7 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(k, doc_idx, alpha, gamma)``: topic-model output for one k."""
     e = table(spark, sf_dir, "embeddings")
-    gamma = F.transform(F.slice(F.col("embedding"), 1, TOPIC_K),
+    gamma = F.transform(F.col("embedding"),
                         lambda x: F.abs(x.cast("double")) + F.lit(TOPIC_ALPHA))
     return e.select(F.lit(TOPIC_K).alias("k"), F.col("vec_id").alias("doc_idx"),
                     F.lit(TOPIC_ALPHA).alias("alpha"), gamma.alias("gamma"))

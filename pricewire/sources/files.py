@@ -158,8 +158,8 @@ def _sample_schema(n: int = SAMPLE_HISTORY) -> T.StructType:
 
 def src_labelled_samples(spark: SparkSession, path: str, n: int = SAMPLE_HISTORY) -> DataFrame:
     """The 46-column labelled sample; a row of another width fails the job
-    (FAILFAST); split must be 0 or 1.  ``nan`` values read as NaN and become NULL."""
-    df = spark.read.csv(path, schema=_sample_schema(n), mode="FAILFAST", nanValue="nan")
+    (FAILFAST; no column pruning, so also when few columns are read); split must be 0 or 1.  ``nan`` values read as NaN and become NULL."""
+    df = spark.read.option("columnPruning", False).csv(path, schema=_sample_schema(n), mode="FAILFAST", nanValue="nan")
     changes = F.array(P.nan_to_null("change"), *[P.nan_to_null(f"change_{i}") for i in range(1, n + 1)])
     split = F.when(F.col("split").isin(0, 1), F.col("split")).otherwise(
         F.raise_error(F.concat(F.lit("unknown split "), F.col("split").cast("string"))).cast("int"))

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricewire.operators import runlogs as RL
@@ -76,6 +77,14 @@ def test_labelled_samples_roundtrip(spark):
     assert S.src_labelled_samples(spark, os.path.join(d, "s")).first()["label"] == 1
 
 
+@pytest.mark.parametrize("width", [45, 47])
+def test_labelled_samples_width_is_checked_in_pruned_reads(spark, width):
+    d = _dir()
+    _write(d, "s.csv", ",".join(["acme", "2020-01-02", *["1"] * (width - 2)]) + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        S.src_labelled_samples(spark, os.path.join(d, "s.csv")).select("company").collect()
+
+
 def test_topic_gamma_libsvm_pairs(spark):
     d = _dir()
     _write(d, "lda/k2/final.gamma", "1.05 3.05\n2.05 2.05\n")

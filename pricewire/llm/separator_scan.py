@@ -70,10 +70,9 @@ def write_flat(docs: DataFrame, path: str, vocab: str = VOCAB, end: int = END_OF
 
 
 def _flat_files(spark: SparkSession, path: str) -> DataFrame:
-    name = F.element_at(F.split("path", "/"), -1)
+    """(file, content): the whole name, which is equal below kind=tokens and kind=doc_ids; any part of it may repeat."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-            .select(F.concat(F.regexp_extract(name, r"part-(\d+)", 1), F.regexp_extract(name, r"(\.?-?c\d+)", 1)).alias("file"),
-                    "content"))
+            .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
 
 
 def blocks(files: DataFrame, end: int = END_OF_DOCUMENT, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -127,11 +126,11 @@ def flat_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def document_token_counts(docs: DataFrame, vocab: str = VOCAB, end: int = END_OF_DOCUMENT, id_col: str = "doc_id",
-                          text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+                          text_col: str = "text", block_tokens: int = BLOCK_TOKENS, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write ``docs`` as flat files in the shared folder, scan them: doc_id, n_tokens, ended."""
     spark = docs.sparkSession
     path = shared_path(spark, "flat-tokens")
-    write_flat(docs, path, vocab, end, id_col, text_col)
+    write_flat(docs, path, vocab, end, id_col, text_col, file_rows)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, n_tokens long, ended boolean")
     counts = scan(spark, f"{path}/kind=tokens", end, block_tokens=block_tokens)

@@ -35,6 +35,21 @@ def test_flat_files_hold_nothing_but_ids_and_separators(spark):
     assert np.frombuffer(content, "<u2").tolist() == [*enc.encode_ordinary("one"), 50256, *enc.encode_ordinary("two words"), 50256]
 
 
+def test_several_files_of_one_task(spark):
+    rows = [(i, "word " * i) for i in range(1, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    enc = _encoder()
+    got = [tuple(r) for r in ss.document_token_counts(df, block_tokens=3, file_rows=2).collect()]
+    assert sorted(got) == [(i, len(enc.encode_ordinary(t)), True) for i, t in rows]
+
+
+def test_files_of_one_task_keep_keys_of_their_own(spark, tmp_path):
+    names = {f"part-00000-c0ffee00-c1c2-4c3d-9c4e-00c500c600c7.c00{k}.txt" for k in range(3)}
+    for name in names:
+        (tmp_path / name).write_bytes(np.array([5, ss.END_OF_DOCUMENT], "<u2").tobytes())
+    assert {(r.file, r.doc_no, r.n_tokens) for r in ss.scan(spark, str(tmp_path)).collect()} == {(n, 0, 1) for n in names}
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 5, 100])
 def test_stitching_matches_a_plain_split(spark, block):
     rng = np.random.default_rng(block)

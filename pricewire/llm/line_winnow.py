@@ -8,6 +8,9 @@ first such place (by doc_id, then position).  A match extends both ways over the
 the runs of lines so covered repeat an earlier run of at least ``window`` lines and are deleted, the first occurrence
 stays.  Blank lines are neither compared nor deleted.
 
+With ``min_words``, shorter runs count too: each run of fewer than ``window`` lines that holds at least so many words, and the
+whole of each document of fewer than ``window`` lines, are windows like the others, with fingerprints of their own.
+
 Defined cases: null text is null and has no lines; a null doc_id comes before all others; rows equal in doc_id and text are
 copies of one place and delete nothing from each other, while repeats inside one document count; an empty
 table gives an empty result; other columns are ignored.
@@ -21,56 +24,82 @@ from pyspark.sql import functions as F
 from pricewire.llm.common import saved, text_key
 
 WINDOW = 3
+MIN_WORDS = 20
 TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
-def _line_hashes(lines: Column) -> Column:
-    """array<struct<at, h>>: place and hash of the lines with a word."""
+def _line_hashes(lines: Column, words: bool = False) -> Column:
+    """array<struct<at, h>>: place and hash of the lines with a word; ``words`` adds their number of words, n."""
     made = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, TRIM, "").alias("t")))
     return F.transform(F.filter(made, lambda x: x["t"] != ""),
-                       lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["t"]).alias("h")))
+                       lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["t"]).alias("h"),
+                                          *[F.size(F.split(x["t"], SPACES)).alias("n")] * words))
+
+
+def _window(i: Column, size: int) -> Column:
+    part = F.slice("_h", i + 1, size)
+    low = F.array_min(part)
+    return F.struct(i.alias("start"), (i + size - F.array_position(F.reverse(part), low)).cast("int").alias("place"),
+                    low.alias("h"), F.xxhash64(part).alias("c0"), F.xxhash64(F.lit(1), part).alias("c1"),
+                    F.lit(size).alias("size"))
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, tkey, lines) -> one row per window: doc_id, tkey, start, place (of its fingerprint), h, content."""
     d = docs.withColumn("_h", _line_hashes(F.col("lines"))).filter(F.size("_h") >= window)
     d = d.withColumn("_h", F.col("_h.h"))
+    starts = F.sequence(F.lit(0), F.size("_h") - window)
+    d = d.select("doc_id", "tkey", F.explode(F.transform(starts, lambda i: _window(i, window))).alias("w"))
+    content = F.struct(F.hex("w.c0").alias("c0"), "w.c1").alias("content")
+    return d.select("doc_id", "tkey", "w.start", "w.place", "w.h", content)
+
+
+def wordy_windows(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """As ``windows``, with the shorter runs of at least ``min_words`` words and whole shorter documents; and size."""
+    d = docs.select("doc_id", "tkey", _line_hashes(F.col("lines"), words=True).alias("_l"))
+    d = d.select("doc_id", "tkey", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
 
-    def one(i: Column) -> Column:
-        part = F.slice("_h", i + 1, window)
-        low = F.array_min(part)
-        return F.struct(i.alias("start"), (i + window - F.array_position(F.reverse(part), low)).cast("int").alias("place"),
-                        low.alias("h"), F.hex(F.xxhash64(part)).alias("c0"), F.xxhash64(F.lit(1), part).alias("c1"))
-    d = d.select("doc_id", "tkey", F.explode(F.transform(F.sequence(F.lit(0), F.size("_h") - window), one)).alias("w"))
-    return d.select("doc_id", "tkey", "w.start", "w.place", "w.h", F.struct("w.c0", "w.c1").alias("content"))
+    def of(size: int) -> Column:
+        starts = F.when(F.size("_h") >= size, F.sequence(F.lit(0), F.size("_h") - size)).otherwise(F.array().cast("array<int>"))
+        if size < window:
+            words = lambda i: F.aggregate(F.slice("_n", i + 1, size), F.lit(0), lambda a, n: a + n)
+            starts = F.filter(starts, lambda i: (F.size("_h") == size) | (words(i) >= min_words))
+        return F.transform(starts, lambda i: _window(i, size))
+    # An outer generator: with a plain one the optimiser copies the hashing into an inferred filter.
+    d = d.select("doc_id", "tkey", F.explode_outer(F.concat(*map(of, range(1, window + 1)))).alias("w")).filter("w IS NOT NULL")
+    return d.select("doc_id", "tkey", "w.start", "w.place", "w.h", F.struct("w.c0", "w.c1").alias("content"), "w.size")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
     """(doc_id, tkey, lines) -> doc_id, tkey, runs: array<struct<first, last>> of places among lines with a word."""
-    w = saved(windows(docs, window))
+    w = (saved(windows(docs, window)).withColumn("size", F.lit(window)) if min_words is None
+         else saved(wordy_windows(docs, window, min_words)))
     prints = w.select("doc_id", "tkey", "place", "h").distinct()
     often = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     seeds = w.join(often, "h", "left_semi")
     first = seeds.groupBy("content").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.count(F.lit(1)).alias("n"))
     # A later place of the same document must not overlap the first one.
     match = seeds.join(first.filter("n > 1"), "content").filter(
-        ~F.col("doc_id").eqNullSafe(F.col("ref.doc_id")) | (F.col("start") >= F.col("ref.start") + window))
+        ~F.col("doc_id").eqNullSafe(F.col("ref.doc_id")) | (F.col("start") >= F.col("ref.start") + F.col("size")))
     # Extension: matched windows that touch or overlap join into one run.
     by = Window.partitionBy("doc_id", "tkey").orderBy("start")
-    m = match.select("doc_id", "tkey", "start").distinct()
-    m = m.withColumn("_new", F.coalesce(F.col("start") > F.lag("start").over(by) + window, F.lit(True)).cast("int"))
+    m = match.groupBy("doc_id", "tkey", "start").agg((F.col("start") + F.max("size")).alias("end"))
+    past = by.rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(past), F.lit(True)).cast("int"))
     m = m.withColumn("_run", F.sum("_new").over(by))
     runs = m.groupBy("doc_id", "tkey", "_run").agg(F.min("start").alias("first"),
-                                                   (F.max("start") + window - 1).alias("last"))
+                                                   (F.max("end") - 1).alias("last"))
     return runs.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+                min_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines (with a word), n_deleted, deleted_runs, text (without the deleted lines)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        text_key(text_col).alias("tkey"))
     lined = base.select("doc_id", "tkey", F.split("text", "\n").alias("lines"))
-    runs = repeated_runs(lined, window)
+    runs = repeated_runs(lined, window, min_words)
     same = F.col("b.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("b.tkey") == F.col("r.tkey"))
     d = base.alias("b").join(runs.alias("r"), same, "left").select("b.doc_id", "b.text", "r.runs")
     d = d.withColumn("_lines", F.split("text", "\n"))

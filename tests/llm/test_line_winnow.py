@@ -47,6 +47,51 @@ def test_matches_brute_force(spark, window):
     assert sorted(got, key=str) == _brute(rows, window)
 
 
+def _brute_words(rows, w, least):
+    """Whole texts without repeats of their ids: every window of every size that counts against all others."""
+    docs = {i: [(k, x.strip(WS)) for k, x in enumerate((t or "").split("\n")) if x.strip(WS)] for i, t in rows}
+    wins = []
+    for i, ls in docs.items():
+        for n in range(1, w + 1):
+            for a in range(len(ls) - n + 1):
+                c = tuple(x for _, x in ls[a:a + n])
+                if n == w or n == len(ls) or sum(len(x.split()) for x in c) >= least:
+                    wins.append((c, (i, a)))
+    first = {}
+    for c, at in wins:
+        first[c] = min(first.get(c, at), at)
+    gone = {i: set() for i in docs}
+    for c, (i, a) in wins:
+        d, b = first[c]
+        if d != i or a >= b + len(c):
+            gone[i] |= set(range(a, a + len(c)))
+    out = []
+    for i, t in rows:
+        dead = {docs[i][g][0] for g in gone[i]}
+        text = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dead)
+        out.append((i, len(docs[i]), len(gone[i]), text))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("window", [1, 3, 4])
+def test_short_runs_match_brute_force(spark, window):
+    rng = random.Random(window)
+    lines = ["a", "b", " b\t", "", "c d", "e f g", "h i j  k l", " h i j  k l", "m\tn o p q r"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8)))) for i in range(80)] + [(90, None), (91, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in dedup_lines(df, window, min_words=5).collect()]
+    assert sorted(got, key=str) == _brute_words(rows, window, 5)
+
+
+def test_a_single_repeated_long_line_goes(spark):
+    long = " ".join(f"word{k}" for k in range(20))
+    rows = [(1, f"own one\n{long}\nend one"), (2, f"own two\n{long}\nend two"), (3, "short\npair"), (4, "short\npair"),
+            (5, "own five\nshort\nlast five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dedup_lines(df, min_words=20).collect()}
+    assert got == dict(rows) | {2: "own two\nend two", 4: ""}
+
+
 def test_rows_equal_in_id_and_text_do_not_delete_each_other(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")] * 3 + [(2, "a\nb\nc\nd")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == [(1, "a\nb\nc")] * 3 + [(2, "d")]

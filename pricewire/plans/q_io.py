@@ -99,12 +99,27 @@ def q_term_scores_file(spark, sf_dir):
 
 @query("day_corpus_file", ORACLE["docs_per_day"])
 def q_day_corpus_file(spark, sf_dir):
-    """K1: the day corpus written per company (ordered rows) and read back."""
+    """K1: the day corpus written per company (ordered rows with their texts) and read back: its articles."""
+    return _day_corpus(spark, sf_dir).select("company", "date", "_id", "ord").distinct()
+
+
+def _day_corpus(spark, sf_dir):
+    """The day corpus as written and read back; an article with several texts has a row for each, under one ord."""
     path = _folder(spark, "days")
     from pricewire.functions import text as X
     m = TX.dedup_articles(T.article_meta(spark, sf_dir)).withColumn("date", X.pub_day("pub_date"))
-    K.sink_day_corpus(TX.day_articles(m).select("company", "date", "_id", "ord"), path)
-    return spark.read.parquet(path).select("company", "date", "_id", "ord")
+    texts = TX.distinct_texts(T.article_text(spark, sf_dir))
+    articles = TX.day_articles(m).select("company", "date", "_id", "ord").join(texts, "_id")
+    K.sink_day_corpus(articles.select("company", "date", "ord", "_id", "text"), path)
+    return spark.read.parquet(path)
+
+
+@query("day_corpus_texts", S_.with_(q_text._META_SQL, f"days AS ({ORACLE['docs_per_day']})") + """
+SELECT d.company, d.date, d._id, d.ord, md5(t.text) AS text_md5
+FROM days d JOIN (SELECT DISTINCT _id, text FROM txt) t USING (_id)""")
+def q_day_corpus_texts(spark, sf_dir):
+    """K1 + J1: the day corpus with the texts that it was written with (shown by their md5)."""
+    return _day_corpus(spark, sf_dir).select("company", "date", "_id", "ord", F.md5("text").alias("text_md5"))
 
 
 # Fixed layout of the generated result log: run -> (k, variant) as in the

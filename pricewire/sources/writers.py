@@ -29,15 +29,20 @@ def sink_vocab(vocab: DataFrame, path: str, overwrite: bool = False) -> None:
     vocab.select("term", "idx", "freq").write.mode(_mode(overwrite)).parquet(path)
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Range-sorted by document id: in these formats the line's place, over all files by name, is the document."""
+    return rows.orderBy("doc_idx" if "doc_idx" in rows.columns else "row_idx")
+
+
 def sink_raw_corpus(raw: DataFrame, path: str, overwrite: bool = False) -> None:
-    """K3: ``company \\t date \\t words`` lines."""
-    raw.select("company", F.col("date").cast("string"), "text").write.mode(_mode(overwrite)) \
+    """K3: ``company \\t date \\t words`` lines, in document order."""
+    _in_order(raw).select("company", F.col("date").cast("string"), "text").write.mode(_mode(overwrite)) \
         .csv(path, sep="\t", quote="", escape="")
 
 
 def sink_doc_term(lines: DataFrame, path: str, overwrite: bool = False) -> None:
-    """K4: ``{n_unique} {idx:freq} ...`` lines."""
-    lines.select("line").write.mode(_mode(overwrite)).text(path)
+    """K4: ``{n_unique} {idx:freq} ...`` lines, in document order."""
+    _in_order(lines).select("line").write.mode(_mode(overwrite)).text(path)
 
 
 def sink_stock_data(stock: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -60,8 +65,8 @@ def sink_labelled_samples(samples: DataFrame, path: str, n: int = 20, overwrite:
 
 
 def sink_libsvm(lines: DataFrame, path: str, overwrite: bool = False) -> None:
-    """K7: LIBSVM text lines (``label i:v ...``, indices from 1); zero values kept."""
-    lines.select("line").write.mode(_mode(overwrite)).text(path)
+    """K7: LIBSVM text lines (``label i:v ...``, indices from 1); zero values kept, in row order."""
+    _in_order(lines).select("line").write.mode(_mode(overwrite)).text(path)
 
 
 def libsvm_line(label_col: str, features_col: str, digits: int = 6):

@@ -169,3 +169,26 @@ def test_line_numbers_across_file_blocks(spark):
         assert df.count() == 5007 and bad == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_lines_stand_in_document_order(spark):
+    lines = [(i, f"line {i}") for i in range(500)]
+    df = spark.createDataFrame(lines, "doc_idx long, line string").repartition(7, "line")
+    raw = df.select("doc_idx", F.lit("acme").alias("company"), F.lit("2020-01-02").alias("date"), F.col("line").alias("text"))
+    for name, rows, sink, text in (("docterm", df, K.sink_doc_term, "{}"),
+                                   ("libsvm", df.withColumnRenamed("doc_idx", "row_idx"), K.sink_libsvm, "{}"),
+                                   ("raw", raw, K.sink_raw_corpus, "acme\t2020-01-02\t{}")):
+        path = os.path.join(_dir(), name)
+        sink(rows, path)
+        back = S.with_line_numbers(spark.read.text(path), whole=True).collect()
+        assert sorted((r.line_no, r.value) for r in back) == [(i, text.format(x)) for i, x in lines], name
+
+
+def test_day_corpus_holds_every_text(spark):
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = entry.queries()["day_corpus_texts"](spark, sf)
+    want = d.select(F.md5("text").alias("m")).union(
+        d.where("doc_id % 7 = 0").select(F.md5(F.concat("text", F.lit(" (updated)"))).alias("m")))
+    assert sorted(r.text_md5 for r in rows.collect()) == sorted(r.m for r in want.collect())

@@ -14,7 +14,8 @@ from pricewire.plans.q_text import corpus
 from pricewire.session import cut_lineage
 from pricewire.sources import tables as T
 
-MAX_FEATURES = 1000
+MAX_FEATURES = 100_000   # the reference's default
+NGRAM_MAX = 3
 TOP_K = 100
 
 
@@ -79,7 +80,7 @@ chi AS (
 @query("bow_counts", _DOCS + ", " + _cnt_sql() + ", " + _vocab_sql() + """
 SELECT c.row_idx, v.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN voc v USING (term)""")
 def q_bow_counts(spark, sf_dir):
-    """term counts with a vocabulary learned on train (top 1000), used for every split."""
+    """term counts with a vocabulary learned on train (top 100,000), used for every split."""
     ds = text_dataset(spark, sf_dir)
     c = counts(ds)
     vocab = O.learn_vocab(train_counts(ds, all_counts=c), MAX_FEATURES)
@@ -96,6 +97,21 @@ def q_ngram_counts(spark, sf_dir):
     return O.bow_counts(c, vocab, bound=MAX_FEATURES).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
 
 
+_CNT3_SQL = f"""cnt AS (SELECT row_idx, term, count(*) AS cnt FROM (
+  SELECT row_idx, unnest(flatten(list_transform(range(1, {NGRAM_MAX + 1}), lambda n: list_transform(range(1, len(w) - n + 2),
+         lambda i: array_to_string(w[i : i + n - 1], ' '))))) AS term FROM (SELECT row_idx, {_VT} AS w FROM tdocs)) GROUP BY ALL)"""
+
+
+@query("ngram_counts_order3", _DOCS + ", " + _CNT3_SQL + ", " + _vocab_sql() + """
+SELECT c.row_idx, v.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN voc v USING (term)""")
+def q_ngram_counts_order3(spark, sf_dir):
+    """F2 + T7 at the reference's default order: uni-, bi- and trigram counts, vocabulary learned on train."""
+    ds = text_dataset(spark, sf_dir)
+    c = cut_lineage(counts(ds, NGRAM_MAX))
+    vocab = O.learn_vocab(train_counts(ds, all_counts=c), MAX_FEATURES)
+    return O.bow_counts(c, vocab, bound=MAX_FEATURES).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
+
+
 @query("tfidf", _DOCS + ", " + _cnt_sql() + ", " + _vocab_sql() + """,
 bow AS (SELECT c.row_idx, v.idx, c.cnt FROM cnt c JOIN voc v USING (term)),
 n AS (SELECT count(*) AS n FROM tdocs WHERE split = 0),

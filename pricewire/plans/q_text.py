@@ -11,7 +11,7 @@ from pricewire.plans.base import query, rounded
 from pricewire.session import cut_lineage
 from pricewire.sources import tables as T
 
-VOCAB_SIZE = 1000   # vocabulary size used by the registered queries
+VOCAB_SIZE = O.DEFAULT_VOCAB_SIZE   # vocabulary size used by the registered queries: the reference's
 
 
 def corpus(spark, sf_dir):

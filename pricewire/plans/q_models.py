@@ -136,15 +136,11 @@ def q_tune_svm_linear(spark, sf_dir):
     return spark.createDataFrame([(c, a, c == best) for c, a in rows], "C double, valid_acc double, best boolean")
 
 
-RBF_C = [1.0, 8.0, 64.0]
-RBF_GAMMA = [2.0 ** -6, 2.0 ** -2, 1.0]
-
-
 @query("tune_svm_rbf_approx")
 def q_tune_svm_rbf_approx(spark, sf_dir):
-    """M4: C x gamma (3 x 3 of the reference grid) on random Fourier features."""
+    """M4: C x gamma (the whole 15 x 13 grid) on 128 random Fourier features."""
     tr, va = _train_valid(spark, sf_dir)
-    rows = M.tune_svm_rbf_approx(tr, va, "features", 64, RBF_C, RBF_GAMMA, n_out=64)
+    rows = M.tune_svm_rbf_approx(tr, va, "features", 64, M.SVM_C, M.SVM_GAMMA)
     return spark.createDataFrame(rows, "C double, gamma double, valid_acc double")
 
 
@@ -175,7 +171,7 @@ def q_tune_regression(spark, sf_dir):
 def q_fit_selected(spark, sf_dir):
     """M6: refit the tuned linear SVM (scaled features) and write test predictions."""
     tr, va = _train_valid(spark, sf_dir)
-    _, best = M.tune_svm_linear(tr, va, M.SVM_C[::4], "vec")
+    _, best = M.tune_svm_linear(tr, va, M.SVM_C, "vec")
     full_tr, te = dense_vectors(spark, sf_dir)
     preds = M.fit_selected([("dense", best)], {"dense": (full_tr, te)}, features="vec")["dense"]
     return preds.select("row_idx", F.col("label").cast("int").alias("label"), "prediction")
@@ -251,15 +247,14 @@ def q_feature_set_sweep(spark, sf_dir):
 
 @query("tune_all_feature_sets")
 def q_tune_all_feature_sets(spark, sf_dir):
-    """M9: linear-SVM tuning of every chosen feature set on its train / test split."""
+    """M9: linear-SVM tuning of every feature set on its train / test split."""
     with M.cached(sample_blocks(spark, sf_dir)) as (data,):
         def one(item):
             name, blocks = item
             a = M.assemble(data, blocks)
             res, best = M.tune_svm_linear(a.where(F.col("split") == 0), a.where(F.col("split") == 1),
-                                          M.SVM_C[::3])
+                                          M.SVM_C)
             return [(name, c, acc, c == best) for c, acc in res]
 
-        chosen = [x for x in SWEEP_SETS if x[0] in ("topic change", "change + topic distribution")]
-        rows = [r for part in M.grid_map(one, chosen, 2) for r in part]
+        rows = [r for part in M.grid_map(one, SWEEP_SETS, 2) for r in part]
     return spark.createDataFrame(rows, "features string, C double, valid_acc double, best boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewire.llm import (bloom_dedup, feistel_shards, licence_scan, line_winnow, ngram_join, piece_sampling,
-                           pivotal_mix, quality_rules, separator_scan, sql, url_aliases)
+                           pivotal_mix, quality_rules, separator_scan, simhash_golay, sql, url_aliases)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,11 @@ def op10_bloom_dedup(spark, sf_dir):
     return bloom_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_golay(spark, sf_dir):
+    return simhash_golay.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_line_dedup, op3_line_dedup_words, op4_feistel_shards, op5_ngram_jaccard, op6_url_aliases,
-    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup)}
+    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay)}
 ORACLE = sql.ORACLE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewire.llm import (bloom_dedup, feistel_shards, licence_scan, line_winnow, ngram_join, piece_sampling,
+from pricewire.llm import (bit_whitening, bloom_dedup, feistel_shards, licence_scan, line_winnow, ngram_join, piece_sampling,
                            pivotal_mix, quality_rules, separator_scan, simhash_golay, sql, url_aliases)
 
 
@@ -66,7 +66,11 @@ def op11_simhash_golay(spark, sf_dir):
     return simhash_golay.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_bit_whitening(spark, sf_dir):
+    return bit_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_line_dedup, op3_line_dedup_words, op4_feistel_shards, op5_ngram_jaccard, op6_url_aliases,
-    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay)}
+    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay, op12_bit_whitening)}
 ORACLE = sql.ORACLE

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewire.llm import (bit_whitening, bloom_dedup, feistel_shards, licence_scan, line_winnow, ngram_join, piece_sampling,
-                           pivotal_mix, quality_rules, separator_scan, simhash_golay, sql, url_aliases)
+                           pivotal_mix, prefix_trie, quality_rules, separator_scan, simhash_golay, sql, url_aliases)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,12 @@ def op12_bit_whitening(spark, sf_dir):
     return bit_whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_counts, op3_line_dedup, op3_line_dedup_words, op4_feistel_shards, op5_ngram_jaccard, op6_url_aliases,
-    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay, op12_bit_whitening)}
+    op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay, op12_bit_whitening,
+    op13_prefix_trie)}
 ORACLE = sql.ORACLE

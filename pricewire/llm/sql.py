@@ -136,5 +136,31 @@ FROM documents x LEFT JOIN h USING (doc_id)
 """
 
 
+# CRC-32 bit by bit, turns as 64 hex digits, nodes as the digits of their path, subtree sums by listing each node's ancestors.
+OP13 = """
+WITH t AS (SELECT conv_id AS c, turn, length(coalesce(text, '')) AS size,
+                  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(size ORDER BY turn NULLS FIRST, id) AS sizes FROM t GROUP BY c),
+h AS (SELECT *, c - c % 100 AS base, xor(list_reduce(list_concat([4294967295::BIGINT],
+          list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda r, b: list_reduce(list_concat([xor(r, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 6 AS h FROM o),
+r AS (SELECT h.c, CASE WHEN h = 0 THEN h.ids ELSE list_concat(coalesce(b.ids, [])[1 : h], h.ids[h + 1 :]) END AS ids,
+             CASE WHEN h = 0 THEN h.sizes ELSE list_concat(coalesce(b.sizes, [])[1 : h], h.sizes[h + 1 :]) END AS sizes
+      FROM h LEFT JOIN o b ON b.c = h.base),
+p AS (SELECT c, ids, sizes, unnest(range(0, len(ids) + 1)) AS d FROM r),
+n AS (SELECT array_to_string(ids[1 : d], '') AS node, d, min(c) AS low, count(*) AS n,
+             any_value(CASE WHEN d > 0 THEN sizes[d] ELSE 0 END) AS size,
+             string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len(ids)) AS ends FROM p GROUP BY node, d),
+k AS (SELECT left(node, 64 * (d - 1)) AS node, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+e AS (SELECT n.node, size, n, kids, unnest(range(0, d + 1)) AS up FROM n LEFT JOIN k USING (node)),
+s AS (SELECT left(node, 64 * up) AS node, sum((n - 1) * size)::BIGINT AS gain, count(*) FILTER (WHERE kids IS NULL) AS leaves
+      FROM e GROUP BY 1)
+SELECT n.low AS conv_id, n.d::BIGINT AS depth, up.low AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children,
+       leaves AS n_leaves, gain AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n up ON n.d > 0 AND up.node = left(n.node, 64 * (n.d - 1))
+"""
+
 ORACLE = {"op3_line_dedup": op3(), "op5_ngram_jaccard": OP5, "op6_url_aliases": op6(), "op9_licence_scan": op9(),
-          "op10_bloom_dedup": OP10}
+          "op10_bloom_dedup": OP10, "op13_prefix_trie": OP13}

@@ -7,9 +7,11 @@ segments of at most 23 bits, each a word of the perfect binary Golay code [23, 1
   six for the others (3 from theirs).  A word between two words that differ in two bits lies at most 3 from some codeword, which is
   then at most 4 from both: words at most two bits apart share an index, and of words at most one bit apart
   the nearest codeword of one is among the indices of the other.
-- Four errors fall on three segments, so in two of them lie at most two (pigeonhole).  Either one of these is free of
-  errors and the other has at most two: key of the first's bits and an index of the second (six ordered pairs).  Or
-  both have one: key of two nearest codewords on one side, two indices on the other (three pairs).
+- Four errors fall on three segments (pigeonhole).  Either a segment is free of errors and another has at most two: key of
+  the first's bits and an index of the second (six ordered pairs, "exact" keys).  Or all have errors, then two have one and
+  the third at most two, so one of its three parts has none: key of an index of each of the two and a part's bits (nine
+  kinds of key), where one fingerprint gives the nearest index of the first and all of the second ("left"), the other
+  all of the first and the nearest of the second ("right").
 - Fingerprints meet on keys and are verified.  A key's fingerprints are first compared with one of them only, drawn per
   key by a hash (a star, so a group of m near copies gives no m * m pairs); after connected components, only those
   of different components that share a key are compared.  No link between components is left out.
@@ -103,8 +105,11 @@ def codeword_indices(words: np.ndarray) -> np.ndarray:
     return np.where(e >= 0, (words[:, None] ^ e) >> 11, -1)
 
 
+EXACT, LEFT, RIGHT = 0, 1, 2  # EXACT keys meet each other, LEFT ones meet RIGHT ones
+
+
 def _keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, kind) of all keys.  Kind 0 meets kind 0; kind 1 (nearest codewords) meets kinds 1 and 2 (indices)."""
+    """(row, key, kind) of all keys."""
     u = fps.view(np.uint64)
     segs = [((u >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
     codes = [codeword_indices(s) for s in segs]
@@ -116,19 +121,16 @@ def _keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keys.append((key | (tag << 40))[at])
         kinds.append(np.full(len(at[0]), kind, np.int8))
 
-    tag = 0
-    for a in range(3):
-        for b in range(3):
-            if a != b:
-                add(tag, (segs[a] << 12)[:, None] | codes[b], codes[b] >= 0, 0)
-                tag += 1
-    for a, b in ((0, 1), (0, 2), (1, 2)):
-        pair = (codes[a] << 12)[:, :, None] | codes[b][:, None, :]
-        ok = (codes[a] >= 0)[:, :, None] & (codes[b] >= 0)[:, None, :]
-        add(tag, pair[:, :1, :1], ok[:, :1, :1], 1)
-        ok[:, 0, 0] = False
-        add(tag, pair, ok, 2)
-        tag += 1
+    for tag, (a, b) in enumerate((a, b) for a in range(3) for b in range(3) if a != b):
+        add(tag, (segs[a] << 12)[:, None] | codes[b], codes[b] >= 0, EXACT)
+    for c, (_, bits) in enumerate(SEGMENTS):
+        a, b = (s for s in range(3) if s != c)
+        for j in range(3):
+            low, high = bits * j // 3, bits * (j + 1) // 3
+            part = ((segs[c] >> low) & ((1 << (high - low)) - 1))[:, None]
+            tag = 6 + 3 * c + j
+            add(tag, ((codes[a][:, :1] << 12 | codes[b]) << 8) | part, codes[b] >= 0, LEFT)
+            add(tag, ((codes[a] << 12 | codes[b][:, :1]) << 8) | part, codes[a] >= 0, RIGHT)
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
 
 
@@ -149,24 +151,26 @@ def _near(a: str, b: str, max_bits: int):
 
 def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """classes(fp), distinct -> verified links (u, v) that join every component (not every pair inside one)."""
-    # A key is live if it has two fingerprints, one of them not of kind 2; XOR with a hash of the key draws one of these.
+    # A key is live if two fingerprints can meet on it; XOR with a hash of the key draws the one that the others are held against.
     turn = F.xxhash64("key")
     groups = _key_rows(classes).groupBy("key").agg(
-        F.min("fp").alias("low"), F.max("fp").alias("high"),
-        F.min(F.when(F.col("kind") < 2, F.col("fp").bitwiseXOR(turn))).alias("drawn"))
-    live = saved(groups.filter("low <> high and drawn is not null").select("key", F.col("drawn").bitwiseXOR(turn).alias("rep")))
+        F.min("fp").alias("low"), F.max("fp").alias("high"), F.max("kind").alias("last"),
+        F.min(F.when(F.col("kind") != RIGHT, F.col("fp").bitwiseXOR(turn))).alias("drawn"))
+    live = saved(groups.filter((F.col("low") != F.col("high")) & F.col("drawn").isNotNull() & (F.col("last") != LEFT))
+                 .select("key", F.col("drawn").bitwiseXOR(turn).alias("rep")))
     # Keys are cheaper made again than carried: only those of live keys go on.
     post = saved(_key_rows(classes).join(live, "key"))
-    star = saved(post.filter(F.col("fp") != F.col("rep")).filter(_near("fp", "rep", max_bits))
+    star = saved(post.filter((F.col("fp") != F.col("rep")) & (F.col("kind") != LEFT) & _near("fp", "rep", max_bits))
                  .select(F.col("rep").alias("u"), F.col("fp").alias("v")).distinct())
     comp = connected_components(star)
     named = (post.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
              .select("key", "fp", "kind", F.coalesce("component", "fp").alias("c")))
     open_ = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     rest = saved(named.join(open_, "key", "left_semi"))
-    one = rest.filter("kind < 2").select("key", F.col("fp").alias("u"), F.col("c").alias("cu"))
-    more = one.join(rest, (one["key"] == rest["key"]) & (F.col("cu") != F.col("c")) & _near("u", "fp", max_bits)
-                    & ((F.col("kind") > 0) | (F.col("u") < F.col("fp"))))
+    one = rest.filter(F.col("kind") != RIGHT).select("key", F.col("fp").alias("u"), F.col("c").alias("cu"))
+    two = rest.filter(F.col("kind") != LEFT)
+    more = one.join(two, (one["key"] == two["key"]) & (F.col("cu") != F.col("c")) & _near("u", "fp", max_bits)
+                    & ((F.col("kind") == RIGHT) | (F.col("u") < F.col("fp"))))
     return star.unionByName(more.select("u", F.col("fp").alias("v")).distinct())
 
 

@@ -53,7 +53,7 @@ def test_every_pair_within_four_bits_shares_a_key():
             b ^= 1 << bit
         row, key, kind = sg._keys(np.array([a, b], np.uint64).view(np.int64))
         one, two = ({(int(k), int(q)) for k, q, r in zip(key, kind, row) if r == i} for i in (0, 1))
-        meets = [(0, 0), (1, 1), (1, 2), (2, 1)]
+        meets = [(sg.EXACT, sg.EXACT), (sg.LEFT, sg.RIGHT), (sg.RIGHT, sg.LEFT)]
         assert any((k, y) in two for k, q in one for x, y in meets if x == q)
 
 

@@ -10,20 +10,21 @@ loss) to Spark's ``regParam`` (penalty on the mean loss): ``regParam = 1/(C n)``
 
 from __future__ import annotations
 
-import math
-import random
 from typing import Iterable, Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewire.functions.prices import direction_from_price, slice_history
+from pricewire.operators import grid as G
 
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -36,6 +37,7 @@ LOGISTIC_C = [0.001, 0.01, 0.1, 1, 10, 100, 1000]
 LOGISTIC_MAX_ITER = 500
 SVM_C = [2.0 ** e for e in range(-5, 10)]        # 2^-5 .. 2^9
 SVM_GAMMA = [2.0 ** e for e in range(-10, 3)]    # 2^-10 .. 2^2
+SVR_EPSILON = [0, 0.01, 0.1, 0.5, 1, 2, 4, 8]
 # ---------------------------------------------------------------------------
 
 # Grid points fitted at the same time (independent Spark jobs, like
@@ -52,25 +54,12 @@ def grid_map(fn, items, parallelism: int = GRID_PARALLELISM) -> list:
         return list(ex.map(fn, items))
 
 
-# Target rows per partition of a cached fit input (about 100 MB of 64-dim
-# vectors); optimiser passes launch one task per partition, so a small input
-# split into many fragments pays the task overhead on every iteration.
-FIT_ROWS_PER_PARTITION = 200_000
-
-
 @contextmanager
 def cached(*frames: DataFrame):
-    """Persist the (already narrowed) inputs of an iterative fit: every optimiser
-    pass re-reads them, and without this each pass recomputes the whole plan.
-    Partitions are merged down to about ``FIT_ROWS_PER_PARTITION`` rows each.
-    Memory-and-disk, so a lost executor recomputes only its blocks."""
-    out = []
-    for f in frames:
-        n = f.count()
-        target = max(1, -(-n // FIT_ROWS_PER_PARTITION))
-        c = f.coalesce(target).persist(StorageLevel.MEMORY_AND_DISK)
-        c.count()
-        out.append(c)
+    """Persist the (already narrowed) inputs of an iterative fit: every optimiser pass re-reads them, and without this each
+    pass recomputes the whole plan.  The input is first rebalanced to even partitions (small ones merged at run time), and
+    computed once, by its first reader.  Memory-and-disk, so a lost executor recomputes only its blocks."""
+    out = [f.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK) for f in frames]
     try:
         yield out
     finally:
@@ -148,58 +137,70 @@ def tune_logistic(train: DataFrame, test: DataFrame, fold_col: str, Cs: Sequence
                 list(m.avgMetrics))
 
 
-def _svm(C: float, n: int, features: str, label: str, n_classes: int):
-    svc = LinearSVC(featuresCol=features, labelCol=label, regParam=reg_param(C, n), maxIter=100)
-    return svc if n_classes <= 2 else OneVsRest(classifier=svc, featuresCol=features, labelCol=label)
-
-
-def tune_svm_linear(train: DataFrame, valid: DataFrame, Cs: Sequence[float] = SVM_C,
-                    features: str = "features", label: str = "label", n_classes: int = 2):
-    """M3: C by validation accuracy (first best kept); returns rows ``(C, valid_acc)``
-    and the best C.  Three classes use one-vs-rest."""
-    with cached(train.select(features, label), valid.select(features, label)) as (tr, va):
-        n = tr.count()
-
-        def one(C):
-            m = _svm(C, n, features, label, n_classes).fit(tr)
-            return float(C), _accuracy(m.transform(va), label)
-
-        rows = grid_map(one, Cs)
-    best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
-    return rows, rows[best][0]
-
-
-def random_fourier(features: str, dim: int, gamma: float, n_out: int, seed: int = 7,
-                   out: str = "rff") -> Column:
-    """M4: random Fourier features approximating the RBF kernel
-    ``exp(-gamma |x - y|^2)`` (Rahimi & Recht 2007), as one array expression:
-    ``sqrt(2/D) cos(W x + b)``, ``W ~ N(0, 2 gamma)``, ``b ~ U(0, 2 pi)``.
-    The D x d weights are drawn on the driver from ``seed`` (a small literal)."""
-    rng = random.Random(seed)
-    sd = math.sqrt(2.0 * gamma)
-    W = [[rng.gauss(0.0, sd) for _ in range(dim)] for _ in range(n_out)]
-    b = [rng.uniform(0.0, 2.0 * math.pi) for _ in range(n_out)]
-    scale = math.sqrt(2.0 / n_out)
-    x = F.col(features)
-    rows = F.array(*[F.struct(F.array(*[F.lit(v) for v in W[j]]).alias("w"), F.lit(b[j]).alias("b"))
-                     for j in range(n_out)])
-    dot = lambda r: F.aggregate(F.zip_with(r["w"], x, lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-    return F.transform(rows, lambda r: F.cos(dot(r) + r["b"]) * F.lit(scale)).alias(out)
-
-
-def tune_svm_rbf_approx(train: DataFrame, valid: DataFrame, array_col: str, dim: int,
-                        Cs: Sequence[float], gammas: Sequence[float], n_out: int = 128,
-                        label: str = "label", n_classes: int = 2, seed: int = 7):
-    """M4: grid C x gamma of a linear SVM on random Fourier features (approximate
-    RBF kernel by design).  Returns rows ``(C, gamma, valid_acc)``."""
-    def one(g):
-        rff = random_fourier(array_col, dim, g, n_out, seed)
-        tr = assemble(train.select(array_col, label).select("*", rff), ["rff"], "rff_vec")
-        va = assemble(valid.select(array_col, label).select("*", rff), ["rff"], "rff_vec")
-        res, _ = tune_svm_linear(tr, va, Cs, "rff_vec", label, n_classes)
-        return [(C, float(g), acc) for C, acc in res]
-
-    return [r for part in grid_map(one, gammas, max(1, GRID_PARALLELISM // max(len(Cs), 1))) for r in part]
+def _grid_rows(blocks, models, names: Sequence[tuple]) -> list[tuple]:
+    return [(*name, score) for name, score in zip(names, G.scores(blocks, models), strict=True)]
+
+
+def first_best(rows: Sequence[tuple]) -> int:
+    """Index of the highest last entry, the first of equals."""
+    return max(range(len(rows)), key=lambda i: (rows[i][-1], -i))
+
+
+def _scaled_features(train: DataFrame, features: str, scale: bool) -> Column:
+    """The features, mapped to [-1, 1] by the ranges of ``train`` if ``scale``."""
+    return G.scaled(F.col(features), *G.ranges(train, F.col(features))) if scale else F.col(features)
+
+
+def tune_svm_sets(train: DataFrame, valid: DataFrame, sets: Sequence[tuple[str, Sequence[int]]], Cs: Sequence[float] = SVM_C,
+                  features: str = "features", label: str = "label", classes: Sequence[float] = (0.0, 1.0),
+                  scale: bool = True) -> list[tuple[str, float, float]]:
+    """M9: rows ``(set, C, valid_acc)`` of a linear SVM for each column set of one array column and each C, all
+    fitted together.  Three and more classes use one against the rest."""
+    x = _scaled_features(train, features, scale)
+    views = [G.Columns(tuple(at)) for _, at in sets]
+    names = [(name, float(C)) for name, _ in sets for C in Cs]
+    settings = [(v, C, -1) for v in range(len(sets)) for C in Cs]
+    with G.packed(train, x, label, views) as tr, G.packed(valid, x, label, views) as va:
+        found = _grid_rows(va, G.classifiers(tr, settings, classes), names)
+    return [(name, C, score["accuracy"]) for name, C, score in found]
+
+
+def tune_svm_linear(train: DataFrame, valid: DataFrame, Cs: Sequence[float] = SVM_C, features: str = "features",
+                    label: str = "label", classes: Sequence[float] = (0.0, 1.0), dim: int = 64, scale: bool = True):
+    """M3: C by validation accuracy (first best kept); returns rows ``(C, valid_acc)`` and the best C."""
+    rows = [r[1:] for r in tune_svm_sets(train, valid, [("all", range(dim))], Cs, features, label, classes, scale)]
+    return rows, rows[first_best(rows)][0]
+
+
+def tune_svm_rbf_approx(train: DataFrame, valid: DataFrame, features: str, dim: int, Cs: Sequence[float] = SVM_C,
+                        gammas: Sequence[float] = SVM_GAMMA, n_out: int = 128, label: str = "label",
+                        classes: Sequence[float] = (0.0, 1.0), seed: int = 7, scale: bool = True):
+    """M4: the C x gamma grid of a linear SVM on random Fourier features (approximate RBF kernel by design), all points
+    fitted together on one projection.  Rows ``(C, gamma, valid_acc)``, C first as in the reference's loops."""
+    x = _scaled_features(train, features, scale)
+    draw = G.Projection.draw(dim, n_out, seed)
+    views = draw.views(gammas)
+    grid = [(C, v) for C in Cs for v in range(len(views))]
+    with G.packed(train, x, label, views, draw) as tr, G.packed(valid, x, label, views, draw) as va:
+        models = G.classifiers(tr, [(v, C, -1) for C, v in grid], classes)
+        found = _grid_rows(va, models, [(float(C), float(gammas[v])) for C, v in grid])
+    return [(C, g, score["accuracy"]) for C, g, score in found]
+
+
+def tune_svr(train: DataFrame, valid: DataFrame, features: str, dim: int, Cs: Sequence[float] = SVM_C,
+             gammas: Sequence[float] | None = SVM_GAMMA, epsilons: Sequence[float] = SVR_EPSILON, n_out: int = 128,
+             label: str = "label", seed: int = 7, scale: bool = True):
+    """M5: epsilon-insensitive regression over C, gamma and epsilon on random Fourier features (``gammas=None``: linear).
+    Rows ``(C, gamma or None, epsilon, mse, r2)``; all points are fitted together."""
+    x = _scaled_features(train, features, scale)
+    draw = G.Projection.draw(dim, n_out, seed) if gammas is not None else None
+    views = draw.views(gammas) if draw else [G.Columns(tuple(range(dim)))]
+    grid = [(C, v, e) for C in Cs for v in range(len(views)) for e in epsilons]
+    with G.packed(train, x, label, views, draw) as tr, G.packed(valid, x, label, views, draw) as va:
+        points = [G.Point(v, "epsilon", float(C), epsilon=float(e)) for C, v, e in grid]
+        models = [G.Model((p,), (w,)) for p, w in zip(points, G.fit(tr, points), strict=True)]
+        found = _grid_rows(va, models, [(float(C), float(gammas[v]) if draw else None, float(e)) for C, v, e in grid])
+    return [(C, g, e, score["mse"], score["r2"]) for C, g, e, score in found]
 
 
 def tune_regression(train: DataFrame, valid: DataFrame, reg_params: Sequence[float],
@@ -238,6 +239,40 @@ def var_price_regression(train: DataFrame, test: DataFrame, n_days: int, opens:
     return p.withColumn("predicted_label", direction_from_price(change)).drop("_x", "_xv")
 
 
+def price_moments(train: DataFrame, width: int, opens: str = "opens", target: str = "next_open") -> tuple[np.ndarray, np.ndarray]:
+    """Means and centred second moments of ``(opens..., target)``, two aggregates over the rows (missing opens as 0)."""
+    v = F.concat(F.transform(F.slice(opens, 1, width), lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))), F.array(F.col(target)))
+    rows = train.select(v.alias("v"))
+    mean = rows.select(Summarizer.mean(array_to_vector("v")).alias("m")).first()["m"]
+    if mean is None or not len(mean):
+        return np.zeros(width + 1), np.zeros((width + 1, width + 1))
+    centre = F.array(*[F.lit(float(m)) for m in mean])
+    c = rows.select(F.zip_with("v", centre, lambda a, b: a - b).alias("c"))
+    outer = F.flatten(F.transform("c", lambda a: F.transform("c", lambda b: a * b)))
+    second = c.select(Summarizer.mean(array_to_vector(outer)).alias("m")).first()["m"]
+    return mean.toArray(), second.toArray().reshape(width + 1, width + 1)
+
+
+def var_price_sweep(train: DataFrame, test: DataFrame, days: Iterable[int], width: int, opens: str = "opens",
+                    target: str = "next_open", label: str = "label") -> DataFrame:
+    """M7 for every number of days: the normal equations of n days are the leading block of one moment matrix of
+    all ``width`` opens.  ``(n_days, intercept, coef_1, coef_last, test_acc)``; ``test`` is read once."""
+    mean, second = price_moments(train, width, opens, target)
+    fits = []
+    for n in days:
+        k = min(n + 1, width)
+        w = np.linalg.lstsq(second[:k, :k], second[:k, -1], rcond=None)[0]
+        fits.append((int(n), float(mean[-1] - w @ mean[:k]), w.tolist()))
+    coded = F.array(*[F.struct(F.lit(n).alias("n_days"), F.lit(b).alias("intercept"), F.array(*[F.lit(x) for x in w]).alias("w")) for n, b, w in fits])
+    x = F.transform(opens, lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    d = test.select(x.alias("x"), F.col(label).alias("label"), F.explode(coded).alias("m")).select("x", "label", "m.*")
+    dot = F.aggregate(F.zip_with("w", F.slice("x", F.lit(1), F.size("w")), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    change = F.try_divide((dot + F.col("intercept") - F.col("x")[0]) * 100, F.col("x")[0])
+    hit = F.avg((direction_from_price(change) == F.col("label")).cast("double"))
+    return d.groupBy("n_days").agg(F.first("intercept").alias("intercept"), F.first(F.col("w")[0]).alias("coef_1"),
+                                   F.first(F.element_at("w", -1)).alias("coef_last"), hit.alias("test_acc"))
+
+
 def feature_set_sweep(spark: SparkSession, data: DataFrame, sets: Sequence[tuple[str, Sequence[str]]],
                       label: str = "label", split_col: str = "split", C: float = 1.0) -> DataFrame:
     """M8: one logistic fit per feature set ``(name, [array blocks])`` over the same
@@ -255,19 +290,17 @@ def feature_set_sweep(spark: SparkSession, data: DataFrame, sets: Sequence[tuple
     return spark.createDataFrame(rows, "features string, n_features int, train_acc double, test_acc double")
 
 
-def fit_selected(tuning: Sequence[tuple[str, float]], data: dict[str, tuple[DataFrame, DataFrame]],
-                 label: str = "label", features: str = "features") -> dict[str, DataFrame]:
-    """M6: refit each feature set with its tuned C (scaled to [-1, 1] on train) and
-    return test predictions ``(row_idx, label, prediction)`` per set."""
-    out = {}
-    for name, C in tuning:
-        tr, te = data[name]
-        tr_s, (te_s,) = scale_minmax(tr, [te], features)
-        with cached(tr_s.select(f"{features}_scaled", label)) as (fit_in,):
-            m = LinearSVC(featuresCol=f"{features}_scaled", labelCol=label,
-                          regParam=reg_param(C, fit_in.count())).fit(fit_in)
-        out[name] = m.transform(te_s).select("row_idx", label, F.col("prediction").cast("int").alias("prediction"))
-    return out
+def fit_selected(train: DataFrame, test: DataFrame, tuning: Sequence[tuple[str, Sequence[int], float]], keys: Sequence[str],
+                 features: str = "features", label: str = "label", classes: Sequence[float] = (0.0, 1.0)) -> DataFrame:
+    """M6: every feature set ``(name, columns, tuned C)`` refitted on ``train`` (scaled to [-1, 1]), all together, and its
+    predictions on both sets: ``keys, label, name, prediction, part`` (train or test)."""
+    x = _scaled_features(train, features, True)
+    views = [G.Columns(tuple(at)) for _, at, _ in tuning]
+    with G.packed(train, x, label, views) as tr:
+        models = G.classifiers(tr, [(v, C, -1) for v, (_, _, C) in enumerate(tuning)], classes)
+    named = [(name, m) for (name, _, _), m in zip(tuning, models, strict=True)]
+    both = [G.predictions(df, keys, x, views, named, label).withColumn("part", F.lit(part)) for df, part in ((train, "train"), (test, "test"))]
+    return both[0].unionByName(both[1])
 
 
 def to_array(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pricewire.operators import topics as TP
 from pricewire.plans import sql as S
 from pricewire.plans.base import query, rounded
 from pricewire.plans.q_prices import labelled_samples
+from pricewire.session import cut_lineage
 from pricewire.sources import tables as T
 
 SEED = 7
@@ -132,7 +133,15 @@ def _train_valid(spark, sf_dir):
 def q_tune_svm_linear(spark, sf_dir):
     """M3: linear SVM, C = 2^-5..2^9 chosen on a validation split (first best kept)."""
     tr, va = _train_valid(spark, sf_dir)
-    rows, best = M.tune_svm_linear(tr, va, M.SVM_C, "vec")
+    rows, best = M.tune_svm_linear(tr, va)
+    return spark.createDataFrame([(c, a, c == best) for c, a in rows], "C double, valid_acc double, best boolean")
+
+
+@query("tune_svm_three_class")
+def q_tune_svm_three_class(spark, sf_dir):
+    """M3 with three classes (one against the rest)."""
+    tr, va = (d.withColumn("label", F.col("class3").cast("double")) for d in _train_valid(spark, sf_dir))
+    rows, best = M.tune_svm_linear(tr, va, classes=(0.0, 1.0, 2.0))
     return spark.createDataFrame([(c, a, c == best) for c, a in rows], "C double, valid_acc double, best boolean")
 
 
@@ -140,8 +149,7 @@ def q_tune_svm_linear(spark, sf_dir):
 def q_tune_svm_rbf_approx(spark, sf_dir):
     """M4: C x gamma (the whole 15 x 13 grid) on 128 random Fourier features."""
     tr, va = _train_valid(spark, sf_dir)
-    rows = M.tune_svm_rbf_approx(tr, va, "features", 64, M.SVM_C, M.SVM_GAMMA)
-    return spark.createDataFrame(rows, "C double, gamma double, valid_acc double")
+    return spark.createDataFrame(M.tune_svm_rbf_approx(tr, va, "features", 64), "C double, gamma double, valid_acc double")
 
 
 def price_samples(spark, sf_dir):
@@ -167,28 +175,20 @@ def q_tune_regression(spark, sf_dir):
     return spark.createDataFrame(rows, "loss string, reg_param double, mse double, r2 double")
 
 
-@query("fit_selected")
-def q_fit_selected(spark, sf_dir):
-    """M6: refit the tuned linear SVM (scaled features) and write test predictions."""
-    tr, va = _train_valid(spark, sf_dir)
-    _, best = M.tune_svm_linear(tr, va, M.SVM_C, "vec")
-    full_tr, te = dense_vectors(spark, sf_dir)
-    preds = M.fit_selected([("dense", best)], {"dense": (full_tr, te)}, features="vec")["dense"]
-    return preds.select("row_idx", F.col("label").cast("int").alias("label"), "prediction")
-
-
-@query("var_price_regression")
-def q_var_price_regression(spark, sf_dir):
-    """M7: OLS of the next open on the last n + 1 opens, n = 1..20; direction accuracy."""
-    with M.cached(price_samples(spark, sf_dir)) as (s,):
-        tr, te = s.where(F.col("split") == 0), s.where(F.col("split") == 1)
+@query("tune_svr")
+def q_tune_svr(spark, sf_dir):
+    """M5: epsilon-insensitive regression of the next open, the whole grid of C (15), gamma (13) and epsilon (8)."""
+    s = price_samples(spark, sf_dir).withColumn("x", nan_to_zero("opens"))
+    rows = M.tune_svr(s.where(F.col("split") == 0), s.where(F.col("split") == 1), "x", T.N_PREV, label="next_open")
+    return spark.createDataFrame(rows, "C double, gamma double, epsilon double, mse double, r2 double")
 
-        def one(n):
-            p = M.var_price_regression(tr, te, n)
-            return n, p.agg(F.avg((F.col("predicted_label") == F.col("label")).cast("double"))).first()[0]
 
-        rows = M.grid_map(one, range(1, 21))
-    return spark.createDataFrame(rows, "n_days int, test_acc double")
+@query("tune_svr_linear")
+def q_tune_svr_linear(spark, sf_dir):
+    """M5 without a kernel: epsilon-insensitive linear regression over C (15) and epsilon (8)."""
+    s = price_samples(spark, sf_dir).withColumn("x", nan_to_zero("opens"))
+    rows = M.tune_svr(s.where(F.col("split") == 0), s.where(F.col("split") == 1), "x", T.N_PREV, gammas=None, label="next_open")
+    return spark.createDataFrame(rows, "C double, gamma double, epsilon double, mse double, r2 double").drop("gamma")
 
 
 _VAR1 = S.with_(S.PRICES, S.SYMBOL_MAP, S.COLLECTION, S.DOCS_PER_DAY, S.SERIES) + f""",
@@ -229,6 +229,47 @@ def q_var_price_regression_n1(spark, sf_dir):
     return rounded(out)
 
 
+_M = T.N_PREV + 1  # opens x1.. and the next open y, as rows and columns of the swept matrix
+
+# The sweep operator on one matrix per step: after step k the last column holds the regression on the first k opens.
+_VAR_ALL = S.with_(S.PRICES, S.SYMBOL_MAP, S.COLLECTION, S.DOCS_PER_DAY, S.SERIES).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ps AS (
+  SELECT next_open AS y, open AS x0, [open, {', '.join(f'coalesce(lag(open, {i}) OVER ({W}), 0)' for i in range(1, T.N_PREV))}] AS x,
+         CASE WHEN abs(change) >= {T.SIG_PCT} THEN 1 ELSE 0 END AS label,
+         CASE WHEN date <= DATE '{SPLIT_DATE}' THEN 0 ELSE 1 END AS split
+  FROM series
+  QUALIFY doc_idx IS NOT NULL AND (abs(change) >= {T.SIG_PCT} OR abs(change) <= {T.INSIG_PCT})),
+tr AS (SELECT row_number() OVER () AS id, list_concat(x, [y]) AS v FROM ps WHERE split = 0 AND y IS NOT NULL),
+lv AS (SELECT id, i, v[i] AS v FROM tr, range(1, {_M + 1}) r(i)),
+mu AS (SELECT i, avg(v) AS m FROM lv GROUP BY i),
+ce AS (SELECT id, i, v - m AS v FROM lv JOIN mu USING (i)),
+cv AS (SELECT a.i, b.i AS j, avg(a.v * b.v) AS c FROM ce a JOIN ce b USING (id) GROUP BY ALL),
+m0 AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(c ORDER BY j) AS r FROM cv GROUP BY i)),
+sw AS (SELECT 0::BIGINT AS k, a FROM m0 UNION ALL
+       SELECT k + 1, list_transform(range(1, {_M + 1}), lambda i: list_transform(range(1, {_M + 1}), lambda j:
+         CASE WHEN i = k + 1 AND j = k + 1 THEN 1 / a[i][j] WHEN i = k + 1 THEN a[i][j] / a[i][i]
+              WHEN j = k + 1 THEN -a[i][j] / a[j][j] ELSE a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] END))
+       FROM sw WHERE k < {T.N_PREV}),
+co AS (SELECT n, list_transform(range(1, least(n + 1, {T.N_PREV}) + 1), lambda i: a[i][{_M}]) AS w
+       FROM range(1, 21) r(n) JOIN sw ON k = least(n + 1, {T.N_PREV})),
+ml AS (SELECT list(m ORDER BY i) AS m FROM mu),
+cf AS (SELECT n, w, m[{_M}] - list_dot_product(w, m[1 : len(w)]) AS b FROM co, ml),
+te AS (SELECT n, label, (b + list_dot_product(w, x[1 : len(w)]) - x0) * 100 / nullif(x0, 0) AS c
+       FROM ps, cf WHERE split = 1 AND y IS NOT NULL)
+SELECT CAST(n AS INTEGER) AS n_days, round(any_value(b), 4) AS intercept, round(any_value(w[1]), 6) AS coef_1,
+       round(any_value(w[len(w)]), 6) AS coef_last,
+       round(avg(CAST(CASE WHEN c > 0 THEN 1 WHEN c <= 0 THEN 0 ELSE -1 END = label AS DOUBLE)), 6) AS test_acc
+FROM te JOIN cf USING (n) GROUP BY n"""
+
+
+@query("var_price_regression", _VAR_ALL)
+def q_var_price_regression(spark, sf_dir):
+    """M7: OLS of the next open on today's and the n previous opens, n = 1..20, from one moment matrix; direction accuracy."""
+    s = price_samples(spark, sf_dir)
+    out = M.var_price_sweep(s.where(F.col("split") == 0), s.where(F.col("split") == 1), range(1, 21), T.N_PREV)
+    return out.select("n_days", F.round("intercept", 4).alias("intercept"), *[F.round(c, 6).alias(c) for c in ("coef_1", "coef_last", "test_acc")])
+
+
 SWEEP_SETS = [
     ("topics today", ["topic_today"]),
     ("topic change", ["topic_change"]),
@@ -245,16 +286,45 @@ def q_feature_set_sweep(spark, sf_dir):
     return M.feature_set_sweep(spark, sample_blocks(spark, sf_dir), SWEEP_SETS)
 
 
+BLOCK_WIDTHS = [("topic_today", T.TOPIC_K), ("topic_change", T.TOPIC_K), ("stock1", 1), ("stock5", 5)]
+
+
+def _set_columns() -> list[tuple[str, list[int]]]:
+    """The sweep's sets as columns of all blocks side by side."""
+    begin, at = {}, 0
+    for name, width in BLOCK_WIDTHS:
+        begin[name] = range(at, at + width)
+        at += width
+    return [(name, [i for b in blocks for i in begin[b]]) for name, blocks in SWEEP_SETS]
+
+
+def _wide(spark, sf_dir):
+    return sample_blocks(spark, sf_dir).select(*KEY, "label", "split", F.concat(*[b for b, _ in BLOCK_WIDTHS]).alias("features"))
+
+
+def _tuned_sets(data):
+    return M.tune_svm_sets(data.where(F.col("split") == 0), data.where(F.col("split") == 1), _set_columns())
+
+
+def _best_C(rows) -> dict[str, float]:
+    return {name: (mine := [r for r in rows if r[0] == name])[M.first_best(mine)][1] for name, _ in SWEEP_SETS}
+
+
 @query("tune_all_feature_sets")
 def q_tune_all_feature_sets(spark, sf_dir):
-    """M9: linear-SVM tuning of every feature set on its train / test split."""
-    with M.cached(sample_blocks(spark, sf_dir)) as (data,):
-        def one(item):
-            name, blocks = item
-            a = M.assemble(data, blocks)
-            res, best = M.tune_svm_linear(a.where(F.col("split") == 0), a.where(F.col("split") == 1),
-                                          M.SVM_C)
-            return [(name, c, acc, c == best) for c, acc in res]
-
-        rows = [r for part in M.grid_map(one, SWEEP_SETS, 2) for r in part]
-    return spark.createDataFrame(rows, "features string, C double, valid_acc double, best boolean")
+    """M9: linear-SVM tuning of every feature set on its train / test split, 15 values of C each."""
+    with M.cached(_wide(spark, sf_dir)) as (data,):
+        rows = _tuned_sets(data)
+    best = _best_C(rows)
+    return spark.createDataFrame([(*r, r[1] == best[r[0]]) for r in rows], "features string, C double, valid_acc double, best boolean")
+
+
+@query("fit_selected")
+def q_fit_selected(spark, sf_dir):
+    """M6: every feature set refitted with its tuned C; predictions on its train and test rows."""
+    data = cut_lineage(_wide(spark, sf_dir))
+    best = _best_C(_tuned_sets(data))
+    tuning = [(name, at, best[name]) for name, at in _set_columns()]
+    preds = M.fit_selected(data.where(F.col("split") == 0), data.where(F.col("split") == 1), tuning, KEY)
+    return preds.select(F.col("name").alias("features"), "part", *KEY, F.col("label").cast("int").alias("label"),
+                        F.col("prediction").cast("int").alias("prediction"))

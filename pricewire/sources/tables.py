@@ -131,9 +131,10 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(row_idx, label, features array<double>)`` from the embeddings, label = label % 2."""
+    """``(row_idx, label, class3, features array<double>)`` from the embeddings, label = label % 2, class3 = label % 3."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("row_idx"), (F.col("label") % 2).cast("double").alias("label"),
+                    (F.col("label") % 3).alias("class3"),
                     F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 

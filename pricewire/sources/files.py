@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from pricewire.functions import prices as P
 from pricewire.functions import text as X
+from pricewire.functions.literals import literal_to_json
 
 # ---------------------------------------------------------------------------
 # Fixed values of the file formats.
@@ -55,27 +56,19 @@ def company_from_file(name: Column, kind: str) -> Column:
 
 
 def src_article_meta(spark: SparkSession, path: str) -> DataFrame:
-    """S1 + S3: crawl metadata lines ``{'response': {'docs': [...]}}`` (Python
-    literals) from files whose name contains ``json``.  Returns
-    ``(company, _id, pub_date, day, file_no, line_no, parsed)``; rows that do
-    not parse keep ``parsed = false`` (a rejects output), empty doc lists are
-    skipped."""
+    """S1 + S3: crawl metadata lines ``{'response': {'docs': [...]}}`` (Python literals) from files whose name contains ``json``.
+    Returns ``(company, _id, pub_date, day, file_no, line_no, parsed)``.  A line with an empty list gives no row; every line
+    that is no such literal gives one with ``parsed = false`` (a rejects output)."""
     raw = with_line_numbers(spark.read.text(path)).where(F.col("file_path").contains("json"))
-    text = F.regexp_replace(F.col("value"), r"\bu'", "'")      # Python 2 unicode prefixes
-    schema = T.StructType([T.StructField("response", T.StructType([T.StructField("docs", T.ArrayType(
-        T.StructType([T.StructField("_id", T.StringType()), T.StructField("pub_date", T.StringType())])))]))])
-    parsed = raw.select(company_from_file(file_name(F.col("file_path")), "json").alias("company"),
-                        F.col("file_path").alias("file_no"),
-                        "line_no", F.from_json(text, schema, {"allowSingleQuotes": "true"}).alias("j"))
-    ok = parsed.where(F.col("j.response.docs").isNotNull())
-    docs = ok.select("company", "file_no", "line_no", F.explode("j.response.docs").alias("d"))
-    out = docs.select("company", F.col("d._id").alias("_id"), F.col("d.pub_date").alias("pub_date"),
-                      X.pub_day_split(F.col("d.pub_date")).alias("day"), "file_no", "line_no",
-                      F.lit(True).alias("parsed"))
-    rejects = parsed.where(F.col("j").isNull() | F.col("j.response").isNull()).select(
-        "company", F.lit(None).cast("string").alias("_id"), F.lit(None).cast("string").alias("pub_date"),
-        F.lit(None).cast("date").alias("day"), "file_no", "line_no", F.lit(False).alias("parsed"))
-    return out.unionByName(rejects)
+    line = "struct<response: struct<docs: array<struct<_id: string, pub_date: string>>>>"
+    json = F.concat(F.lit("["), literal_to_json(F.col("value")), F.lit("]"))
+    read = raw.select(company_from_file(file_name(F.col("file_path")), "json").alias("company"), F.col("file_path").alias("file_no"),
+                      "line_no", F.from_json(json, f"array<{line}>", {"allowUnquotedControlChars": "true"}).alias("j"))
+    docs = F.when(F.size("j") == 1, F.get("j", F.lit(0))["response"]["docs"])
+    out = read.select("company", "file_no", "line_no", docs.isNotNull().alias("parsed"),
+                      F.explode(F.coalesce(docs, F.array(F.lit(None)))).alias("d"))
+    return out.select("company", F.col("d._id").alias("_id"), F.col("d.pub_date").alias("pub_date"),
+                      X.pub_day_split(F.col("d.pub_date")).alias("day"), "file_no", "line_no", "parsed")
 
 
 def src_article_text(spark: SparkSession, path: str) -> DataFrame:

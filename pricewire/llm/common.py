@@ -39,6 +39,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet in the shared folder and read again: like ``saved``, but columns that repeat take little room."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a saved table of a few fixed-width columns if a count shows at most ``rows`` rows;
     otherwise leave the shuffled join (which AQE may split when skewed)."""

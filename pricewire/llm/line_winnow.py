@@ -4,16 +4,18 @@ A document is the sequence of hashes of its lines with a word (trimmed of ASCII
 lines selects the position of its smallest hash (the rightmost of equals) as a fingerprint, so two documents that
 share ``window`` lines in a row are sure to share one.  Fingerprints that occur once in the corpus are dropped; the positions
 left are joined on the content of the windows that selected them, and each is matched to the
-first such place (by doc_id, then position).  A match extends both ways over the windows next to it that match too;
+first such place (by doc_id, the text's key, then position).  A match extends both ways over the windows next to it that match too;
 the runs of lines so covered repeat an earlier run of at least ``window`` lines and are deleted, the first occurrence
 stays.  Blank lines are neither compared nor deleted.
 
-With ``min_words``, shorter runs count too: each run of fewer than ``window`` lines that holds at least so many words, and the
-whole of each document of fewer than ``window`` lines, are windows like the others, with fingerprints of their own.
+Shorter runs count too: each run of fewer than ``window`` lines that holds at least ``min_words`` words, and the whole of each
+document of fewer than ``window`` lines, are windows like the others, with fingerprints of their own (``min_words=None``: only
+windows of ``window`` lines count).
 
-Defined cases: null text is null and has no lines; a null doc_id comes before all others; rows equal in doc_id and text are
-copies of one place and delete nothing from each other, while repeats inside one document count; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: null text is null and has no lines; a null doc_id comes before all others; different texts with one
+doc_id (or none) are places of their own, in the order of the texts' keys; rows equal in doc_id and text are copies of one place
+and delete nothing from each other, while repeats inside one document count; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewire.llm.common import saved, text_key
+from pricewire.llm.common import stored, text_key
 
 WINDOW = 3
 MIN_WORDS = 20
@@ -71,17 +73,17 @@ def wordy_windows(docs: DataFrame, window: int = WINDOW, min_words: int = MIN_WO
     return d.select("doc_id", "tkey", "w.start", "w.place", "w.h", F.struct("w.c0", "w.c1").alias("content"), "w.size")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int | None = MIN_WORDS) -> DataFrame:
     """(doc_id, tkey, lines) -> doc_id, tkey, runs: array<struct<first, last>> of places among lines with a word."""
-    w = (saved(windows(docs, window)).withColumn("size", F.lit(window)) if min_words is None
-         else saved(wordy_windows(docs, window, min_words)))
+    made = windows(docs, window).withColumn("size", F.lit(window)) if min_words is None else wordy_windows(docs, window, min_words)
+    w = stored(made, "line-windows")
     prints = w.select("doc_id", "tkey", "place", "h").distinct()
     often = prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     seeds = w.join(often, "h", "left_semi")
-    first = seeds.groupBy("content").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.count(F.lit(1)).alias("n"))
+    first = seeds.groupBy("content").agg(F.min(F.struct("doc_id", "tkey", "start")).alias("ref"), F.count(F.lit(1)).alias("n"))
     # A later place of the same document must not overlap the first one.
     match = seeds.join(first.filter("n > 1"), "content").filter(
-        ~F.col("doc_id").eqNullSafe(F.col("ref.doc_id")) | (F.col("start") >= F.col("ref.start") + F.col("size")))
+        ~F.col("doc_id").eqNullSafe(F.col("ref.doc_id")) | (F.col("tkey") != F.col("ref.tkey")) | (F.col("start") >= F.col("ref.start") + F.col("size")))
     # Extension: matched windows that touch or overlap join into one run.
     by = Window.partitionBy("doc_id", "tkey").orderBy("start")
     m = match.groupBy("doc_id", "tkey", "start").agg((F.col("start") + F.max("size")).alias("end"))
@@ -94,7 +96,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, min_words: int | None =
 
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                min_words: int | None = None) -> DataFrame:
+                min_words: int | None = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, n_lines (with a word), n_deleted, deleted_runs, text (without the deleted lines)."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        text_key(text_col).alias("tkey"))

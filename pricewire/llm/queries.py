@@ -21,15 +21,18 @@ def op2_token_counts(spark, sf_dir):
     return separator_scan.document_token_counts(_table(spark, sf_dir, "documents"))
 
 
-def op3_line_dedup(spark, sf_dir):
-    d = line_winnow.dedup_lines(_table(spark, sf_dir, "documents"))
+def _deleted_lines(spark, sf_dir, **options):
+    d = line_winnow.dedup_lines(_table(spark, sf_dir, "documents"), **options)
     return d.select("doc_id", "n_lines", "n_deleted", "deleted_runs", F.md5(F.col("text")).alias("text_md5"))
 
 
-def op3_line_dedup_words(spark, sf_dir):
-    """op3 with the short runs too: those of one or two lines that hold 20 words, and whole documents of as few lines."""
-    d = line_winnow.dedup_lines(_table(spark, sf_dir, "documents"), min_words=line_winnow.MIN_WORDS)
-    return d.select("doc_id", "n_lines", "n_deleted", "deleted_runs", F.md5(F.col("text")).alias("text_md5"))
+def op3_line_dedup(spark, sf_dir):
+    return _deleted_lines(spark, sf_dir)
+
+
+def op3_line_dedup_windows(spark, sf_dir):
+    """op3 without the short runs: only runs of at least three lines."""
+    return _deleted_lines(spark, sf_dir, min_words=None)
 
 
 def op4_feistel_shards(spark, sf_dir):
@@ -75,7 +78,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_token_counts, op3_line_dedup, op3_line_dedup_words, op4_feistel_shards, op5_ngram_jaccard, op6_url_aliases,
+    op1_quality_rules, op2_token_counts, op3_line_dedup, op3_line_dedup_windows, op4_feistel_shards, op5_ngram_jaccard, op6_url_aliases,
     op7_pivotal_mix, op8_piece_sampling, op9_licence_scan, op10_bloom_dedup, op11_simhash_golay, op12_bit_whitening,
     op13_prefix_trie)}
 ORACLE = sql.ORACLE

@@ -32,23 +32,26 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS
 """
 
 
-def op3(window: int = line_winnow.WINDOW) -> str:
-    cells = ", ".join(f"lead(t, {j}) OVER p" for j in range(window))
+def op3(window: int = line_winnow.WINDOW, min_words: int | None = line_winnow.MIN_WORDS) -> str:
+    def of(size: int) -> str:
+        short = f"n_lines = {size} OR {' + '.join(f'lead(words, {j}) OVER p' for j in range(size))} >= {min_words}"
+        return (f"SELECT doc_id, pos, {size} AS size, [{', '.join(f'lead(t, {j}) OVER p' for j in range(size))}] AS c FROM s "
+                f"WINDOW p AS (PARTITION BY doc_id ORDER BY pos) "
+                f"QUALIFY lead(i, {size - 1}) OVER p IS NOT NULL AND ({'true' if size == window else short})")
+    sizes = [window] if min_words is None else range(1, window + 1)
     return rf"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
                     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 l AS (SELECT doc_id, i, regexp_replace(line, '^{WS}+|{WS}+$', '', 'g') AS t FROM raw),
-s AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM l WHERE t <> ''),
-w AS (SELECT doc_id, pos, [{cells}] AS c, lead(i, {window - 1}) OVER p AS full_ FROM s
-      WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-f AS (SELECT c, min(struct_pack(d := doc_id, a := pos)) AS ref FROM w WHERE full_ IS NOT NULL GROUP BY c),
-m AS (SELECT w.doc_id, w.pos FROM w JOIN f ON w.c = f.c WHERE full_ IS NOT NULL
-      AND (w.doc_id <> ref.d OR w.pos >= ref.a + {window})),
-gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM m, (SELECT unnest(generate_series(0, {window - 1})) AS j)),
-v AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER p + {window}, true)::INT AS fresh FROM m WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
-g AS (SELECT doc_id, pos, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM v),
+s AS (SELECT doc_id, i, t, len(regexp_split_to_array(t, '{WS}+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos,
+             count(*) OVER (PARTITION BY doc_id) AS n_lines FROM l WHERE t <> ''),
+w AS ({" UNION ALL ".join(map(of, sizes))}),
+f AS (SELECT c, min(struct_pack(d := doc_id, a := pos)) AS ref FROM w GROUP BY c),
+m AS (SELECT w.doc_id, w.pos, size FROM w JOIN f ON w.c = f.c WHERE w.doc_id <> ref.d OR w.pos >= ref.a + size),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(0, size)) AS pos FROM m),
+g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM gone),
 runs AS (SELECT doc_id, list(min_ || '-' || max_ ORDER BY min_) AS deleted_runs FROM (
-         SELECT doc_id, run, min(pos) AS min_, max(pos) + {window - 1} AS max_ FROM g GROUP BY doc_id, run) GROUP BY doc_id),
+         SELECT doc_id, run, min(pos) AS min_, max(pos) AS max_ FROM g GROUP BY doc_id, run) GROUP BY doc_id),
 dead AS (SELECT s.doc_id, s.i FROM s JOIN gone USING (doc_id, pos)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM raw ANTI JOIN dead USING (doc_id, i) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id),
@@ -162,5 +165,5 @@ SELECT n.low AS conv_id, n.d::BIGINT AS depth, up.low AS parent_conv_id, n.n AS
 FROM n JOIN s USING (node) LEFT JOIN k USING (node) LEFT JOIN n up ON n.d > 0 AND up.node = left(n.node, 64 * (n.d - 1))
 """
 
-ORACLE = {"op3_line_dedup": op3(), "op5_ngram_jaccard": OP5, "op6_url_aliases": op6(), "op9_licence_scan": op9(),
+ORACLE = {"op3_line_dedup": op3(), "op3_line_dedup_windows": op3(min_words=None), "op5_ngram_jaccard": OP5, "op6_url_aliases": op6(), "op9_licence_scan": op9(),
           "op10_bloom_dedup": OP10, "op13_prefix_trie": OP13}

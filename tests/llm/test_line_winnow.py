@@ -1,11 +1,13 @@
 """Line dedup by winnowing against a direct comparison of all windows."""
 
+import hashlib
 import random
 
 import pytest
 
 from pricewire.llm.line_winnow import dedup_lines, windows
 from pricewire.llm.common import text_key
+from pricewire.llm.queries import QUERIES
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -43,7 +45,7 @@ def test_matches_brute_force(spark, window):
     rows += [(400, "\n".join(["same"] * 300)), (401, None), (402, ""), (None, "a\nb\nc d\na\nb\nc d"),
              (403, "x\ny\nz\nx\ny\nz\nx\ny\nz"), (404, "long " * 50_000)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_lines int").repartition(4)
-    got = [(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in dedup_lines(df, window).collect()]
+    got = [(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in dedup_lines(df, window, min_words=None).collect()]
     assert sorted(got, key=str) == _brute(rows, window)
 
 
@@ -97,6 +99,23 @@ def test_rows_equal_in_id_and_text_do_not_delete_each_other(spark):
     assert sorted((r.doc_id, r.text) for r in dedup_lines(df).collect()) == [(1, "a\nb\nc")] * 3 + [(2, "d")]
 
 
+def test_null_and_repeated_ids_are_places_of_their_own(spark):
+    for i in (None, 7):
+        rows = [(i, "a\nb\nc\nx"), (i, "a\nb\nc\ny")]
+        got = sorted(r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got in (["a\nb\nc\nx", "y"], ["a\nb\nc\ny", "x"])
+
+
+def test_registered_forms_match_brute_force_on_whole_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    wants = {"op3_line_dedup": _brute_words(rows, 3, 20), "op3_line_dedup_windows": _brute(rows, 3)}
+    for name, want in wants.items():
+        got = [(r.doc_id, r.n_lines, r.n_deleted, r.text_md5) for r in QUERIES[name](spark, sf).collect()]
+        md5 = [(i, n, k, None if t is None else hashlib.md5(t.encode()).hexdigest()) for i, n, k, t in want]
+        assert sorted(got, key=str) == sorted(md5, key=str) and sum(r[2] for r in got) > 0
+
+
 def test_shared_windows_share_a_fingerprint(spark):
     rows = [(1, [str(k) for k in range(40)]), (2, ["x", *[str(k) for k in range(7, 12)], "y"])]
     df = spark.createDataFrame(rows, "doc_id long, lines array<string>").selectExpr("doc_id", "0L tkey", "lines")

@@ -5,7 +5,8 @@ shared checkpoint folder and rereads it as the next stage's documents, so a stag
 and no stage is computed twice.  All but the last return the columns of documents.
 
 Defined cases (per stage, see the operators): null and empty texts have no words and go in stage 1; an empty table passes
-through every stage; extra columns are kept up to the last stage; documents mixed in twice appear twice after stage 4.
+through every stage; extra columns are kept up to the last stage; documents mixed in twice appear twice after stage 4 and draw
+samples of their own in stage 5.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the distinct sampled segmentations of each document."""
-    return piece_sampling.sample_digests(docs)
+    """Operator 8: the distinct sampled segmentations of each document and copy, with their ids (packed, see ``unpacked``)."""
+    return piece_sampling.sample_copies(docs)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix),

@@ -23,6 +23,11 @@ def n_words(text_col: str) -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
+def packed_row(docs: DataFrame, *more: Column) -> DataFrame:
+    """(_row: all columns of ``docs``, more...): no column of the documents can clash with one that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *more)
+
+
 def text_key(text_col: str) -> Column:
     """64-bit key of a text; with the id it identifies a row up to exact repeats."""
     return F.xxhash64(text_of(text_col), F.col(text_col).isNull())

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewire.llm.common import saved, small, text_key
+from pricewire.llm.common import packed_row, saved, small, text_key
 from pricewire.llm.graph import connected_components
 
 FRAGMENTS = 64          # at least; more when a fragment would hold over FRAGMENT_TOKENS shingles
@@ -268,14 +268,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     gone = (rows.join(best, "label").filter(~key.eqNullSafe(F.col("best")))
             .select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key")).distinct())
     gone = small(saved(gone))
-    keep = [F.col(f"d.`{c}`") for c in docs.columns]
-    wide = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", text_key(text_col))
+    wide = packed_row(docs, F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"))
     left = wide.alias("d").join(gone.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id"))
                                 & (F.col("d._key") == F.col("g._key")), "left_anti")
     repeats = rows.filter("label is not null").groupBy("doc_id", "tkey").count().filter("count > 1")
     if repeats.isEmpty():
-        return left.select(*keep)
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*keep)))
-    return left.withColumn("_nth", nth).filter((F.col("_nth") == 1) | (F.regexp_count(
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) == 0)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+        return left.select("_row.*")
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_row")))
+    empty = F.regexp_count(F.coalesce(F.col(f"_row.`{text_col}`").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) == 0
+    return left.withColumn("_nth", nth).filter((F.col("_nth") == 1) | empty).select("_row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewire.llm.common import global_rank, n_words, saved, text_key
+from pricewire.llm.common import global_rank, n_words, packed_row, saved, text_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -142,10 +142,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     by = Window.partitionBy("_id", "_key").orderBy(F.desc("_copies"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.col("copies").alias("_copies"))
     taken = taken.withColumn("_nth", F.row_number().over(by)).filter("_copies > 0")
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", text_key(text_col))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*keep))))
+    rows = packed_row(docs, F.col(id_col).cast("long").alias("_id"), text_key(text_col).alias("_key"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64("_row"))))
     on = F.col("r._id").eqNullSafe(F.col("t._id")) & (F.col("r._key") == F.col("t._key")) & (F.col("r._nth") == F.col("t._nth"))
     both = rows.alias("r").join(taken.alias("t"), on)
-    out = both.select(*[F.col(f"r.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return out.drop("_copy")
+    return both.select("r._row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

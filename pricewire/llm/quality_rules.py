@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricewire.llm.common import packed_row
+
 FIT_ROWS = 20_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -207,5 +209,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = Non
               text_col: str = "text", **fit_options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     rules = fit(docs, labels, id_col=id_col, text_col=text_col, **fit_options) if rules is None else rules
-    d = docs.withColumn("_s", stats_udf(F.col(text_col).cast("string")))
-    return d.filter(~base_failed("_s") & rejected_by(rules, "_s").isNull()).drop("_s")
+    d = packed_row(docs, stats_udf(F.col(text_col).cast("string")).alias("_s"))
+    return d.filter(~base_failed("_s") & rejected_by(rules, "_s").isNull()).select("_row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 DELTAS = (0.5, 0.05)
 MEMORY = 10
-MAX_EVALUATIONS = 120  # per point and smoothing width
+MAX_EVALUATIONS = 60   # per point and smoothing width
 TOLERANCE = 1e-4      # on the gradient; LIBSVM's own is 1e-3
 FLAT = 1e-7           # relative gain that counts as none; three in a row end a fit
 TASK_BYTES = 32 << 20  # of packed features that a task of a pass reads at least, if there are so many

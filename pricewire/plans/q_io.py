@@ -128,6 +128,20 @@ RUN_LOG_LAYOUT = [("change_a", 10, "change only"), ("change_b", 10, "change + to
                   ("hist_a", 15, "change only"), ("hist_b", 15, "change + topic distribution")]
 
 
+@query("article_meta_file", ORACLE["dedup_articles"])
+def q_article_meta_file(spark, sf_dir):
+    """S1 + S3 + A1: crawl metadata written as lines of Python literals, one file set per crawl, read back and de-duplicated."""
+    path = _folder(spark, "crawl")
+    m = T.article_meta(spark, sf_dir)
+    line = F.format_string("{u'response': {u'docs': [{u'_id': u'%s', u'pub_date': \"%s\", u'line': %dL, u'crawl': %d, u'section': None}]}, u'ok': True}",
+                           "_id", "pub_date", "line_no", "file_no")
+    m.select("company", F.col("file_no").alias("crawl"), line.alias("value")).write.partitionBy("company", "crawl").text(path)
+    found = S.literal_docs(spark.read.option("basePath", path).text(path), "value", "_id: string, pub_date: string, line: string, crawl: string")
+    return TX.dedup_articles(found.select("company", F.col("d._id").alias("_id"), F.col("d.pub_date").alias("pub_date"),
+                                          F.col("d.crawl").cast("int").alias("file_no"), F.col("d.line").cast("long").alias("line_no"))
+                             ).select("_id", "company", "pub_date", "file_no", "line_no")
+
+
 @query("run_log_tables", ORACLE["accuracy"].replace(
     "SELECT run_id, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM preds GROUP BY run_id",
     ", acc AS (SELECT run_id, round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy FROM preds GROUP BY run_id),\n"

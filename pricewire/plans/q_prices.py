@@ -118,14 +118,14 @@ def q_next_day_value(spark, sf_dir):
 
 @query("prev_changes", _SERIES_SQL + f"""
 SELECT symbol, date, {S.lag_cols('change', T.N_PREV, 'change_', W, rnd=6)},
-  {S.lag_cols('date', 3, 'date_', W)}
+  {S.lag_cols('date', T.N_PREV, 'date_', W)}
 FROM series""")
 def q_prev_changes(spark, sf_dir):
-    """The 20 previous changes of every day (and the dates of the first three)."""
+    """The 20 previous changes of every day and their dates."""
     s = _series(spark, sf_dir)
     w = P.series_window()
     out = s.select("symbol", "date", F.slice("changes", 2, T.N_PREV).alias("hist"),
-                   *[F.lag("date", i).over(w).alias(f"date_{i}") for i in range(1, 4)])
+                   *[F.lag("date", i).over(w).alias(f"date_{i}") for i in range(1, T.N_PREV + 1)])
     return rounded(flatten(out, "hist", T.N_PREV, "change_"))
 
 

@@ -55,10 +55,10 @@ _DOCS = S.with_(DS, SPLIT, S.COLLECTION, S.CLEAN_DOCS, """tdocs AS (
 
 
 def _cnt_sql(ngram_max=1):
-    g = _VT if ngram_max == 1 else (f"list_concat({_VT}, list_transform(range(1, len({_VT})), "
-                                    f"lambda i: {_VT}[i] || ' ' || {_VT}[i + 1]))")
-    return f"""cnt AS (SELECT row_idx, term, count(*) AS cnt
-            FROM (SELECT row_idx, unnest({g}) AS term FROM tdocs) GROUP BY ALL)"""
+    """Counts of all n-grams up to the order; the tokens of a text are cut once."""
+    return f"""cnt AS (SELECT row_idx, term, count(*) AS cnt FROM (
+  SELECT row_idx, unnest(flatten(list_transform(range(1, {ngram_max + 1}), lambda n: list_transform(range(1, len(w) - n + 2),
+         lambda i: array_to_string(w[i : i + n - 1], ' '))))) AS term FROM (SELECT row_idx, {_VT} AS w FROM tdocs)) GROUP BY ALL)"""
 
 
 def _vocab_sql(limit=MAX_FEATURES):
@@ -97,12 +97,7 @@ def q_ngram_counts(spark, sf_dir):
     return O.bow_counts(c, vocab, bound=MAX_FEATURES).select("row_idx", "idx", F.col("cnt").cast("long").alias("cnt"))
 
 
-_CNT3_SQL = f"""cnt AS (SELECT row_idx, term, count(*) AS cnt FROM (
-  SELECT row_idx, unnest(flatten(list_transform(range(1, {NGRAM_MAX + 1}), lambda n: list_transform(range(1, len(w) - n + 2),
-         lambda i: array_to_string(w[i : i + n - 1], ' '))))) AS term FROM (SELECT row_idx, {_VT} AS w FROM tdocs)) GROUP BY ALL)"""
-
-
-@query("ngram_counts_order3", _DOCS + ", " + _CNT3_SQL + ", " + _vocab_sql() + """
+@query("ngram_counts_order3", _DOCS + ", " + _cnt_sql(NGRAM_MAX) + ", " + _vocab_sql() + """
 SELECT c.row_idx, v.idx, CAST(c.cnt AS BIGINT) AS cnt FROM cnt c JOIN voc v USING (term)""")
 def q_ngram_counts_order3(spark, sf_dir):
     """F2 + T7 at the reference's default order: uni-, bi- and trigram counts, vocabulary learned on train."""

@@ -55,18 +55,25 @@ def company_from_file(name: Column, kind: str) -> Column:
     return F.regexp_extract(prefix, r"([^_]*)$", 1)
 
 
+def literal_docs(lines: DataFrame, value: str, fields: str) -> DataFrame:
+    """Rows of ``(..., value)`` lines ``{'response': {'docs': [...]}}`` without ``value``, one per entry of the list: ``parsed`` and
+    ``d`` (a struct of ``fields``); a line that is no such literal gives one row with ``parsed = false`` and a NULL ``d``."""
+    json = F.concat(F.lit("["), literal_to_json(F.col(value)), F.lit("]"))
+    read = lines.withColumn("_j", F.from_json(json, f"array<struct<response: struct<docs: array<struct<{fields}>>>>>",
+                                              {"allowUnquotedControlChars": "true"}))
+    docs = F.when(F.size("_j") == 1, F.get("_j", F.lit(0))["response"]["docs"])
+    keep = [c for c in lines.columns if c != value]
+    return read.select(*keep, docs.isNotNull().alias("parsed"), F.explode(F.coalesce(docs, F.array(F.lit(None)))).alias("d"))
+
+
 def src_article_meta(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S3: crawl metadata lines ``{'response': {'docs': [...]}}`` (Python literals) from files whose name contains ``json``.
     Returns ``(company, _id, pub_date, day, file_no, line_no, parsed)``.  A line with an empty list gives no row; every line
     that is no such literal gives one with ``parsed = false`` (a rejects output)."""
     raw = with_line_numbers(spark.read.text(path)).where(F.col("file_path").contains("json"))
-    line = "struct<response: struct<docs: array<struct<_id: string, pub_date: string>>>>"
-    json = F.concat(F.lit("["), literal_to_json(F.col("value")), F.lit("]"))
-    read = raw.select(company_from_file(file_name(F.col("file_path")), "json").alias("company"), F.col("file_path").alias("file_no"),
-                      "line_no", F.from_json(json, f"array<{line}>", {"allowUnquotedControlChars": "true"}).alias("j"))
-    docs = F.when(F.size("j") == 1, F.get("j", F.lit(0))["response"]["docs"])
-    out = read.select("company", "file_no", "line_no", docs.isNotNull().alias("parsed"),
-                      F.explode(F.coalesce(docs, F.array(F.lit(None)))).alias("d"))
+    named = raw.select(company_from_file(file_name(F.col("file_path")), "json").alias("company"), F.col("file_path").alias("file_no"),
+                       "line_no", "value")
+    out = literal_docs(named, "value", "_id: string, pub_date: string")
     return out.select("company", F.col("d._id").alias("_id"), F.col("d.pub_date").alias("pub_date"),
                       X.pub_day_split(F.col("d.pub_date")).alias("day"), "file_no", "line_no", "parsed")
 

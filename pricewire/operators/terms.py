@@ -2,7 +2,7 @@
 
 Everything is long form ``(row_idx, term, cnt)`` until a model needs a
 vector.  Vocabularies are small tables (bounded by ``max_features`` or the
-score file's ``top_k``) and are broadcast only after a row count.  Scores
+score file's ``top_k``), and only such are broadcast.  Scores
 avoid the documents x classes cross product:
 
 * chi^2 per term uses ``sum_c (O-E)^2/E = (1/F) * sum_{c: O>0} O^2/p_c - F``,

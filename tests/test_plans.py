@@ -6,9 +6,9 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin",
-             "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas")
+             "PythonUDF", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas")
 # model fits and file round trips run eagerly when built; their inputs are checked elsewhere
-EAGER = ("fit_", "tune_", "var_price", "feature_set", "top_coef", "pipeline", *(f"op{n}_" for n in range(1, 11)))
+EAGER = ("fit_", "tune_", "var_price", "feature_set", "top_coef", "pipeline", *(f"op{n}_" for n in range(1, 14)))
 
 
 def _lazy_queries():

@@ -216,7 +216,7 @@ def tune_regression(train: DataFrame, valid: DataFrame, reg_params: Sequence[flo
             p = lr.fit(tr).transform(va)
             e = F.col("prediction") - F.col(label)
             r = p.agg(F.avg(e * e).alias("mse"), F.pow(F.corr("prediction", label), 2).alias("r2")).first()
-            return loss, float(rp), float(r["mse"]), None if r["r2"] is None else float(r["r2"])
+            return loss, float(rp), *(None if r[c] is None else float(r[c]) for c in ("mse", "r2"))  # no rows: NULL
 
         return grid_map(one, [(loss, rp) for loss in losses for rp in reg_params])
 

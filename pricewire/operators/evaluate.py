@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricewire.sources.files import with_line_numbers
+
 # The three classes and their order.
 CLASSES = [-1, 0, 1]
 
@@ -134,9 +136,9 @@ def _is_number(c: Column) -> Column:
     return c.rlike(_NUMBER) & ~low.contains("nan") & ~low.contains("inf")
 
 
-def check_libsvm(lines: DataFrame, ends_with_newline: bool = True) -> DataFrame:
+def check_libsvm(lines: DataFrame, ends_with_newline: bool = True, by: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """One row per problem ``(line_no, pos, problem)`` of LIBSVM text lines
-    ``(line_no, value)`` (1-based line numbers).
+    ``(line_no, value)`` (1-based line numbers); ``by`` names the columns that identify a line.
 
     Problems: ``missing label`` (empty line), ``bad label`` (also each part of a
     comma multi-label), ``bad pair`` (not ``int:number``), ``negative index``,
@@ -144,25 +146,25 @@ def check_libsvm(lines: DataFrame, ends_with_newline: bool = True) -> DataFrame:
     starting at -1; index 0 is allowed) and ``no newline`` (last line only,
     when the text does not end with one).
     """
-    toks = lines.select("line_no", F.posexplode(F.filter(F.split(F.trim(F.col("value")), r"\s+"),
+    toks = lines.select(*by, F.posexplode(F.filter(F.split(F.trim(F.col("value")), r"\s+"),
                                                         lambda t: t != F.lit(""))).alias("pos", "tok"))
     label = toks.where(F.col("pos") == 0)
     multi = F.col("tok").contains(",")
     label_ok = F.when(multi, F.forall(F.split(F.col("tok"), ","), _is_number)).otherwise(_is_number(F.col("tok")))
-    bad_label = label.where(~label_ok).select("line_no", "pos", F.lit("bad label").alias("problem"))
-    nonempty = label.select("line_no")
-    missing = lines.join(nonempty, "line_no", "left_anti").select(
-        "line_no", F.lit(0).alias("pos"), F.lit("missing label").alias("problem"))
+    bad_label = label.where(~label_ok).select(*by, "pos", F.lit("bad label").alias("problem"))
+    nonempty = label.select(*by)
+    missing = lines.join(nonempty, list(by), "left_anti").select(
+        *by, F.lit(0).alias("pos"), F.lit("missing label").alias("problem"))
     feats = toks.where(F.col("pos") > 0)
     parts = F.split(F.col("tok"), ":")
     ok_pair = (F.size(parts) == 2) & parts.getItem(0).rlike(_INT) & _is_number(parts.getItem(1))
-    f = feats.select("line_no", "pos", F.when(ok_pair, parts.getItem(0).try_cast("long")).alias("idx"))
-    w = Window.partitionBy("line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    f = feats.select(*by, "pos", F.when(ok_pair, parts.getItem(0).try_cast("long")).alias("idx"))
+    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("_prev", F.coalesce(F.last("idx", ignorenulls=True).over(w), F.lit(-1)))
-    bad_pair = f.where(F.col("idx").isNull()).select("line_no", "pos", F.lit("bad pair").alias("problem"))
-    neg = f.where(F.col("idx") < 0).select("line_no", "pos", F.lit("negative index").alias("problem"))
+    bad_pair = f.where(F.col("idx").isNull()).select(*by, "pos", F.lit("bad pair").alias("problem"))
+    neg = f.where(F.col("idx") < 0).select(*by, "pos", F.lit("negative index").alias("problem"))
     asc = f.where((F.col("idx") >= 0) & (F.col("idx") <= F.col("_prev"))).select(
-        "line_no", "pos", F.lit("not ascending").alias("problem"))
+        *by, "pos", F.lit("not ascending").alias("problem"))
     out = bad_label.unionByName(missing).unionByName(bad_pair).unionByName(neg).unionByName(asc)
     if not ends_with_newline:
         last = lines.agg(F.max("line_no").alias("line_no")).select(
@@ -171,6 +173,21 @@ def check_libsvm(lines: DataFrame, ends_with_newline: bool = True) -> DataFrame:
     return out
 
 
+def check_libsvm_files(spark: SparkSession, path: str) -> DataFrame:
+    """E11 over the LIBSVM files of a folder: ``(file, line_no, pos, problem)`` with 1-based line numbers per file.
+
+    A file lacks its last newline when its size is one byte less than its lines with a newline each; that row names
+    the last line, at ``pos`` -1.  (Compressed files have another size and are not told apart.)  Empty files have no rows.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).withColumn("_size", F.col("_metadata.file_size"))
+    lines = with_line_numbers(raw).select(F.col("file_path").alias("file"), (F.col("line_no") + 1).alias("line_no"), "value", "_size")
+    ends = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("_bytes"), F.max("_size").alias("_size"),
+                                     F.max("line_no").alias("line_no"))
+    cut = ends.where(F.col("_bytes") == F.col("_size") + 1).select("file", "line_no", F.lit(-1).alias("pos"),
+                                                                  F.lit("no newline").alias("problem"))
+    return check_libsvm(lines, by=("file", "line_no")).unionByName(cut)
+
+
 def bad_line_count(problems: DataFrame) -> DataFrame:
     """E11 summary: number of lines with at least one problem."""
     return problems.agg(F.countDistinct("line_no").cast("long").alias("bad_lines"))

@@ -24,16 +24,28 @@ def _last(log: DataFrame, keys: list[str], value: str = "test_acc") -> DataFrame
     return log.groupBy(*keys).agg(F.max_by(value, "line_no").alias(value))
 
 
-def best_test_by_group(log: DataFrame, by: list[str]) -> DataFrame:
-    """A10: best test accuracy per group (e.g. (alpha, L), k, k x add/cont)."""
-    return log.groupBy(*by).agg(F.max("test_acc").alias("best_test_acc"))
+def best_test_by_group(log: DataFrame, by: list[str], last_of: list[str] | None = None) -> DataFrame:
+    """A10: best test accuracy per group (e.g. (alpha, L), k, k x add/cont).  With ``last_of`` only the last line of each
+    such key counts, as for (alpha, L) over its k; without it every line does, as for k."""
+    return (_last(log, last_of) if last_of else log).groupBy(*by).agg(F.max("test_acc").alias("best_test_acc"))
 
 
-def pivot_alpha_window(log: DataFrame) -> DataFrame:
-    """Alpha x L table of the best accuracy over k (history 'add' lines)."""
-    h = select_runs(log, "alpha", "cond")
-    h = _last(h, ["alpha", "L", "k"])
-    return h.groupBy("alpha").pivot("L").agg(F.max("test_acc")).orderBy("alpha")
+def history_runs(log: DataFrame, cont: bool = False) -> DataFrame:
+    """History lines whose topics are added to today's or, with ``cont``, put beside them (marked ``cond``)."""
+    return select_runs(select_runs(log, "alpha"), *(("cond", None) if cont else (None, "cond")))
+
+
+def pivot_alpha_window(log: DataFrame, cont: bool = False) -> DataFrame:
+    """Alpha x L table of the best accuracy over k of the 'add' or the ``cont`` history lines."""
+    best = best_test_by_group(history_runs(log, cont), ["alpha", "L"], ["alpha", "L", "k"])
+    return best.groupBy("alpha").pivot("L").agg(F.max("best_test_acc")).orderBy("alpha")
+
+
+def add_beside_cont(log: DataFrame) -> DataFrame:
+    """A10: ``(k, add, cont)``: best accuracy of either kind of history line per k that has 'add' lines."""
+    add = best_test_by_group(history_runs(log), ["k"]).withColumnRenamed("best_test_acc", "add")
+    cont = best_test_by_group(history_runs(log, cont=True), ["k"]).withColumnRenamed("best_test_acc", "cont")
+    return add.join(cont, "k", "left").orderBy("k")
 
 
 def pivot_change_vs_dist(log: DataFrame) -> DataFrame:

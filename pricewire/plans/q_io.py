@@ -75,14 +75,15 @@ def q_vocab_roundtrip(spark, sf_dir):
     return spark.read.parquet(path).select("term", "idx", F.col("freq").cast("long").alias("freq"))
 
 
-@query("doc_term_file", ORACLE["doc_term_lines"].replace("SELECT t.doc_idx, coalesce(k.line, '0 ') AS line",
-                                                         "SELECT coalesce(k.line, '0 ') AS line", 1))
+@query("doc_term_file", ORACLE["doc_term_lines"].replace(
+    "SELECT t.doc_idx, coalesce(k.line, '0 ') AS line",
+    "SELECT row_number() OVER (ORDER BY t.doc_idx) - 1 AS line_no, coalesce(k.line, '0 ') AS line", 1))
 def q_doc_term_file(spark, sf_dir):
-    """K4: doc-term lines written as text and read back (one line per document)."""
+    """K4: doc-term lines written as text and read back (one line per document, its place is the document's)."""
     path = _folder(spark, "docterm")
     d = q_text.stored_corpus(spark, sf_dir)
     K.sink_doc_term(TX.doc_term_lines(d, q_text.vocab(spark, sf_dir, docs=d), bound=q_text.VOCAB_SIZE), path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    return S.with_line_numbers(spark.read.text(path), whole=True).select("line_no", F.col("value").alias("line"))
 
 
 @query("term_scores_file", ORACLE["given_vocab"])
@@ -169,19 +170,20 @@ def q_run_log_tables(spark, sf_dir):
 
 
 @query("libsvm_roundtrip", ORACLE["topic_libsvm"].split("SELECT l.doc_id AS doc_idx")[0] + """
-SELECT CAST(l.quality AS DOUBLE) AS label, CAST(len(t.topic) AS INTEGER) AS n_features,
+SELECT row_number() OVER (ORDER BY l.doc_id) - 1 AS row_idx, CAST(l.quality AS DOUBLE) AS label,
+       CAST(len(t.topic) AS INTEGER) AS n_features,
        round(list_sum(list_transform(t.topic, lambda v: CAST(printf('%.6f', v) AS DOUBLE))), 6) AS total
 FROM labels l JOIN topics_n t ON t.doc_idx = l.doc_id""")
 def q_libsvm_roundtrip(spark, sf_dir):
     """K7 + S12: topic features written as LIBSVM lines and parsed back
-    (label, number of pairs, sum of values per line)."""
+    (line number, label, number of pairs, sum of values per line)."""
     from pricewire.operators import topics as TP
     lab = T.class_labels(spark, sf_dir).select("doc_idx", F.col("quality").alias("label"))
     path = _folder(spark, "libsvm")
     K.sink_libsvm(TP.topic_libsvm(lab, T.topics(spark, sf_dir)), path)
     back = S.src_libsvm(spark, path)
     vals = F.map_values("features")
-    return rounded(back.select("label", F.size("features").alias("n_features"),
+    return rounded(back.select("row_idx", "label", F.size("features").alias("n_features"),
                                F.aggregate(vals, F.lit(0.0), lambda a, v: a + v).alias("total")))
 
 

@@ -28,15 +28,17 @@ PRICE_COLUMNS = ["Date", "Open", "High", "Low", "Close"]
 # ---------------------------------------------------------------------------
 
 
-def with_line_numbers(df: DataFrame, out: str = "line_no", whole: bool = False) -> DataFrame:
+def with_line_numbers(df: DataFrame, out: str = "line_no", whole: bool = False, folder: bool = False) -> DataFrame:
     """Add the 0-based line number of each row within its file or, with ``whole``,
-    within the whole input in the order of the file paths, where it is a unique id
-    (``df`` must come straight from a file scan).  Also adds ``file_path``."""
+    within the whole input in the order of the file paths, where it is a unique id; with
+    ``folder`` within its folder, in the order of the file names (``df`` must come straight
+    from a file scan).  Also adds ``file_path``."""
     d = df.select("*", F.col("_metadata.file_path").alias("file_path"),
                   F.col("_metadata.file_block_start").alias("_blk"),
                   F.monotonically_increasing_id().alias("_mid"))
     blocks = d.groupBy("file_path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    before = Window.orderBy("file_path", "_blk") if whole else Window.partitionBy("file_path").orderBy("_blk")
+    scope = [] if whole else [F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1) if folder else F.col("file_path")]
+    before = Window.partitionBy(*scope).orderBy("file_path", "_blk")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # one row per file block (data size / block size): small, but it grows with
@@ -46,7 +48,10 @@ def with_line_numbers(df: DataFrame, out: str = "line_no", whole: bool = False)
 
 
 def file_name(c: Column | None = None) -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path") if c is None else c, r"([^/]*)$", 1)
+    """Name of the file; one that Spark wrote as a folder of part files, also as a partition folder ``column=name``,
+    has the folder's name."""
+    path = F.col("_metadata.file_path") if c is None else c
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(?:/part-[^/]*)?$", 1), r"^[^=]*=", "")
 
 
 def company_from_file(name: Column, kind: str) -> Column:
@@ -172,14 +177,15 @@ def src_labelled_samples(spark: SparkSession, path: str, n: int = SAMPLE_HISTORY
 def src_topic_gamma(spark: SparkSession, root: str) -> DataFrame:
     """``root/<folder>/final.gamma`` (one row of gammas per document, line
     number = doc_idx) with ``alpha`` from ``final.other``; folders without
-    ``final.other`` are skipped.  All folders in one table; ``k`` = vector length."""
-    g = with_line_numbers(spark.read.text(f"{root.rstrip('/')}/*/final.gamma"))
-    g = g.select(F.regexp_extract("file_path", r"([^/]*)/final\.gamma$", 1).alias("folder"),
+    ``final.other`` are skipped.  All folders in one table; ``k`` = vector length.
+    Either file may be a folder of part files, in the order of their names."""
+    g = with_line_numbers(spark.read.text(f"{root.rstrip('/')}/*/final.gamma"), folder=True)
+    g = g.select(F.regexp_extract("file_path", r"([^/]*)/final\.gamma(?:/part-[^/]*)?$", 1).alias("folder"),
                  F.col("line_no").alias("doc_idx"),
                  F.transform(F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != ""),
                              lambda t: t.cast("double")).alias("gamma"))
     other = spark.read.text(f"{root.rstrip('/')}/*/final.other")
-    alpha = (other.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/final\.other$", 1).alias("folder"),
+    alpha = (other.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)/final\.other(?:/part-[^/]*)?$", 1).alias("folder"),
                           F.regexp_extract("value", r"alpha\s+(\S+)", 1).alias("a"))
                   .where(F.col("a") != "").groupBy("folder").agg(F.first(F.col("a").cast("double")).alias("alpha")))
     return g.join(F.broadcast(alpha), "folder", "inner").select(

@@ -37,7 +37,7 @@ def _in_order(rows: DataFrame) -> DataFrame:
 def sink_raw_corpus(raw: DataFrame, path: str, overwrite: bool = False) -> None:
     """K3: ``company \\t date \\t words`` lines, in document order."""
     _in_order(raw).select("company", F.col("date").cast("string"), "text").write.mode(_mode(overwrite)) \
-        .csv(path, sep="\t", quote="", escape="")
+        .csv(path, sep="\t", quote="", escape="", emptyValue="")
 
 
 def sink_doc_term(lines: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -192,3 +192,51 @@ def test_day_corpus_holds_every_text(spark):
     want = d.select(F.md5("text").alias("m")).union(
         d.where("doc_id % 7 = 0").select(F.md5(F.concat("text", F.lit(" (updated)"))).alias("m")))
     assert sorted(r.text_md5 for r in rows.collect()) == sorted(r.m for r in want.collect())
+
+
+def test_raw_corpus_with_empty_document_reads_back_empty(spark):
+    d = os.path.join(_dir(), "raw")
+    raw = spark.createDataFrame([(5, "acme", "2020-01-02", "up up"), (6, "acme", "2020-01-03", ""), (9, "beta", "2020-01-03", 'a "b')],
+                                "doc_idx long, company string, date string, text string").withColumn("date", F.to_date("date"))
+    K.sink_raw_corpus(raw, d)
+    assert [(r["doc_idx"], r["text"]) for r in S.src_collection(spark, d).orderBy("doc_idx").collect()] == [(0, "up up"), (2, 'a "b')]
+    assert S.src_corpus_coverage(spark, d).count() == 3
+
+
+def test_a_file_may_be_a_folder_of_parts(spark):
+    d = _dir()
+    _write(d, "texts/name=nyt_acme-text-1/part-00000.txt", "a1\tx\tOne\n")
+    _write(d, "texts/name=nyt_beta-text-1/part-00000.txt", "b1\tx\tTwo\n")
+    t = S.src_article_text(spark, os.path.join(d, "texts"))
+    assert sorted((r["company"], r["_id"]) for r in t.collect()) == [("acme", "a1"), ("beta", "b1")]
+    _write(d, "lda/k2/final.gamma/part-00000.txt", "1 2\n3 4\n")
+    _write(d, "lda/k2/final.gamma/part-00001.txt", "5 6\n")
+    _write(d, "lda/k2/final.other/part-00000.txt", "alpha 0.5\n")
+    g = S.src_topic_gamma(spark, os.path.join(d, "lda")).orderBy("doc_idx").collect()
+    assert [(r["folder"], r["doc_idx"], r["gamma"]) for r in g] == [("k2", 0, [1, 2]), ("k2", 1, [3, 4]), ("k2", 2, [5, 6])]
+
+
+def test_libsvm_files_are_checked_each_on_its_own(spark):
+    from pricewire.operators import evaluate as E
+    d = _dir()
+    _write(d, "a.txt", "1 1:2\n1 2:1 1:1\n")
+    _write(d, "b.txt", "x 1:2\n\n1 1:é")
+    _write(d, "c.txt", "1 1:2\r\n1 1:3\r\n")
+    _write(d, "d.txt", "")
+    found = {(r["file"][-5:], r["line_no"], r["pos"], r["problem"]) for r in E.check_libsvm_files(spark, d).collect()}
+    assert found == {("a.txt", 2, 2, "not ascending"), ("b.txt", 1, 0, "bad label"), ("b.txt", 2, 0, "missing label"),
+                     ("b.txt", 3, 1, "bad pair"), ("b.txt", 3, -1, "no newline")}
+
+
+def test_run_log_groups(spark):
+    d = _dir()
+    lines = ["k=10, alpha=0.9, L=5 \ttest: 0.80", "k=10, alpha=0.9, L=5 \ttest: 0.51", "k=15, alpha=0.9, L=5 \ttest: 0.55",
+             "k=10, alpha=0.9, L=5 cond \ttest: 0.70", "k=20, alpha=0.9, L=5 cond \ttest: 0.60", "today k=10 \ttest: 0.4",
+             "today k=10 \ttest: 0.3"]
+    _write(d, "log.txt", "\n".join(lines) + "\n")
+    log = S.src_run_log(spark, os.path.join(d, "log.txt"))
+    # the table over k keeps the last line of a setting, the list per k keeps every line
+    assert [tuple(r) for r in RL.pivot_alpha_window(log).collect()] == [(0.9, 0.55)]
+    assert [tuple(r) for r in RL.pivot_alpha_window(log, cont=True).collect()] == [(0.9, 0.70)]
+    assert [tuple(r) for r in RL.add_beside_cont(log).collect()] == [(10, 0.80, 0.70), (15, 0.55, None)]
+    assert [tuple(r) for r in RL.today_by_k(log).collect()] == [(10, 0.3)]

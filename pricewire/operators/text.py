@@ -71,6 +71,12 @@ def _vocab_side(vocab: DataFrame, bound: int | None) -> DataFrame:
     return checked_broadcast(vocab.select("term", "idx"), bound)
 
 
+def _by_document(docs: DataFrame, bound: int | None) -> DataFrame:
+    """Before a broadcast join the documents are placed by id as whole word arrays: the words then stay with their
+    document through the join, and regrouping them moves no word.  (A shuffled join would undo the placing.)"""
+    return docs if bound is None else docs.repartition("doc_idx")
+
+
 def filter_vocab(docs: DataFrame, vocab: DataFrame, keys=("doc_idx",), bound: int | None = None) -> DataFrame:
     """Per document, the in-vocabulary tokens in order (repeats kept), long form
     ``(keys..., pos, term, idx)``.  ``bound`` = the vocabulary's size limit, when
@@ -84,9 +90,10 @@ def raw_corpus(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> D
     Documents without any vocabulary word keep an empty text (left join).
     The regroup is by document, so a task holds one document at a time.
     """
+    docs = _by_document(docs, bound)
     kept = filter_vocab(docs, vocab, bound=bound)
     grouped = (kept.groupBy("doc_idx")
-                   .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("_t")))
+                   .agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("_t")))
     text = F.coalesce(F.array_join(F.transform("_t", lambda s: s["term"]), " "), F.lit(""))
     return (docs.select("doc_idx", "company", "date").join(grouped, "doc_idx", "left")
                 .select("doc_idx", "company", "date", text.alias("text")))
@@ -94,6 +101,7 @@ def raw_corpus(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> D
 
 def doc_term(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """A6 (long form): ``(doc_idx, idx, freq)`` per document and vocabulary index."""
+    docs = _by_document(docs, bound)
     return filter_vocab(docs, vocab, bound=bound).groupBy("doc_idx", "idx").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -106,13 +114,18 @@ def doc_term_summary(docs: DataFrame, vocab: DataFrame, bound: int | None = None
 
 def doc_term_lines(docs: DataFrame, vocab: DataFrame, bound: int | None = None) -> DataFrame:
     """K4: ``{n_unique} {idx:freq} ...`` per document, ascending idx; empty doc gives ``0 ``."""
-    dt = doc_term(docs, vocab, bound)
-    g = dt.groupBy("doc_idx").agg(F.array_sort(F.collect_list(F.struct("idx", "freq"))).alias("_p"))
-    pairs = F.transform("_p", lambda s: F.concat(s["idx"].cast("string"), F.lit(":"), s["freq"].cast("string")))
-    line = F.concat(F.size("_p").cast("string"), F.lit(" "),
-                    F.array_join(F.transform(pairs, lambda p: F.concat(p, F.lit(" "))), ""))
+    docs = _by_document(docs, bound)
+    g = (filter_vocab(docs, vocab, bound=bound).groupBy("doc_idx")
+         .agg(F.sort_array(F.collect_list("idx")).alias("_a")))
+    # equal indices are neighbours: a run's length is the distance from its start to the next one's
+    places = F.sequence(F.lit(0), F.size("_a") - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get("_a", i) != F.get("_a", i - 1)))
+    g = g.select("doc_idx", "_a", starts.alias("_s"))
+    pairs = F.transform("_s", lambda p, j: F.concat(F.get("_a", p).cast("string"), F.lit(":"),
+                                                    (F.coalesce(F.get("_s", j + 1), F.size("_a")) - p).cast("string"), F.lit(" ")))
+    line = F.concat(F.size("_s").cast("string"), F.lit(" "), F.array_join(pairs, ""))
     return (docs.select("doc_idx").join(g, "doc_idx", "left")
-                .select("doc_idx", F.when(F.col("_p").isNull(), F.lit("0 ")).otherwise(line).alias("line")))
+                .select("doc_idx", F.when(F.col("_s").isNull(), F.lit("0 ")).otherwise(line).alias("line")))
 
 
 # --------------------------------------------------------------------------- articles

@@ -1,24 +1,23 @@
 """Topic features.
 
-Topic vectors are joined by document index and worked on in long form
-``(key..., i, v)`` (one row per topic component), so every history is a
-join plus a grouped sum:
-
-* W4/W5 (indexed history): the sample's previous-document list is
-  ``posexplode``d, joined to the topics, and all (alpha, L) combinations are
-  summed in *one* aggregation with one conditional sum per combination —
-  no parameter cross join, no row explosion per combination.
-* W6/W7 (adjacent history in file order): the row at ``pos`` looks back at
-  ``pos - d`` for ``d = 1..w``: an equi-join on a shifted key, uniformly
-  spread, instead of a window partitioned by company (a company holding a
-  third of the rows would otherwise be one task).
+Topic vectors are joined and moved whole; they are cut into components
+``(key..., i, v)`` only where all vectors of a result row lie together, so the
+sums by component need no shuffle of their own:
+
+* W4/W5/F9 (indexed history): a sample's own and previous documents are one
+  list, exploded, joined to the topics and placed by sample; today, the
+  previous day and all (alpha, L) combinations are sums of *one* aggregation.
+* W6/W8 (adjacent history in file order): each row sends its vector to the
+  places ``pos + d`` that look back at it, uniformly spread, instead of a
+  window partitioned by company (a company holding a third of the rows would
+  otherwise be one task).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewire.functions.vectors import topic_normalize
@@ -46,6 +45,39 @@ def _param_tag(a: float, n: int, prefix: str) -> str:
     return f"{prefix}_{str(a).replace('.', 'p')}_{n}"
 
 
+def _sample_components(samples: DataFrame, topics: DataFrame, key: Sequence[str], n_prev: int | None, zero_is_missing: bool) -> DataFrame:
+    """``(key..., k, i, at, n, size, v)``: component ``i`` of the sample's own document (``at`` 0) and of the first ``n_prev``
+    (None: all) of its ``n`` previous ones (``at`` 1, 2, ...), placed by sample.
+
+    Whole vectors are joined, missing documents (-1) having gone before the join, and moved once to their sample; only
+    there are they cut into components, so that sums by (key, k, i) need no further shuffle."""
+    prev = F.col("prev_doc_idx") if n_prev is None else F.slice("prev_doc_idx", 1, n_prev)
+    docs = F.posexplode(F.concat(F.array(F.col("doc_idx").cast("long")), prev.cast("array<long>"))).alias("at", "doc_idx")
+    s = samples.select(*key, F.size("prev_doc_idx").alias("n"), docs)
+    s = s.where((F.col("at") == 0) | (F.col("doc_idx") > (0 if zero_is_missing else -1)))
+    j = s.join(topics.select("k", "doc_idx", "topic"), "doc_idx", "inner").repartition(*key, "k")
+    return j.select(*key, "k", "at", "n", F.size("topic").alias("size"), F.posexplode("topic").alias("i", "v"))
+
+
+def _today() -> Column:
+    return F.max(F.when(F.col("at") == 0, F.col("v")))
+
+
+def _size() -> Column:
+    return F.max(F.when(F.col("at") == 0, F.col("size")))
+
+
+def _prev() -> Column:
+    return F.sum(F.when(F.col("at") == 1, F.col("v")).otherwise(0.0))
+
+
+def _history_sums(alphas: Sequence[float], windows: Sequence[int], order: str) -> list[Column]:
+    """One sum per (alpha, L): components weighted by ``alpha^(w + 1)`` for places ``w < L`` of the history as read."""
+    w = (F.col("n") - F.col("at")) if order == "as_read" else (F.col("at") - 1)
+    return [F.sum(F.when((F.col("at") > 0) & (w < L), F.pow(F.lit(float(a)), w + 1) * F.col("v")).otherwise(0.0))
+            .alias(_param_tag(a, L, "h")) for a in alphas for L in windows]
+
+
 def topic_change_prev(samples: DataFrame, topics: DataFrame, key: Sequence[str],
                       zero_is_missing: bool = True) -> DataFrame:
     """``(key..., k, i, today, prev, change)``; ``change = today - prev``.
@@ -53,16 +85,11 @@ def topic_change_prev(samples: DataFrame, topics: DataFrame, key: Sequence[str],
     ``prev`` is the topic of the previous trading day's document
     (``prev_doc_idx[0]``) and 0 when there is none (or it is document 0, as
     in the reference, unless ``zero_is_missing=False``).  Samples whose own
-    document has no topic vector are dropped.
+    document has no topic vector are dropped.  ``key`` identifies a sample.
     """
-    tl = topics_long(topics)
-    lo = 0 if zero_is_missing else -1
-    s = samples.select(*key, "doc_idx", F.col("prev_doc_idx")[0].alias("_prev"))
-    today = s.join(tl, "doc_idx", "inner").select(*key, "_prev", "k", "i", F.col("v").alias("today"))
-    prev = tl.select(F.col("doc_idx").alias("_prev"), "k", "i", F.col("v").alias("prev"))
-    j = today.join(prev, ["_prev", "k", "i"], "left")
-    p = F.when(F.col("_prev") > lo, F.coalesce("prev", F.lit(0.0))).otherwise(F.lit(0.0))
-    return j.select(*key, "k", "i", "today", p.alias("prev"), (F.col("today") - p).alias("change"))
+    c = _sample_components(samples, topics, key, 1, zero_is_missing)
+    g = c.groupBy(*key, "k", "i").agg(_today().alias("today"), _prev().alias("prev")).where(F.col("today").isNotNull())
+    return g.select(*key, "k", "i", "today", "prev", (F.col("today") - F.col("prev")).alias("change"))
 
 
 def topic_hist_indexed(samples: DataFrame, topics: DataFrame, key: Sequence[str],
@@ -76,27 +103,25 @@ def topic_hist_indexed(samples: DataFrame, topics: DataFrame, key: Sequence[str]
     at yesterday.  A missing document is skipped but its weight still
     advances.  Samples without any history document get zero vectors.
     """
-    n = F.size("prev_doc_idx")
-    s = samples.select(*key, "doc_idx", F.posexplode("prev_doc_idx").alias("j", "hdoc"), n.alias("_n"))
-    w = (F.col("_n") - 1 - F.col("j")) if order == "as_read" else F.col("j")
-    lo = 0 if zero_is_missing else -1
-    s = s.select(*key, w.alias("w"), "hdoc").where(F.col("hdoc") > lo)
-    tl = topics_long(topics)
-    j = s.join(tl.withColumnRenamed("doc_idx", "hdoc"), "hdoc", "inner")
-    sums = []
-    for a in alphas:
-        for L in windows:
-            wt = F.pow(F.lit(float(a)), F.col("w") + 1)
-            sums.append(F.sum(F.when(F.col("w") < L, wt * F.col("v")).otherwise(F.lit(0.0)))
-                        .alias(_param_tag(a, L, "h")))
-    agg = j.groupBy(*key, "k", "i").agg(*sums)
-    # samples whose history is empty still get zero vectors: anchor on their own topic rows
-    base = samples.select(*key, "doc_idx").join(tl, "doc_idx", "inner").select(*key, "k", "i")
-    full = base.join(agg, [*key, "k", "i"], "left")
-    grid = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(L).alias("L"),
-                              F.coalesce(F.col(_param_tag(a, L, "h")), F.lit(0.0)).alias("hist"))
+    c = _sample_components(samples, topics, key, None, zero_is_missing)
+    g = c.groupBy(*key, "k", "i").agg(_today().alias("_t"), *_history_sums(alphas, windows, order)).where(F.col("_t").isNotNull())
+    grid = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(L).alias("L"), F.col(_param_tag(a, L, "h")).alias("hist"))
                      for a in alphas for L in windows])
-    return full.select(*key, "k", "i", F.inline(grid))
+    return g.select(*key, "k", "i", F.inline(grid))
+
+
+def _adjacent(rows: DataFrame, decays: Sequence[float], windows: Sequence[int]) -> DataFrame:
+    """``(pos, company, i, today, _k, sums...)``: each row goes as a whole vector to the places ``pos + d`` that look back
+    at it; there the rows of the place's own company are summed.  A company holding most rows is spread by place."""
+    sent = rows.select("company", "topic", F.col("pos").alias("_from"), F.explode(F.sequence(F.lit(0), F.lit(max(windows)))).alias("d"))
+    at = sent.select((F.col("_from") + F.col("d")).alias("pos"), "company", "d", "topic").repartition("pos")
+    c = at.select("pos", "company", "d", F.size("topic").alias("_n"), F.posexplode("topic").alias("i", "v"))
+    back = (F.col("d") > 0) & F.col("company").isNotNull()
+    sums = [F.sum(F.when(back & (F.col("d") <= w), F.pow(F.lit(float(dc)), F.col("d")) * F.col("v")).otherwise(0.0))
+            .alias(_param_tag(dc, w, "a")) for dc in decays for w in windows]
+    own = F.col("d") == 0
+    g = c.groupBy("pos", "company", "i").agg(F.max(F.when(own, F.col("v"))).alias("today"), F.max(F.when(own, F.col("_n"))).alias("_k"), *sums)
+    return g.where(F.col("today").isNotNull())
 
 
 def topic_hist_adjacent(rows: DataFrame, decays: Sequence[float] = ADJ_DECAYS,
@@ -105,22 +130,11 @@ def topic_hist_adjacent(rows: DataFrame, decays: Sequence[float] = ADJ_DECAYS,
     over ``d = 1..w`` for rows of the same company; a row of another company
     in between still counts towards the distance.
 
-    ``rows`` is ``(pos, company, topic)`` with a dense ``pos`` (file order).
+    ``rows`` is ``(pos, company, topic)`` with a dense ``pos`` (file order), one row each.
     """
-    dmax = max(windows)
-    long = rows.select("pos", "company", F.posexplode("topic").alias("i", "v"))
-    look = rows.select("pos", "company", F.explode(F.sequence(F.lit(1), F.lit(dmax))).alias("d"))
-    look = look.withColumn("src", F.col("pos") - F.col("d"))
-    src = long.select(F.col("pos").alias("src"), F.col("company").alias("src_company"), "i", "v")
-    j = look.join(src, "src", "inner").where(F.col("company") == F.col("src_company"))
-    sums = [F.sum(F.when(F.col("d") <= w, F.pow(F.lit(float(dc)), F.col("d")) * F.col("v")).otherwise(F.lit(0.0)))
-            .alias(_param_tag(dc, w, "a")) for dc in decays for w in windows]
-    agg = j.groupBy("pos", "i").agg(*sums)
-    full = long.select("pos", "company", "i").join(agg, ["pos", "i"], "left")
-    grid = F.array(*[F.struct(F.lit(float(dc)).alias("decay"), F.lit(w).alias("w"),
-                              F.coalesce(F.col(_param_tag(dc, w, "a")), F.lit(0.0)).alias("hist"))
+    grid = F.array(*[F.struct(F.lit(float(dc)).alias("decay"), F.lit(w).alias("w"), F.col(_param_tag(dc, w, "a")).alias("hist"))
                      for dc in decays for w in windows])
-    return full.select("pos", "company", "i", F.inline(grid))
+    return _adjacent(rows, decays, windows).select("pos", "company", "i", F.inline(grid))
 
 
 def topic_change_adjacent(rows: DataFrame) -> DataFrame:
@@ -130,58 +144,52 @@ def topic_change_adjacent(rows: DataFrame) -> DataFrame:
     (The reference subtracts into an aliased row, which compounds the
     differences; the plain difference is computed here, see SURVEY Q2.)
     """
-    long = rows.select("pos", "company", F.posexplode("topic").alias("i", "v"))
-    prev = long.select((F.col("pos") + 1).alias("pos"), F.col("company").alias("pc"), "i", F.col("v").alias("pv"))
-    j = long.join(prev, ["pos", "i"], "inner").where(F.col("company") == F.col("pc"))
-    return j.select("pos", "company", "i", (F.col("v") - F.col("pv")).alias("change"))
+    prev = rows.select((F.col("pos") + 1).alias("pos"), "company", F.col("topic").alias("_before"))
+    j = rows.select("pos", "company", "topic").join(prev, ["pos", "company"], "inner")
+    return j.select("pos", "company", F.posexplode(F.zip_with("topic", "_before", lambda v, p: v - p)).alias("i", "change"))
 
 
 def hist_features(rows: DataFrame, decays: Sequence[float] = ADJ_DECAYS,
                   windows: Sequence[int] = ADJ_WINDOWS) -> DataFrame:
     """W8 + L13: ``(pos, decay, w, variant, j, value)`` with variants ``add``
     (today + history, k values) and ``cont`` (today then history, 2k values)."""
-    k = F.size(F.col("topic"))
-    today = rows.select("pos", F.posexplode("topic").alias("i", "t"), k.alias("_k"))
-    h = topic_hist_adjacent(rows, decays, windows)
-    j = h.join(today, ["pos", "i"], "inner")
-    add = j.select("pos", "decay", "w", F.lit("add").alias("variant"), F.col("i").alias("j"),
-                   (F.col("t") + F.col("hist")).alias("value"))
-    cont_t = j.select("pos", "decay", "w", F.lit("cont").alias("variant"), F.col("i").alias("j"),
-                      F.col("t").alias("value"))
-    cont_h = j.select("pos", "decay", "w", F.lit("cont").alias("variant"), (F.col("i") + F.col("_k")).alias("j"),
-                      F.col("hist").alias("value"))
-    return add.unionByName(cont_t).unionByName(cont_h)
-
-
-def topic_features(change: DataFrame, hist: DataFrame, key: Sequence[str], alpha: float, L: int) -> DataFrame:
-    """``(key..., k, variant, j, value)`` for the seven topic feature sets.
-
-    ``change`` is W4 output, ``hist`` is W5 output; the history variants use
-    the given (alpha, L).  Concatenations are laid out block after block.
+    i, today = F.col("i"), F.col("today")
+    grid = []
+    for dc in decays:
+        for w in windows:
+            h = F.col(_param_tag(dc, w, "a"))
+            for variant, j, value in (("add", i, today + h), ("cont", i, today), ("cont", i + F.col("_k"), h)):
+                grid.append(F.struct(F.lit(float(dc)).alias("decay"), F.lit(w).alias("w"), F.lit(variant).alias("variant"),
+                                     j.alias("j"), value.alias("value")))
+    return _adjacent(rows, decays, windows).select("pos", F.inline(F.array(*grid)))
+
+
+def topic_features(samples: DataFrame, topics: DataFrame, key: Sequence[str], alphas: Sequence[float] = HIST_ALPHAS,
+                   windows: Sequence[int] = HIST_WINDOWS, order: str = "as_read", zero_is_missing: bool = True) -> DataFrame:
+    """F9 + L13: ``(key..., k, variant, alpha, L, j, value)`` for the seven topic feature sets.
+
+    Sets with history come once per (alpha, L), the others once with NULL there.  Concatenations are laid out block
+    after block.  Today, change and every history come from one pass over the sample's vectors.
     """
-    h = hist.where((F.col("alpha") == F.lit(float(alpha))) & (F.col("L") == F.lit(L))).select(*key, "k", "i", "hist")
-    c = change.join(h, [*key, "k", "i"], "inner")
-    kk = F.max("i").over(Window.partitionBy(*key, "k")) + 1   # k components per sample
-    c = c.withColumn("_k", kk)
-
-    today, chg, hs = F.col("today"), F.col("change"), F.col("hist")
-    kcol, zero = F.col("_k"), F.lit(0)
-    # (variant, offset of the block, value): all seven sets from one pass over
-    # the joined rows (a generator, not a union of re-computed branches)
-    blocks = [
-        ("today", zero, today),
-        ("change", zero, chg),
-        ("change+today", zero, chg), ("change+today", kcol, today),
-        ("today+hist", zero, today + hs),
-        ("today|hist", zero, today), ("today|hist", kcol, hs),
-        ("change|today+hist", zero, chg), ("change|today+hist", kcol, today + hs),
-        ("change|today|hist", zero, chg), ("change|today|hist", kcol, today),
-        ("change|today|hist", kcol * 2, hs),
-    ]
-    arr = F.array(*[F.struct(F.lit(v).alias("variant"), off.cast("int").alias("off"), val.alias("value"))
-                    for v, off, val in blocks])
+    c = _sample_components(samples, topics, key, None, zero_is_missing)
+    c = c.groupBy(*key, "k", "i").agg(_today().alias("today"), _prev().alias("_p"), _size().alias("_k"), *_history_sums(alphas, windows, order))
+    c = c.where(F.col("today").isNotNull())
+    today, chg, kcol, zero = F.col("today"), F.col("today") - F.col("_p"), F.col("_k"), F.lit(0)
+    none = (F.lit(None).cast("double"), F.lit(None).cast("int"))
+    blocks = [("today", zero, today, none), ("change", zero, chg, none),
+              ("change+today", zero, chg, none), ("change+today", kcol, today, none)]
+    for a in alphas:
+        for L in windows:
+            hs, at = F.col(_param_tag(a, L, "h")), (F.lit(float(a)), F.lit(L))
+            blocks += [("today+hist", zero, today + hs, at),
+                       ("today|hist", zero, today, at), ("today|hist", kcol, hs, at),
+                       ("change|today+hist", zero, chg, at), ("change|today+hist", kcol, today + hs, at),
+                       ("change|today|hist", zero, chg, at), ("change|today|hist", kcol, today, at),
+                       ("change|today|hist", kcol * 2, hs, at)]
+    arr = F.array(*[F.struct(F.lit(v).alias("variant"), at[0].alias("alpha"), at[1].alias("L"), off.cast("int").alias("off"),
+                             val.alias("value")) for v, off, val, at in blocks])
     out = c.select(*key, "k", "i", F.inline(arr))
-    return out.select(*key, "k", "variant", (F.col("i") + F.col("off")).alias("j"), "value")
+    return out.select(*key, "k", "variant", "alpha", "L", (F.col("i") + F.col("off")).alias("j"), "value")
 
 
 def topic_libsvm(labelled: DataFrame, topics: DataFrame, label_col: str = "label",

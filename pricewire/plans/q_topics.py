@@ -14,7 +14,7 @@ from pricewire.sources import tables as T
 KEY = ("symbol", "date")
 W = "PARTITION BY symbol ORDER BY date"
 F9_ALPHA, F9_L = 0.9, 5          # history variant used by the F9 feature sets
-W8_DECAYS, W8_WINDOWS = [0.9], [2]
+W8_DECAYS, W8_WINDOWS = O.ADJ_DECAYS, O.ADJ_WINDOWS
 
 
 def _grid_sql(pairs, a="alpha", b="L"):
@@ -113,11 +113,38 @@ SELECT symbol, date, k, variant, CAST(j AS INTEGER) AS j, round(value, 6) AS val
   UNION ALL SELECT symbol, date, k, 'change|today|hist', i + 2 * kk, hist FROM blk)""")
 def q_topic_features(spark, sf_dir):
     """F9 + L13: the seven topic feature sets (today, change, sums and concatenations)."""
-    s, t = samples(spark, sf_dir), T.topics(spark, sf_dir)
-    c = O.topic_change_prev(s, t, KEY)
-    h = O.topic_hist_indexed(s, t, KEY, alphas=[F9_ALPHA], windows=[F9_L])
-    out = O.topic_features(c, h, KEY, F9_ALPHA, F9_L)
-    return rounded(out.withColumn("j", F.col("j").cast("int")))
+    out = O.topic_features(samples(spark, sf_dir), T.topics(spark, sf_dir), KEY, [F9_ALPHA], [F9_L])
+    return rounded(out.drop("alpha", "L").withColumn("j", F.col("j").cast("int")))
+
+
+@query("topic_features_grid", _SAMPLES_SQL + ", " + _CHANGE_SQL + ", " + _HIST_SQL + """,
+b AS (
+  SELECT c.symbol, c.date, c.k, c.i, c.today, c.today - c.prev AS chg, h.hist, h.alpha, h.L, len(t.topic) AS kk
+  FROM chg c JOIN hist h ON h.symbol = c.symbol AND h.date = c.date AND h.k = c.k AND h.i = c.i
+  JOIN samp s ON s.symbol = c.symbol AND s.date = c.date JOIN topics_n t ON t.doc_idx = s.doc_idx),
+once AS (SELECT DISTINCT symbol, date, k, i, kk, today, chg FROM b)
+SELECT symbol, date, k, variant, alpha, L, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total, round(sum(j * value), 5) AS moment
+FROM (
+  SELECT symbol, date, k, 'today' AS variant, NULL::DOUBLE AS alpha, NULL::INTEGER AS L, i AS j, today AS value FROM once
+  UNION ALL SELECT symbol, date, k, 'change', NULL, NULL, i, chg FROM once
+  UNION ALL SELECT symbol, date, k, 'change+today', NULL, NULL, i, chg FROM once
+  UNION ALL SELECT symbol, date, k, 'change+today', NULL, NULL, i + kk, today FROM once
+  UNION ALL SELECT symbol, date, k, 'today+hist', alpha, L, i, today + hist FROM b
+  UNION ALL SELECT symbol, date, k, 'today|hist', alpha, L, i, today FROM b
+  UNION ALL SELECT symbol, date, k, 'today|hist', alpha, L, i + kk, hist FROM b
+  UNION ALL SELECT symbol, date, k, 'change|today+hist', alpha, L, i, chg FROM b
+  UNION ALL SELECT symbol, date, k, 'change|today+hist', alpha, L, i + kk, today + hist FROM b
+  UNION ALL SELECT symbol, date, k, 'change|today|hist', alpha, L, i, chg FROM b
+  UNION ALL SELECT symbol, date, k, 'change|today|hist', alpha, L, i + kk, today FROM b
+  UNION ALL SELECT symbol, date, k, 'change|today|hist', alpha, L, i + 2 * kk, hist FROM b)
+GROUP BY symbol, date, k, variant, alpha, L""")
+def q_topic_features_grid(spark, sf_dir):
+    """F9 with all 25 (alpha, L): each sample's feature vectors by number of values, sum, and sum weighted by place (from 1)."""
+    out = O.topic_features(samples(spark, sf_dir), T.topics(spark, sf_dir), KEY)
+    place = (F.col("j") + 1) * F.col("value")
+    g = out.groupBy(*KEY, "k", "variant", "alpha", "L").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
+                                                            F.sum(place).alias("moment"))
+    return rounded(g.withColumn("moment", F.round("moment", 5)))
 
 
 _SEQ_SQL = S.with_(S.TOPICS, f"""seq AS (

@@ -84,20 +84,26 @@ def op6() -> str:
 
     def node(u):
         bare = f"regexp_replace({u}, '(?s)#.*$', '')"
-        return (f"CASE WHEN contains({u}, '://') THEN {_lower(f"regexp_extract({bare}, '(?s)^(.*?)://', 1)")} || '://' || "
+        return (f"CASE WHEN regexp_matches({u}, '{url_aliases.SCHEME}//') THEN {_lower(f"regexp_extract({bare}, '(?s)^(.*?)://', 1)")} || '://' || "
                 f"{host(u)} || regexp_extract({bare}, '(?s)://[^/?]*(.*)$', 1) END")
     scheme = "regexp_extract(url, '(?s)^(.*?)://', 1)"
     origin = f"({scheme} || '://' || regexp_extract(url, '(?s)://([^/?#]*)', 1))"
     folder = f"regexp_replace({path('url')}, '[^/]*$', '')"
-    absolute = (f"CASE WHEN ref = '' THEN NULL WHEN contains(ref, '://') THEN ref WHEN starts_with(ref, '//') THEN {scheme} || ':' || ref "
+    absolute = (f"CASE WHEN ref = '' THEN NULL WHEN regexp_matches(ref, '{url_aliases.SCHEME}//') THEN ref "
+                f"WHEN regexp_matches(ref, '{url_aliases.SCHEME}') THEN NULL WHEN starts_with(ref, '//') THEN {scheme} || ':' || ref "
                 f"WHEN starts_with(ref, '/') THEN {origin} || ref WHEN starts_with(ref, '#') THEN NULL "
+                f"WHEN starts_with(ref, '?') THEN {origin} || {path('url')} || ref "
                 f"ELSE {origin} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || ref END")
+    plain = "ref"
+    for pattern, sign in url_aliases.ENTITIES:
+        plain = f"regexp_replace({plain}, '{pattern}', {q(sign)}, 'g')"
     rule, verdict = _rules("host", "path")
     return f"""
-WITH RECURSIVE f AS (SELECT url, unnest([
+WITH RECURSIVE named AS (SELECT url, unnest([
     regexp_extract(regexp_extract(html, {q(url_aliases.LINK)}), {q(url_aliases.HREF)}, 1),
     regexp_extract(regexp_extract(html, {q(url_aliases.META)}), {q(url_aliases.GOTO)}, 1)]) AS ref FROM pages
     WHERE url IS NOT NULL AND html IS NOT NULL),
+f AS (SELECT url, {plain} AS ref FROM named),
 t AS (SELECT url, {absolute} AS dst FROM f),
 e AS (SELECT DISTINCT {node('url')} AS a, {node('dst')} AS b FROM t),
 b AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),

@@ -48,3 +48,39 @@ def test_edges_and_empty_tables(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert ("https://ex.org/c", "https://ex.org/d") in {tuple(r) for r in alias_edges(df).collect()}
     assert judge(df.limit(0)).collect() == []
+
+
+ODD = [
+    (1, "https://a.org/", _go("/login?next=https://b.org/")),        # a path of a.org, though it holds ://
+    (2, "https://a.org/login?next=https://b.org/", _canon("https://q.org/x?u=1&amp;v=2")),
+    (3, "https://q.org/x?u=1&v=2", _canon("https:&#x2F;&#47;x.net/es/9")),
+    (4, "https://a.org/m", _canon("mailto:x@x.net")),
+    (5, "https://a.org/p?q=1", _canon("?q=2")),
+    (6, "/login?next=https://x.net/es/", _canon("https://x.net/es/9")),   # judged by its host, but no node
+    (7, "https://b.org/", None),
+    (8, "https://a.org/n", _canon("javascript:go('x')")),
+]
+
+
+def test_addresses_with_odd_forms(spark):
+    df = spark.createDataFrame(ODD, "page_id long, url string, html string")
+    assert {tuple(r) for r in alias_edges(df).collect()} == {
+        ("https://a.org/", "https://a.org/login?next=https://b.org/"),
+        ("https://a.org/login?next=https://b.org/", "https://q.org/x?u=1&v=2"),
+        ("https://q.org/x?u=1&v=2", "https://x.net/es/9"), ("https://a.org/p?q=1", "https://a.org/p?q=2")}
+    got = {r.page_id: r for r in judge(df).collect()}
+    assert [got[i].verdict for i in range(1, 9)] == ["block", "block", "block", "allow", "allow", "block", "allow", "allow"]
+    assert (got[6].host, got[6].path, got[6].rule) == ("x.net", "/es/", "net/es/")
+
+
+def test_sql_agrees_on_aliases(spark, tmp_path):
+    import duckdb
+
+    from pricewire.llm.sql import op6
+    rows = [*PAGES, *[(100 + i, u, h) for i, u, h in ODD]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    want = sorted(map(str, con.execute(op6()).fetchall()))
+    assert sorted(str(tuple(r)) for r in judge(df).drop("alias_verdict").collect()) == want

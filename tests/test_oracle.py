@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 SUBSET = ["label_significance", "stock_table", "label_multiclass", "lookup_prev_docs", "clean_text", "tokenize",
           "vocab_all", "doc_term_lines", "dedup_articles", "docs_per_day", "topic_hist_indexed",
           "topic_hist_adjacent", "topic_features", "split_by_date", "balance_binary", "oversample_three_class",
-          "repeated_kfold", "tfidf", "chi2_scores", "mi_scores", "evaluate_runs", "check_libsvm", "scale_minmax"]
+          "repeated_kfold", "tfidf", "chi2_scores", "mi_scores", "evaluate_runs", "check_libsvm", "scale_minmax",
+          "topic_features_grid", "hist_features", "article_text_file", "collection_file", "check_libsvm_files", "run_log_windows"]
 
 
 def _norm(v):

@@ -12,8 +12,8 @@ EAGER = ("fit_", "tune_", "var_price", "feature_set", "top_coef", "pipeline", *(
 
 
 def _lazy_queries():
-    from pricewire.plans import q_io
-    io_names = {name for name, fn in vars(q_io).items() if name.startswith("q_")}
+    from pricewire.plans import q_files, q_io
+    io_names = {name for module in (q_io, q_files) for name in vars(module) if name.startswith("q_")}
     return [n for n in entry.queries() if not n.startswith(EAGER) and f"q_{n}" not in io_names]
 
 

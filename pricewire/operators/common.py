@@ -47,12 +47,17 @@ def checked_broadcast(df: DataFrame, bound: int | None = None,
 
 
 def random_key(id_col, seed) -> Column:
-    """Deterministic pseudo-random sort key: ``md5('<id>:<seed>')``.
+    """Deterministic pseudo-random sort key: ``md5('<id>:<seed>')``; the seed may be a column.
 
     DuckDB: ``md5(CAST(id AS VARCHAR) || ':' || '<seed>')``.
     """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(c.cast("string"), F.lit(":"), seed_text(seed)))
+
+
+def seed_text(seed) -> Column:
+    """A seed as text: a fixed one, or one per row."""
+    return seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
 
 
 def hash_to_long(key: Column) -> Column:

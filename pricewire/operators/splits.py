@@ -18,7 +18,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewire.operators.common import hash_rank, hash_to_long, ntile_from_rank, random_key
+from pricewire.operators.common import hash_rank, hash_to_long, ntile_from_rank, random_key, seed_text
+from pricewire.session import cut_lineage
 
 SPLIT_TRAIN, SPLIT_TEST, SPLIT_VALID = 0, 1, 2
 
@@ -120,39 +121,40 @@ def oversample_three_class(df: DataFrame, label_col: str = "label", seed=7, id_c
 
 
 def sample_balanced(df: DataFrame, label_col: str = "label", seed=7, id_col: str = "row_idx",
-                    sample: bool = True) -> DataFrame:
-    """D3: all positives plus as many negatives drawn with replacement.
+                    sample: bool = True, partition_by: Sequence[str] = ()) -> DataFrame:
+    """D3: all positives plus as many negatives drawn with replacement, in each part of ``partition_by``.
 
     Labels other than 0/1 fail the job.  ``sample=False`` returns both classes
-    unsampled (``draw = -1``).
+    unsampled (``draw = -1``).  ``seed`` may be a column, one value per part.
     """
+    part = list(partition_by)
     checked = df.withColumn(label_col, F.when(F.col(label_col).isin(0, 1), F.col(label_col))
                             .otherwise(F.raise_error(F.lit("label must be 0 or 1")).cast(df.schema[label_col].dataType)))
     if not sample:
         return checked.withColumn("draw", F.lit(-1).cast("long"))
     pos = checked.where(F.col(label_col) == 1)
     neg = _keyed(checked.where(F.col(label_col) == 0), id_col, seed)
-    negr = hash_rank(neg, "_key", out="_pick", tie=[id_col]).drop("_key")
-    # negatives' count on every row: a window over the two-row class table,
+    negr = hash_rank(neg, "_key", partition_by=part, out="_pick", tie=[id_col]).drop("_key")
+    # negatives' count on every row: a window over the two-row class table of a part,
     # joined back on the label (an equi-join, never a cartesian product)
-    cls = checked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
-    cls = cls.select(label_col, F.coalesce(F.sum(F.when(F.col(label_col) == 0, F.col("_nc"))).over(Window.partitionBy()),
-                                           F.lit(0)).alias("_nneg"))
-    posr = hash_rank(_keyed(pos, id_col, seed), "_key", out="draw", tie=[id_col]).select(label_col, "draw")
-    key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(f":{seed}:neg")))
-    draws = posr.join(F.broadcast(cls), label_col).withColumn(
+    cls = checked.groupBy(*part, label_col).agg(F.count(F.lit(1)).alias("_nc"))
+    cls = cls.select(*part, label_col, F.coalesce(F.sum(F.when(F.col(label_col) == 0, F.col("_nc"))).over(Window.partitionBy(*part)),
+                                                  F.lit(0)).alias("_nneg"))
+    posr = hash_rank(_keyed(pos, id_col, seed).withColumn("_seed", seed_text(seed)), "_key", partition_by=part, out="draw", tie=[id_col])
+    key = F.md5(F.concat(F.col("draw").cast("string"), F.lit(":"), F.col("_seed"), F.lit(":neg")))
+    draws = posr.select(*part, label_col, "draw", "_seed").join(F.broadcast(cls), [*part, label_col]).withColumn(
         "_pick", F.when(F.col("_nneg") > 0, hash_to_long(key) % F.col("_nneg"))
                   .otherwise(F.raise_error(F.lit("no negatives to sample")).cast("long")))
-    picked = draws.select("draw", "_pick").join(negr, "_pick", "inner").drop("_pick")
+    picked = draws.select(*part, "draw", "_pick").join(negr, [*part, "_pick"], "inner").drop("_pick")
     out = pos.withColumn("draw", F.lit(-1).cast("long"))
     return out.unionByName(picked.select(*out.columns))
 
 
 def kfold_stratified(df: DataFrame, k: int, label_col: str = "label", seed=7, id_col: str = "row_idx",
-                     key_col: str | None = None) -> DataFrame:
-    """``fold`` 1..k per class (``ntile`` over md5 order, sizes differ by <= 1)."""
+                     key_col: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``fold`` 1..k per class (``ntile`` over md5 order, sizes differ by <= 1), in each part of ``partition_by``."""
     d = df.withColumn("_key", F.col(key_col) if key_col else random_key(id_col, seed))
-    r = hash_rank(d, "_key", partition_by=[label_col], out="_r", with_group_size="_n",
+    r = hash_rank(d, "_key", partition_by=[*partition_by, label_col], out="_r", with_group_size="_n",
                   tie=[id_col] if key_col is None else [id_col, "draw"])
     return r.withColumn("fold", ntile_from_rank("_r", "_n", k)).drop("_key", "_r", "_n")
 
@@ -175,19 +177,14 @@ def repeated_kfold(df: DataFrame, k: int, repeats: int, label_col: str = "label"
                    id_col: str = "row_idx") -> DataFrame:
     """Hold out the last of 6 folds, then ``repeats`` times: balanced sampling
     of the rest and a stratified k-fold.  Output ``(repeat, ..., draw, fold)``."""
+    # One plan for all repeats: the rows are stored once and repeated, and every rank is taken within its repeat.
     h = holdout_last_fold(df, label_col, seed, id_col)
-    rest = h.where(~F.col("valid")).drop("valid")
-    outs = []
-    for rep in range(repeats):
-        s = sample_balanced(rest, label_col, f"{seed}:{rep}", id_col)
-        key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("draw").cast("string"),
-                             F.lit(f":{seed}:{rep}")))
-        f = kfold_stratified(s.withColumn("_fk", key), k, label_col, id_col=id_col, key_col="_fk").drop("_fk")
-        outs.append(f.withColumn("repeat", F.lit(rep)))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    rest = cut_lineage(h.where(~F.col("valid")).drop("valid"))
+    rest = rest.withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)]).cast("array<int>")))
+    rep_seed = F.concat(F.lit(f"{seed}:"), F.col("repeat").cast("string"))
+    s = sample_balanced(rest, label_col, rep_seed, id_col, partition_by=["repeat"])
+    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.col("draw").cast("string"), F.lit(":"), rep_seed))
+    return kfold_stratified(s.withColumn("_fk", key), k, label_col, id_col=id_col, key_col="_fk", partition_by=["repeat"]).drop("_fk")
 
 
 def shuffle_permutation(df: DataFrame, seed=7, id_col: str = "row_idx", split_col: str = "split") -> DataFrame:

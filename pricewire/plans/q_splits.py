@@ -178,7 +178,7 @@ def q_holdout_last_fold(spark, sf_dir):
     return O.holdout_last_fold(dataset(spark, sf_dir), "label", SEED).select("row_idx", "label", "valid")
 
 
-REPEATS, RK = 2, 3
+REPEATS = RK = 3  # one repeat per fold
 
 
 def _repeat_sql(rep):

@@ -108,12 +108,12 @@ def _accuracy(pred: DataFrame, label: str = "label") -> float:
 
 
 def fit_logistic(train: DataFrame, test: DataFrame, C: float = 1.0, features: str = "features",
-                 label: str = "label", max_iter: int = LOGISTIC_MAX_ITER):
+                 label: str = "label", max_iter: int = LOGISTIC_MAX_ITER, tol: float = 1e-6):
     """M1: L2 logistic regression; returns ``(model, train_acc, test_acc)``."""
     with cached(train.select(features, label), test.select(features, label)) as (tr, te):
         n = tr.count()
         lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, elasticNetParam=0.0,
-                                regParam=reg_param(C, n), standardization=False)
+                                regParam=reg_param(C, n), standardization=False, tol=tol)
         m = lr.fit(tr)
         return m, _accuracy(m.transform(tr), label), _accuracy(m.transform(te), label)
 

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pricewire.functions import text as X
 from pricewire.functions.prices import nan_to_zero
 from pricewire.operators import models as M
 from pricewire.operators import splits as SP
+from pricewire.operators import sweep as SW
+from pricewire.operators import text as TX
 from pricewire.operators import topics as TP
 from pricewire.plans import sql as S
 from pricewire.plans.base import query, rounded
@@ -328,3 +331,83 @@ def q_fit_selected(spark, sf_dir):
     preds = M.fit_selected(data.where(F.col("split") == 0), data.where(F.col("split") == 1), tuning, KEY)
     return preds.select(F.col("name").alias("features"), "part", *KEY, F.col("label").cast("int").alias("label"),
                         F.col("prediction").cast("int").alias("prediction"))
+
+
+# The combinations of the sweep with text: every text kind with and without a stock block, stock alone, topics alone, and text
+# with topics with and without a stock block.
+STOCK_DAYS = (1, 5)
+TEXT_ORDERS = {"BOW": 1, "ngrams": 3}
+TOPIC_WIDTHS = {"today": 1, "change": 1, "change+today": 2, "today+hist": 1, "today|hist": 2, "change|today+hist": 2, "change|today|hist": 3}
+TEXT_KINDS = [kind + end for kind in TEXT_ORDERS for end in ("", "-TFIDF")]
+TEXT_FEATURES = 100_000
+HISTORY = (0.9, 5)
+
+
+def _combinations() -> list[tuple[str, list[str]]]:
+    stocks = [[], *([f"stock{t}"] for t in STOCK_DAYS)]
+    text = [[kind, *stock] for kind in TEXT_KINDS for stock in stocks]
+    both = [[kind, topic, *stock] for kind in TEXT_KINDS for topic in ("today", "today+hist", "today|hist") for stock in stocks]
+    return [(", ".join(blocks), blocks) for blocks in [*text, *stocks[1:], *([v] for v in TOPIC_WIDTHS), *both]]
+
+
+def sweep_data(spark, sf_dir):
+    """Labelled samples with every block of the sweep as a vector, stored once, and the blocks' widths."""
+    s = labelled_samples(spark, sf_dir)
+    f = TP.topic_features(s, T.topics(spark, sf_dir), KEY, [HISTORY[0]], [HISTORY[1]])
+    arrays = [F.transform(F.array_sort(F.collect_list(F.when(F.col("variant") == v, F.struct("j", "value")))), lambda r: r["value"]).alias(f"_{v}")
+              for v in TOPIC_WIDTHS]
+    s = s.join(f.groupBy(*KEY).agg(*arrays), list(KEY), "inner")
+    s = _md5_split(s).withColumn("train", F.col("split") == 0).withColumn("label", F.col("label").cast("double"))
+    s = cut_lineage(s.select(*KEY, "doc_idx", "label", "train", "changes", *[f"`_{v}`" for v in TOPIC_WIDTHS]))
+    widths = {v: n * T.TOPIC_K for v, n in TOPIC_WIDTHS.items()} | {f"stock{t}": t for t in STOCK_DAYS}
+    coll = T.collection(spark, sf_dir).join(s.select("doc_idx").distinct(), "doc_idx", "left_semi")
+    texts = cut_lineage(TX.clean_corpus(coll).select("doc_idx", X.join_tokens("tokens").alias("text")))
+    for kind, order in TEXT_ORDERS.items():
+        s, widths[kind] = SW.text_block(s, texts, kind, order, TEXT_FEATURES)
+        widths[f"{kind}-TFIDF"] = widths[kind]
+    s = cut_lineage(s)
+    for kind in TEXT_ORDERS:
+        s = SW.tfidf_block(s, kind, f"{kind}-TFIDF", widths[kind])
+    for t in STOCK_DAYS:
+        s = SW.dense_block(s.withColumn("_stock", M.stock_block("changes", t)), "_stock", f"stock{t}", t)
+    for v in TOPIC_WIDTHS:
+        s = SW.dense_block(s, f"_{v}", v, widths[v])
+    return s.select("label", "train", *[f"`{b}`" for b in widths]), widths
+
+
+def _sweep_sql() -> str:
+    """Columns and text entries of every combination from the counts of all n-grams; the text kinds share them."""
+    grams = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n} - 1], ' '))"
+    ctes = [S.PRICES, S.SYMBOL_MAP, S.COLLECTION, S.DOCS_PER_DAY, S.SERIES, f"""samp AS (
+  SELECT symbol, date, doc_idx FROM series
+  WHERE doc_idx IS NOT NULL AND (abs(change) >= {T.SIG_PCT} OR abs(change) <= {T.INSIG_PCT})),
+ss AS (
+  SELECT doc_idx, row_number() OVER (ORDER BY md5(symbol || '|' || CAST(date AS VARCHAR) || ':{SEED}'), symbol || '|' || CAST(date AS VARCHAR)) - 1
+                  < round_even(count(*) OVER () * {1 - TEST_PORTION}, 0) AS train
+  FROM samp WHERE doc_idx IN (SELECT vec_id FROM embeddings))""", S.CLEAN_DOCS, """uses AS (
+  SELECT doc_idx, count(*) AS n, count(*) FILTER (WHERE train) AS n_train FROM ss GROUP BY doc_idx),
+ww AS (SELECT doc_idx, n, n_train, regexp_extract_all(lower(array_to_string(tokens, ' ')), '\\b\\w\\w+\\b') AS w FROM toks JOIN uses USING (doc_idx)),
+sz AS (SELECT count(*) FILTER (WHERE train) AS train_rows, count(*) FILTER (WHERE NOT train) AS test_rows FROM ss)"""]
+    for kind, order in TEXT_ORDERS.items():
+        lists = ", ".join(grams.format(n=n) for n in range(1, order + 1))
+        ctes.append(f"""c_{kind} AS (SELECT doc_idx, n, n_train, term, count(*) AS cnt
+  FROM (SELECT doc_idx, n, n_train, unnest(flatten([{lists}])) AS term FROM ww) GROUP BY ALL),
+v_{kind} AS (SELECT term FROM c_{kind} WHERE n_train > 0 GROUP BY term ORDER BY sum(cnt * n_train) DESC, term ASC LIMIT {TEXT_FEATURES}),
+t_{kind} AS (SELECT (SELECT count(*) FROM v_{kind}) AS width, (SELECT coalesce(sum(n), 0) FROM c_{kind} JOIN v_{kind} USING (term)) AS entries)""")
+    fixed = {v: n * T.TOPIC_K for v, n in TOPIC_WIDTHS.items()} | {f"stock{t}": t for t in STOCK_DAYS}
+    rows = []
+    for name, blocks in _combinations():
+        kind = next((k for k in TEXT_ORDERS if blocks[0].split("-")[0] == k), None)
+        more = sum(fixed[b] for b in blocks if b in fixed)
+        cols = f"width + {more}, entries FROM t_{kind}" if kind else f"{more}, 0"
+        rows.append(f"SELECT '{name}' AS features, {cols}")
+    parts = "\nUNION ALL ".join(rows)
+    return S.with_(*ctes) + f"""SELECT features, CAST(n_features AS BIGINT) AS n_features, train_rows, test_rows, CAST(text_entries AS BIGINT) AS text_entries
+FROM ({parts}) t(features, n_features, text_entries), sz"""
+
+
+@query("feature_set_columns", _sweep_sql())
+def q_feature_set_columns(spark, sf_dir):
+    """M8: what each of the sweep's combinations of text, tf-idf, stock, topic and history blocks holds."""
+    data, widths = sweep_data(spark, sf_dir)
+    return SW.sweep_columns(spark, data, _combinations(), widths, TEXT_KINDS)

@@ -15,7 +15,8 @@ SUBSET = ["label_significance", "stock_table", "label_multiclass", "lookup_prev_
           "vocab_all", "doc_term_lines", "dedup_articles", "docs_per_day", "topic_hist_indexed",
           "topic_hist_adjacent", "topic_features", "split_by_date", "balance_binary", "oversample_three_class",
           "repeated_kfold", "tfidf", "chi2_scores", "mi_scores", "evaluate_runs", "check_libsvm", "scale_minmax",
-          "topic_features_grid", "hist_features", "article_text_file", "collection_file", "check_libsvm_files", "run_log_windows"]
+          "topic_features_grid", "hist_features", "article_text_file", "collection_file", "check_libsvm_files", "run_log_windows",
+          "feature_set_columns"]
 
 
 def _norm(v):

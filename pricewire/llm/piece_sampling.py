@@ -20,7 +20,6 @@ result; other columns are ignored.  The vocabulary is read on each executor from
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import count, repeat
@@ -42,7 +41,8 @@ SPACE = "▁"
 CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 CUT = "\x01"
 TASK_CHARS = 400_000  # whole texts handled together; a longer text is handled alone
-NODES = 800_000       # a task's lattice is begun anew beyond them
+PART_ROWS = 1000      # rows whose results a task holds
+NODES = 300_000       # a task's lattice is begun anew beyond them
 NEAR = 192            # places of a path looked at first
 NONE = -2
 LOW = 2.0 ** -300       # sums below it are scaled up
@@ -52,7 +52,7 @@ BASE = np.uint64(0x100000001B3)
 SAMPLE = "sample:int,n_pieces:bigint,log_prob:double,perturbed:double,log_inclusion:double,"
 FULL_TYPE = f"array<struct<{SAMPLE}ids:array<int>>>"
 PACKED_TYPE = f"array<struct<{SAMPLE}ids:binary>>"
-DIGEST_TYPE = f"array<struct<{SAMPLE}ids_crc32:bigint,round_trip:boolean>>"
+DIGEST_TYPE = f"array<struct<{SAMPLE}ids:binary,round_trip:boolean>>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -439,7 +439,7 @@ def _rows(texts: list[str | None], keys: np.ndarray, lat: Lattice, k: int, form:
     full = [i for i, t in enumerate(texts) if t]
     for i, t in enumerate(texts):
         if t == "":
-            out[i] = [(1, 0, 0.0, 0.0, 0.0, *{"digest": (0, True), "packed": (b"",), "list": ([],)}[form])]
+            out[i] = [(1, 0, 0.0, 0.0, 0.0, *{"digest": (b"", True), "packed": (b"",), "list": ([],)}[form])]
     at = 0
     while at < len(full):
         to, chars = at, 0
@@ -451,7 +451,7 @@ def _rows(texts: list[str | None], keys: np.ndarray, lat: Lattice, k: int, form:
             for s, (p, score) in enumerate(samples, 1):
                 ids = piece_ids(vocab, lat, p.edges)
                 if form == "digest":
-                    last = zlib.crc32(ids.astype("<i4").tobytes()), decode_ids(vocab, ids) == texts[i].replace(SPACE, " ")
+                    last = ids.astype("<i4").tobytes(), decode_ids(vocab, ids) == texts[i].replace(SPACE, " ")
                 else:
                     last = (ids.astype("<i4").tobytes() if form == "packed" else ids.tolist(),)
                 out[i].append((s, len(ids), p.log_prob, p.value, score, *last))
@@ -462,22 +462,24 @@ def _rows(texts: list[str | None], keys: np.ndarray, lat: Lattice, k: int, form:
 
 
 def _udf(model: str, k: int, alpha: float, form: str):
-    names = [f.split(":")[0] for f in SAMPLE.strip(",").split(",")] + (["ids_crc32", "round_trip"] if form == "digest" else ["ids"])
+    names = [f.split(":")[0] for f in SAMPLE.strip(",").split(",")] + ["ids"] + ["round_trip"] * (form == "digest")
 
     @F.pandas_udf({"digest": DIGEST_TYPE, "packed": PACKED_TYPE, "list": FULL_TYPE}[form])
     def sample(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lat = Lattice(vocabulary(model, alpha))
         for text, key in batches:
-            rows = _rows(text.tolist(), key.to_numpy(np.int64).view(np.uint64), lat, k, form)
-            yield pd.Series([None if r is None else [dict(zip(names, x, strict=True)) for x in r] for r in rows], dtype=object)
+            texts, keys = text.tolist(), key.to_numpy(np.int64).view(np.uint64)
+            for at in range(0, max(len(texts), 1), PART_ROWS):  # a batch's results leave in parts: all at once they take the most memory
+                rows = _rows(texts[at:at + PART_ROWS], keys[at:at + PART_ROWS], lat, k, form)
+                yield pd.Series([None if r is None else [dict(zip(names, x, strict=True)) for x in r] for r in rows], dtype=object)
     return sample
 
 
 def sample_segmentations(docs: DataFrame, k: int = K, model: str = MODEL, alpha: float = ALPHA, seed: int = SEED,
                          id_col: str = "doc_id", text_col: str = "text", form: str = "list", copy_col: str | None = None) -> DataFrame:
     """doc_id, samples: array of (sample, n_pieces, log_prob, perturbed, log_inclusion, ids), the largest perturbed value
-    first.  ``form``: ids as a "list", "packed" as little-endian 32-bit integers, or as a "digest" (a CRC-32 of the packed
-    ids and whether they decode to the text).  ``copy_col`` numbers rows of one id from 1: later copies draw samples of their own."""
+    first.  ``form``: ids as a "list", "packed" as little-endian 32-bit integers, or "digest" (packed, and ``round_trip``:
+    whether they decode to the text).  ``copy_col`` numbers rows of one id from 1: later copies draw samples of their own."""
     key = F.xxhash64(F.col(id_col), F.lit(seed))
     if copy_col:
         key = F.when(F.col(copy_col) == 1, key).otherwise(F.xxhash64(F.col(id_col), F.lit(seed), F.col(copy_col)))
@@ -504,10 +506,13 @@ def unpacked(ids: str = "ids") -> Column:
 
 
 def sample_digests(docs: DataFrame, **options) -> DataFrame:
-    """One row per document and sample: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, round_trip."""
+    """One row per document and sample: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, round_trip, ids
+    (packed; the CRC-32 is theirs)."""
     d = sample_segmentations(docs, form="digest", **options)
     # An outer generator: a plain one makes the optimiser filter on size(samples), which samples every text twice.
-    return d.select("doc_id", F.explode_outer("samples").alias("s")).where(F.col("s").isNotNull()).select("doc_id", "s.*")
+    return d.select("doc_id", F.explode_outer("samples").alias("s")).where(F.col("s").isNotNull()).select(
+        "doc_id", *[f"s.{c}" for c in ("sample", "n_pieces", "log_prob", "perturbed", "log_inclusion")],
+        F.crc32("s.ids").alias("ids_crc32"), "s.round_trip", "s.ids")
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL, alpha: float = ALPHA, out: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Sampled segmentations: valid, distinct, distributed as the lattice says, decoded to the text."""
 
+import zlib
 from collections import Counter
 from math import exp, log
 
@@ -131,3 +132,15 @@ def test_lattice_grows_and_begins_anew(monkeypatch):
     monkeypatch.setattr(ps, "NEAR", 2)
     for a, b in zip(ps._rows(texts, keys, ps.Lattice(v), 3, False), want, strict=True):
         assert [(x[0], x[1], x[5]) for x in a] == [(x[0], x[1], x[5]) for x in b]
+
+
+def test_query_returns_the_ids(spark, tmp_path):
+    """The segmentations themselves, and digests of them."""
+    texts = {1: "some text\nof words", 2: "", 3: None, 4: "漢字 a▁b"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = entry.queries()["op8_piece_sampling"](spark, str(tmp_path))
+    rows = d.withColumn("ids", ps.unpacked()).collect()
+    assert Counter(r.doc_id for r in rows) == {1: ps.K, 2: 1, 4: ps.K}
+    for r in rows:
+        assert SP.decode(list(r.ids)) == texts[r.doc_id].replace(ps.SPACE, " ") and r.round_trip and len(r.ids) == r.n_pieces
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<i4").tobytes())

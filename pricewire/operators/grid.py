@@ -28,13 +28,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 1024     # a block's scores and losses for the points of a view stay in a core's cache
 DELTAS = (0.5, 0.05)
 MEMORY = 10
 MAX_EVALUATIONS = 60   # per point and smoothing width
 TOLERANCE = 1e-4      # on the gradient; LIBSVM's own is 1e-3
 FLAT = 1e-7           # relative gain that counts as none; three in a row end a fit
 TASK_BYTES = 32 << 20  # of packed features that a task of a pass reads at least, if there are so many
+TASK_WORK = 2e8       # multiplications that a task of a pass does at least, if there are so many
 FAN_IN = 16           # tasks that add partial gradients
 DIRECT_BYTES = 64 << 20  # of partial gradients that the driver adds up itself; beyond it Spark does
 
@@ -101,6 +102,11 @@ class Blocks:
     fold_rows: dict[int, int]
     parts: int         # partitions of the frame
 
+    def tasks(self, points: Sequence[Point]) -> int:
+        """Tasks of a pass: few for few rows, more if the points make much work of them."""
+        work = self.n * sum(self.views[p.view].width for p in points)
+        return max(1, min(self.parts, max(-(-8 * self.n * self.width // TASK_BYTES), int(work / TASK_WORK))))
+
     def rows_of(self, p: Point) -> int:
         return self.n - self.fold_rows.get(p.without, 0)
 
@@ -147,20 +153,25 @@ def packed(df: DataFrame, features: Column, label: str, views: Sequence | None =
     which = F.col(fold).cast("int") if fold else F.lit(-2)
     rows = df.select(features.cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), which.alias("fold"))
     frame = rows.mapInArrow(pack, "n int, x binary, y binary, fold binary").persist(StorageLevel.MEMORY_AND_DISK)
+    even = frame
     try:
         def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for n, x, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     which, times = np.unique(np.frombuffer(f, np.int32), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(times), pa.array([len(x) // 8 // n] * len(which))],
-                                                     ["fold", "rows", "width"])
-        got = (frame.select("n", "x", "fold").mapInArrow(folds, "fold int, rows long, width long").groupBy("fold")
-               .agg(F.sum("rows").alias("rows"), F.max("width").alias("width")).collect())
+                    yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(times), pa.array([len(x) // 8 // n] * len(which)),
+                                                      pa.array([1] + [0] * (len(which) - 1))], ["fold", "rows", "width", "blocks"])
+        got = (frame.select("n", "x", "fold").mapInArrow(folds, "fold int, rows long, width long, blocks long").groupBy("fold")
+               .agg(F.sum("rows").alias("rows"), F.max("width").alias("width"), F.sum("blocks").alias("blocks")).collect())
         width = max((r.width for r in got), default=0)
         n = sum(r.rows for r in got)
-        parts = max(1, min(frame.rdd.getNumPartitions(), -(-8 * n * width // TASK_BYTES)))  # few rows: few tasks a pass
-        yield Blocks(frame.coalesce(parts), tuple(views or [Columns(tuple(range(width)))]), width, n, {r.fold: r.rows for r in got}, parts)
+        parts = frame.rdd.getNumPartitions()
+        most = min(sum(r.blocks for r in got), frame.sparkSession.sparkContext.defaultParallelism)
+        if parts < most:  # few partitions, as of a small input: its blocks can still be dealt to all cores
+            even, parts = frame.repartition(most).persist(StorageLevel.MEMORY_AND_DISK), most
+        yield Blocks(even, tuple(views or [Columns(tuple(range(width)))]), width, n, {r.fold: r.rows for r in got}, max(parts, 1))
     finally:
+        even.unpersist()
         frame.unpersist()
 
 
@@ -168,30 +179,34 @@ def packed(df: DataFrame, features: Column, label: str, views: Sequence | None =
 def _smooth(a: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     """max(a, 0), made quadratic on [0, delta]: value and slope."""
     slope = np.clip(a / delta, 0.0, 1.0)
-    return np.where(a >= delta, a - delta / 2, np.square(np.maximum(a, 0)) / (2 * delta)), slope
+    return slope * (a - slope * (delta / 2)), slope
 
 
-def _loss(p: Point, score: np.ndarray, y: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Loss and its slope by the score."""
-    if p.loss in ("hinge", "logistic"):
-        sign = np.where(y == p.positive, 1.0, -1.0)
-        if p.loss == "logistic":
+def _losses(loss: str, points: Sequence[Point], score: np.ndarray, y: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and their slopes by the score, of points (all of one loss) by rows."""
+    if loss in ("hinge", "logistic"):
+        sign = np.where(y == np.array([[p.positive] for p in points]), 1.0, -1.0)
+        if loss == "logistic":
             m = sign * score
             return np.logaddexp(0.0, -m), -sign * np.exp(-np.logaddexp(0.0, m))
         value, slope = _smooth(1.0 - sign * score, delta)
         return value, -sign * slope
     r = score - y
-    if p.loss == "squared":
+    if loss == "squared":
         return r * r / 2, r
-    value, slope = _smooth(np.abs(r) - p.epsilon, delta)
-    return value, np.sign(r) * slope
+    value, slope = _smooth(np.abs(r) - np.array([[p.epsilon] for p in points]), delta)
+    return value, np.copysign(slope, r)
 
 
 def evaluate(blocks: Blocks, points: Sequence[Point], at: Sequence[np.ndarray], delta: float) -> list[tuple[float, np.ndarray]]:
     """(mean loss, its gradient) of each point at its coefficients (intercept last), in one pass."""
     by_view: dict[int, list[int]] = {}
-    for i, p in enumerate(points):
-        by_view.setdefault(p.view, []).append(i)
+    for i in sorted(range(len(points)), key=lambda i: points[i].loss):
+        by_view.setdefault(points[i].view, []).append(i)
+    runs: dict[int, list[tuple[str, int, int]]] = {}  # places of a view's points of one loss
+    for v, ids in by_view.items():
+        cuts = [k for k in range(len(ids)) if not k or points[ids[k]].loss != points[ids[k - 1]].loss]
+        runs[v] = [(points[ids[lo]].loss, lo, hi) for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
     stacked = {v: np.stack([at[i] for i in ids]) for v, ids in by_view.items()}
     views = blocks.views
 
@@ -202,20 +217,22 @@ def evaluate(blocks: Blocks, points: Sequence[Point], at: Sequence[np.ndarray],
                 x, y, fold = _arrays(*row)
                 for v, ids in by_view.items():
                     z = views[v].make(x)
-                    scores = z @ stacked[v][:, :-1].T + stacked[v][:, -1]
-                    for k, i in enumerate(ids):
-                        value, slope = _loss(points[i], scores[:, k], y, delta)
-                        if points[i].without >= 0:
-                            used = fold != points[i].without
+                    scores = stacked[v][:, :-1] @ z.T + stacked[v][:, -1:]
+                    for loss, lo, hi in runs[v]:
+                        mine = [points[i] for i in ids[lo:hi]]
+                        value, slope = _losses(loss, mine, scores[lo:hi], y, delta)
+                        if any(p.without >= 0 for p in mine):
+                            used = fold != np.array([[p.without if p.without >= 0 else -9] for p in mine])
                             value, slope = value * used, slope * used
-                        total[v][k, 0] += value.sum()
-                        scores[:, k] = slope
-                    total[v][:, 1:-1] += scores.T @ z
-                    total[v][:, -1] += scores.sum(axis=0)
+                        total[v][lo:hi, 0] += value.sum(axis=1)
+                        scores[lo:hi] = slope
+                    total[v][:, 1:-1] += scores @ z
+                    total[v][:, -1] += scores.sum(axis=1)
         for v, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["view", "part"])
-    parts = blocks.frame.mapInArrow(part, "view int, part binary")
-    if blocks.parts * sum(8 * w.size for w in stacked.values()) > DIRECT_BYTES:
+    tasks = blocks.tasks(points)
+    parts = blocks.frame.coalesce(tasks).mapInArrow(part, "view int, part binary")
+    if tasks * sum(8 * w.size for w in stacked.values()) > DIRECT_BYTES:
         parts = _added(parts)
     sums: dict[int, np.ndarray] = {}
     for r in parts.collect():

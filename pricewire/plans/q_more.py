@@ -155,8 +155,7 @@ def q_top_coefficients(spark, sf_dir):
     from pricewire.operators import terms as TM
     from pricewire.plans import q_terms as QT
     ds = QT.text_dataset(spark, sf_dir)
-    c = QT.counts(ds)
-    vocab = TM.learn_vocab(QT.train_counts(ds, all_counts=c), QT.MAX_FEATURES)
+    vocab = TM.learn_vocab(QT.train_totals(ds), QT.MAX_FEATURES)
     cv = TM.to_count_vectorizer(vocab, "terms", "features")
     docs = ds.select("row_idx", "split", F.col("label").cast("double").alias("label"),
                      X.vector_tokens("text").alias("terms"))

@@ -18,6 +18,7 @@ from pricewire.plans import q_eval, q_splits, q_text
 from pricewire.plans import sql as S_
 from pricewire.plans.base import ORACLE, flatten, query, rounded
 from pricewire.plans.q_io import _folder
+from pricewire.session import cut_lineage
 from pricewire.sources import files as S
 from pricewire.sources import tables as T
 from pricewire.sources import writers as K
@@ -58,9 +59,10 @@ def q_day_corpus_tsv(spark, sf_dir):
 
 
 def _raw_corpus(spark, sf_dir) -> str:
+    """The raw corpus written; its rows are stored once, so the range sort of the writer does not filter the words twice."""
     path = _folder(spark, "rawcorpus")
     d = q_text.stored_corpus(spark, sf_dir)
-    K.sink_raw_corpus(TX.raw_corpus(d, q_text.vocab(spark, sf_dir, docs=d), bound=q_text.VOCAB_SIZE), path)
+    K.sink_raw_corpus(cut_lineage(TX.raw_corpus(d, q_text.vocab(spark, sf_dir, docs=d), bound=q_text.VOCAB_SIZE)), path)
     return path
 
 

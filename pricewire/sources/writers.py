@@ -30,7 +30,9 @@ def sink_vocab(vocab: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """Range-sorted by document id: in these formats the line's place, over all files by name, is the document."""
+    """Range-sorted by document id: in these formats the line's place, over all files by name, is the document.
+
+    A range sort runs the work behind its rows twice (once for the bounds): callers store costly rows first."""
     return rows.orderBy("doc_idx" if "doc_idx" in rows.columns else "row_idx")
 
 

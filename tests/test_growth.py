@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pricewire.functions import text as X
 from pricewire.operators import terms as TM
 from pricewire.operators import topics as TP
-from pricewire.plans import q_files
+from pricewire.plans import q_files, q_io, q_text
+from pricewire.sources import writers as K
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +57,50 @@ def test_a_symbol_is_one_file(spark, tmp_path, monkeypatch):
     rows = entry.queries()["prices_file"](spark, SF).collect()
     files = list((tmp_path / "prices").glob("name=*/*.csv"))
     assert len(files) == len({r.symbol for r in rows}) == len(list((tmp_path / "prices").glob("name=*")))
+
+
+def test_cleaning_looks_for_no_negated_class(spark):
+    """Removing the disallowed characters keeps the runs of allowed ones: the same text, without the slow search."""
+    texts = ["", None, "Can't we? We'll -- see.", "tab\there\r\nnext\n\n line", "\u0130stanbul \u212Aelvin \U0001F600smile\U0001F600", "12.5%", "a1b2--c \u00fc\u00f6 ",
+             "'ve'S N'T", " \n ", "\u00a0x\u2028y"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = {X.clean_text: X.CONTRACTIONS, X.clean_text_sentences: X.CONTRACTIONS + X.SENTENCE_MARKS}
+    for clean, rules in pairs.items():
+        assert "[^a-z" not in _plan(df.select(clean("text")))
+        plain = X.ascii_lower("text")
+        for pattern, to in [*rules, (X.DISALLOWED, ""), (X.WHITESPACE_RUN, " ")]:
+            plain = F.regexp_replace(plain, F.lit(pattern), F.lit(to))
+        rows = df.select(clean("text").alias("got"), plain.alias("want")).collect()
+        assert [r.got for r in rows] == [r.want for r in rows]
+    assert [r[0] for r in df.select(X.clean_text("text")).collect()][:3] == ["", None, " cannot we we will -- see"]
+
+
+@pytest.mark.parametrize("name, sink", [("corpus_coverage_file", "sink_raw_corpus"), ("collection_file", "sink_raw_corpus"), ("doc_term_file", "sink_doc_term")])
+def test_ordered_writers_get_stored_rows(spark, tmp_path, monkeypatch, name, sink):
+    """The range sort of a writer runs its input twice: it must not be the join with the vocabulary."""
+    docs = [(3, "profit Rises, rises"), (1, "profit 9 falls"), (7, "12"), (2, None), (5, "\n"), (4, "rises")]
+    spark.createDataFrame([(i, t, "en", f"s{i}", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    plans, write = [], getattr(K, sink)
+    monkeypatch.setattr(q_io.K, sink, lambda rows, path: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, path)))
+    rows = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).orderBy("doc_idx" if name != "doc_term_file" else "line_no").collect()]
+    assert len(plans) == 1 and "Join" not in plans[0] and "Generate" not in plans[0]
+    if name == "doc_term_file":  # rises 3, profit 2, falls 1
+        assert rows == [(0, "2 1:1 2:1 "), (1, "2 0:2 1:1 "), (2, "1 0:1 "), (3, "0 ")]
+    else:
+        kept = [(0, "s1"), (1, "s3"), (2, "s4"), (3, "s5")]
+        assert [r[:2] for r in rows] == (kept if name == "corpus_coverage_file" else kept[:3])
+
+
+def test_stored_corpus_holds_a_text_for_the_words(spark, tmp_path, monkeypatch):
+    docs = [(1, "profit 9 falls -- falls"), (2, "\n"), (3, " "), (4, None), (5, "cannot"), (None, "a\nb"), (1, "profit 9 falls -- falls")]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    stored, cut = [], q_text.cut_lineage
+    monkeypatch.setattr(q_text, "cut_lineage", lambda df: stored.append(df.dtypes) or cut(df))
+    got = q_text.stored_corpus(spark, str(tmp_path))
+    assert stored == [[("doc_idx", "bigint"), ("company", "string"), ("date", "date"), ("words", "string")]]
+    want = q_text.corpus(spark, str(tmp_path)).select(*got.columns)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {(r.doc_idx, *r.tokens) for r in got.collect()} == {(1, "profit", "falls", "--", "falls"), (2,), (3,), (5, "can", "not"), (None, "a", "b")}

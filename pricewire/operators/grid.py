@@ -11,12 +11,14 @@ epsilon-insensitive loss are made smooth over a width ``DELTA`` around their kin
 the last solution), which moves the mean loss by at most ``DELTA / 2``.
 
 Views are column sets of the packed features, or random Fourier features of the RBF kernel ``exp(-gamma |x - y|^2)``
-(Rahimi and Recht 2007): one random projection for all gammas, taken while packing; a gamma only scales it.
+(Rahimi and Recht 2007): one random projection for all gammas, taken where a block is read (a block moves as the features
+it comes from); a gamma only scales it.  Four times a gamma doubles the angles, so the gammas of a grid share their cosines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator, Sequence
+import math
+from collections.abc import Generator, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -28,7 +30,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1024     # a block's scores and losses for the points of a view stay in a core's cache
+BLOCK_ROWS = 1024
+CACHE_ROWS = 256      # of a block at once: their scores and losses for the points of a view stay in a core's cache
 DELTAS = (0.5, 0.05)
 MEMORY = 10
 MAX_EVALUATIONS = 60   # per point and smoothing width
@@ -36,6 +39,8 @@ TOLERANCE = 1e-4      # on the gradient; LIBSVM's own is 1e-3
 FLAT = 1e-7           # relative gain that counts as none; three in a row end a fit
 TASK_BYTES = 32 << 20  # of packed features that a task of a pass reads at least, if there are so many
 TASK_WORK = 2e8       # multiplications that a task of a pass does at least, if there are so many
+VIEW_WORK = 30        # points whose multiplications take as long as a view's features
+DOUBLINGS = 8         # of an angle before its cosine is taken anew; each doubles the rounding error
 FAN_IN = 16           # tasks that add partial gradients
 DIRECT_BYTES = 64 << 20  # of partial gradients that the driver adds up itself; beyond it Spark does
 
@@ -66,6 +71,11 @@ class Fourier:
     def make(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(2.0 / len(self.shift)) * np.cos(np.sqrt(2.0 * self.gamma) * x + np.array(self.shift))
 
+    def doublings(self, angle_of: float) -> int | None:
+        """How often the angles of a gamma double to this one's; None if they do not, or too often."""
+        times = round(math.log(self.gamma / angle_of, 4)) if self.gamma > 0 and angle_of > 0 else -1
+        return times if 0 <= times <= DOUBLINGS and angle_of * 4.0 ** times == self.gamma else None
+
 
 @dataclass(frozen=True)
 class Projection:
@@ -101,18 +111,75 @@ class Blocks:
     n: int
     fold_rows: dict[int, int]
     parts: int         # partitions of the frame
+    directions: np.ndarray | None = None  # of the projection of x
 
     def tasks(self, points: Sequence[Point]) -> int:
         """Tasks of a pass: few for few rows, more if the points make much work of them."""
-        work = self.n * sum(self.views[p.view].width for p in points)
+        work = self.n * (sum(self.views[p.view].width for p in points) + VIEW_WORK * sum(self.views[v].width for v in {p.view for p in points}))
         return max(1, min(self.parts, max(-(-8 * self.n * self.width // TASK_BYTES), int(work / TASK_WORK))))
 
     def rows_of(self, p: Point) -> int:
         return self.n - self.fold_rows.get(p.without, 0)
 
 
-def _arrays(n: int, x: bytes, y: bytes, fold: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(x).reshape(n, -1), np.frombuffer(y), np.frombuffer(fold, np.int32)
+def _read(batches: Iterator[pa.RecordBatch], directions: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """x, y and folds of packed blocks, a few rows of a block at once."""
+    for batch in batches:
+        for n, x, y, fold in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            block = np.frombuffer(x).reshape(n, -1), np.frombuffer(y), np.frombuffer(fold, np.int32)
+            for start in range(0, n, CACHE_ROWS):
+                rows, *others = (a[start:start + CACHE_ROWS] for a in block)
+                yield rows if directions is None else rows @ directions, *others
+
+
+class Features:
+    """The features of views (places in ``views``) for some rows after others, without new memory for each."""
+
+    def __init__(self, views: Sequence, at: Iterable[int]) -> None:
+        self.views = views
+        self.plain: list[int] = []
+        self.chains: list[list[int]] = []  # views whose angles are those of the first, doubled more and more often
+        for v in sorted(at, key=lambda v: getattr(views[v], "gamma", 0.0)):
+            chain = next((c for c in self.chains if self._follows(v, c[0])), None)
+            if chain:
+                chain.append(v)
+            else:
+                self.chains.append([v])
+        self.plain = [c[0] for c in self.chains if len(c) == 1]
+        self.chains = [c for c in self.chains if len(c) > 1]
+        self.turns = {v: (np.sqrt(2.0 / views[v].width) * np.cos(views[v].shift), np.sqrt(2.0 / views[v].width) * np.sin(views[v].shift))
+                      for c in self.chains for v in c}
+        self.space = np.empty((4, 0, 0))
+
+    def _follows(self, v: int, first: int) -> bool:
+        a, b = self.views[v], self.views[first]
+        return isinstance(a, Fourier) and isinstance(b, Fourier) and a.width == b.width and a.doublings(b.gamma) is not None
+
+    def of(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each view with its features of the rows ``x``; these hold until the next is asked for."""
+        for v in self.plain:
+            yield v, self.views[v].make(x)
+        if self.chains and self.space.shape[1:] != x.shape:
+            self.space = np.empty((4, *x.shape))
+        for chain in self.chains:
+            cos, sin, z, spare = self.space
+            gamma = self.views[chain[0]].gamma
+            np.multiply(x, np.sqrt(2.0 * gamma), out=spare)
+            np.cos(spare, out=cos)
+            np.sin(spare, out=sin)
+            for v in chain:
+                for _ in range(self.views[v].doublings(gamma)):
+                    np.multiply(sin, cos, out=spare)
+                    np.multiply(sin, sin, out=cos)
+                    cos *= -2.0
+                    cos += 1.0
+                    np.add(spare, spare, out=sin)
+                gamma = self.views[v].gamma
+                by_cos, by_sin = self.turns[v]
+                np.multiply(cos, by_cos, out=z)
+                np.multiply(sin, by_sin, out=spare)
+                z -= spare
+                yield v, z
 
 
 def ranges(df: DataFrame, features: Column) -> tuple[list[float], list[float]]:
@@ -135,15 +202,12 @@ def scaled(features: Column, lo: Sequence[float], hi: Sequence[float]) -> Column
 def packed(df: DataFrame, features: Column, label: str, views: Sequence | None = None, projection: Projection | None = None,
            fold: str | None = None) -> Iterator[Blocks]:
     """Blocks of ``df`` for fits and scores; ``features`` is an array column of one length, nulls are not allowed."""
-    directions = projection.directions if projection else None
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             if not len(batch):
                 continue
             x = flat.reshape(len(batch), -1)
-            x = x if directions is None else x @ directions
             y = batch.column(1).to_numpy(zero_copy_only=False)
             f = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
             at = range(0, len(x), BLOCK_ROWS)
@@ -163,13 +227,14 @@ def packed(df: DataFrame, features: Column, label: str, views: Sequence | None =
                                                       pa.array([1] + [0] * (len(which) - 1))], ["fold", "rows", "width", "blocks"])
         got = (frame.select("n", "x", "fold").mapInArrow(folds, "fold int, rows long, width long, blocks long").groupBy("fold")
                .agg(F.sum("rows").alias("rows"), F.max("width").alias("width"), F.sum("blocks").alias("blocks")).collect())
-        width = max((r.width for r in got), default=0)
+        width = projection.directions.shape[1] if projection else max((r.width for r in got), default=0)
         n = sum(r.rows for r in got)
         parts = frame.rdd.getNumPartitions()
         most = min(sum(r.blocks for r in got), frame.sparkSession.sparkContext.defaultParallelism)
         if parts < most:  # few partitions, as of a small input: its blocks can still be dealt to all cores
             even, parts = frame.repartition(most).persist(StorageLevel.MEMORY_AND_DISK), most
-        yield Blocks(even, tuple(views or [Columns(tuple(range(width)))]), width, n, {r.fold: r.rows for r in got}, max(parts, 1))
+        yield Blocks(even, tuple(views or [Columns(tuple(range(width)))]), width, n, {r.fold: r.rows for r in got}, max(parts, 1),
+                     projection.directions if projection else None)
     finally:
         even.unpersist()
         frame.unpersist()
@@ -182,20 +247,28 @@ def _smooth(a: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
     return slope * (a - slope * (delta / 2)), slope
 
 
-def _losses(loss: str, points: Sequence[Point], score: np.ndarray, y: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Losses and their slopes by the score, of points (all of one loss) by rows."""
+def _losses(loss: str, of: np.ndarray, score: np.ndarray, y: np.ndarray, delta: float, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Losses and their slopes by the score, of points (all of one loss, ``of`` a column of their classes or epsilons) by rows.
+    The memory of ``score`` and ``spare`` (two of its size) is used."""
     if loss in ("hinge", "logistic"):
-        sign = np.where(y == np.array([[p.positive] for p in points]), 1.0, -1.0)
+        sign = np.where(y == of, 1.0, -1.0)
         if loss == "logistic":
             m = sign * score
             return np.logaddexp(0.0, -m), -sign * np.exp(-np.logaddexp(0.0, m))
         value, slope = _smooth(1.0 - sign * score, delta)
         return value, -sign * slope
-    r = score - y
+    r = np.subtract(score, y, out=score)
     if loss == "squared":
         return r * r / 2, r
-    value, slope = _smooth(np.abs(r) - np.array([[p.epsilon] for p in points]), delta)
-    return value, np.copysign(slope, r)
+    slope, value = spare  # as _smooth of |r| - epsilon, with the sign of r
+    np.clip(r, -of, of, out=slope)
+    r -= slope
+    np.divide(r, delta, out=slope)
+    np.clip(slope, -1.0, 1.0, out=slope)
+    np.multiply(slope, delta / 2, out=value)
+    np.subtract(r, value, out=value)
+    value *= slope
+    return value, slope
 
 
 def evaluate(blocks: Blocks, points: Sequence[Point], at: Sequence[np.ndarray], delta: float) -> list[tuple[float, np.ndarray]]:
@@ -203,31 +276,35 @@ def evaluate(blocks: Blocks, points: Sequence[Point], at: Sequence[np.ndarray],
     by_view: dict[int, list[int]] = {}
     for i in sorted(range(len(points)), key=lambda i: points[i].loss):
         by_view.setdefault(points[i].view, []).append(i)
-    runs: dict[int, list[tuple[str, int, int]]] = {}  # places of a view's points of one loss
+    runs: dict[int, list[tuple]] = {}  # of a view's points of one loss: places, classes or epsilons, folds left out
     for v, ids in by_view.items():
         cuts = [k for k in range(len(ids)) if not k or points[ids[k]].loss != points[ids[k - 1]].loss]
-        runs[v] = [(points[ids[lo]].loss, lo, hi) for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+            mine = [points[i] for i in ids[lo:hi]]
+            of = np.array([[p.epsilon if p.positive is None else p.positive] for p in mine])
+            without = np.array([[p.without if p.without >= 0 else -9] for p in mine]) if any(p.without >= 0 for p in mine) else None
+            runs.setdefault(v, []).append((mine[0].loss, lo, hi, of, without))
     stacked = {v: np.stack([at[i] for i in ids]) for v, ids in by_view.items()}
-    views = blocks.views
+    views, directions = blocks.views, blocks.directions
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {v: np.zeros((len(w), w.shape[1] + 1)) for v, w in stacked.items()}
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y, fold = _arrays(*row)
-                for v, ids in by_view.items():
-                    z = views[v].make(x)
-                    scores = stacked[v][:, :-1] @ z.T + stacked[v][:, -1:]
-                    for loss, lo, hi in runs[v]:
-                        mine = [points[i] for i in ids[lo:hi]]
-                        value, slope = _losses(loss, mine, scores[lo:hi], y, delta)
-                        if any(p.without >= 0 for p in mine):
-                            used = fold != np.array([[p.without if p.without >= 0 else -9] for p in mine])
-                            value, slope = value * used, slope * used
-                        total[v][lo:hi, 0] += value.sum(axis=1)
-                        scores[lo:hi] = slope
-                    total[v][:, 1:-1] += scores @ z
-                    total[v][:, -1] += scores.sum(axis=1)
+        features = Features(views, by_view)
+        space = np.empty((3, max(map(len, by_view.values())), CACHE_ROWS))
+        for x, y, fold in _read(batches, directions):
+            for v, z in features.of(x):
+                mine = space[:, :len(by_view[v]), :len(x)]
+                scores = np.matmul(stacked[v][:, :-1], z.T, out=mine[0])
+                scores += stacked[v][:, -1:]
+                for loss, lo, hi, of, without in runs[v]:
+                    value, slope = _losses(loss, of, scores[lo:hi], y, delta, mine[1:, lo:hi])
+                    if without is not None:
+                        used = fold != without
+                        value, slope = value * used, slope * used
+                    total[v][lo:hi, 0] += value.sum(axis=1)
+                    scores[lo:hi] = slope
+                total[v][:, 1:-1] += scores @ z
+                total[v][:, -1] += scores.sum(axis=1)
         for v, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()), pa.array([t.tobytes()], pa.binary())], ["view", "part"])
     tasks = blocks.tasks(points)
@@ -351,22 +428,34 @@ def classifiers(blocks: Blocks, settings: Sequence[tuple[int, float, int]], clas
 def scores(blocks: Blocks, models: Sequence[Model], only_left_out: bool = False) -> list[dict[str, float]]:
     """Per model over the blocks: n, accuracy, mse, r2 (squared correlation; None if constant), in one pass.
     ``only_left_out`` keeps, for models with a fold left out, the rows of that fold."""
-    views = blocks.views
+    views, directions = blocks.views, blocks.directions
+    single: dict[int, list[int]] = {}                            # by view: models that predict one by one
+    together: dict[int, tuple[list[int], np.ndarray]] = {}       # by view: regressions over all rows, with their coefficients
+    for i, m in enumerate(models):
+        single.setdefault(m.points[0].view, []).append(i)
+    for v, ids in single.items():
+        plain = [i for i in ids if not models[i].classes and not (only_left_out and models[i].points[0].without >= 0)]
+        if plain:
+            together[v] = plain, np.stack([models[i].coefficients[0] for i in plain])
+            single[v] = sorted({*ids} - {*plain})
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(models), 8))
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y, fold = _arrays(*row)
-                made: dict[int, np.ndarray] = {}
-                for i, m in enumerate(models):
-                    v = m.points[0].view
-                    if v not in made:
-                        made = {v: views[v].make(x)}
-                    p, t = m.predict(made[v]), y
+        features = Features(views, single)
+        for x, y, fold in _read(batches, directions):
+            for v, z in features.of(x):
+                for i in single[v]:
+                    m = models[i]
+                    p, t = m.predict(z), y
                     if only_left_out and m.points[0].without >= 0:
                         p, t = p[fold == m.points[0].without], t[fold == m.points[0].without]
                     total[i] += [len(t), (p == t).sum(), np.square(p - t).sum(), p.sum(), t.sum(), (p * p).sum(), (t * t).sum(), (p * t).sum()]
+                if v in together:
+                    ids, w = together[v]
+                    p = w[:, :-1] @ z.T + w[:, -1:]
+                    one = np.ones(len(ids))
+                    total[ids] += np.stack([one * len(y), (p == y).sum(axis=1), np.square(p - y).sum(axis=1), p.sum(axis=1), one * y.sum(),
+                                            (p * p).sum(axis=1), one * (y * y).sum(), (p * y).sum(axis=1)], axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(models)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "part"])
     parts = blocks.frame.mapInArrow(part, "i int, part array<double>")
     sums = parts.groupBy("i").agg(*[F.sum(F.col("part")[k]).alias(f"s{k}") for k in range(8)]).collect()

@@ -127,3 +127,46 @@ def test_regression_grid(spark, data):
     assert [r[:3] for r in rows] == [(1.0, None, 0.0), (1.0, None, 0.5), (16.0, None, 0.0), (16.0, None, 0.5)]
     assert min(r[3] for r in rows) < 0.12 and max(r[4] for r in rows) > 0.95
     assert len(M.tune_svr(data, data, "features", 3, [4.0], [0.1, 0.5], [0.1], n_out=32, label="target")) == 2
+
+
+def test_a_block_moves_as_its_features(spark, data):
+    """The projection is taken where a block is read: it neither stores nor moves the wider random features."""
+    draw = G.Projection.draw(3, 64)
+    with G.packed(data, F.col("features"), "label", draw.views([0.1]), draw) as b:
+        rows = b.frame.collect()
+        assert sum(r.n for r in rows) == 240 and all(len(r.x) == 8 * 3 * r.n for r in rows)
+        w = RNG.normal(size=65)
+        (value, gradient), = G.evaluate(b, [G.Point(0, "squared", 1.0)], [w], 0.5)
+    z = draw.views([0.1])[0].make(X @ draw.directions)
+    r = z @ w[:-1] + w[-1] - Y
+    assert value == pytest.approx((r * r).mean() / 2) and np.allclose(gradient, [*(z.T @ r / 240), r.mean()])
+
+
+def test_gammas_share_their_cosines(monkeypatch):
+    """Doubled angles give the features that each gamma gives alone, also of rows that a fit has not seen, other views between."""
+    draw = G.Projection.draw(3, 32)
+    views = [*draw.views([1.0, 2.0 ** -10, 0.25, 0.3, 4.0, 4.0, 2.0 ** 14]), G.Columns((1, 0))]
+    direct, angles = [], np.sin
+    monkeypatch.setattr(G.np, "sin", lambda *a, **k: direct.append(1) or angles(*a, **k))
+    made = G.Features(views, range(len(views)))
+    del direct[:]
+    for x in (X @ draw.directions, (X * 30 @ draw.directions)[:7]):
+        got = {v: z.copy() for v, z in made.of(x)}
+        assert got.keys() == set(range(len(views)))
+        for v, z in got.items():
+            assert np.abs(z - views[v].make(x)).max() < (1e-11 if v < 7 else 1e-15)
+    assert len(direct) == 2  # one chain of angles for each x
+
+
+def test_tube_losses_and_scores_of_many_points(spark, data):
+    points = [G.Point(v, "epsilon", 1.0, epsilon=e) for v in (0, 1) for e in (0.0, 0.1, 8.0)]
+    at = [RNG.normal(size=n) for n in (4, 4, 4, 2, 2, 2)]
+    with G.packed(data, F.col("features"), "target", [G.Columns((0, 1, 2)), G.Columns((1,))]) as b:
+        got = G.evaluate(b, points, at, 0.5)
+        found = G.scores(b, [G.Model((p,), (w,)) for p, w in zip(points, at)][::-1])[::-1]
+    for p, w, (f, g), s in zip(points, at, got, found):
+        x = X if p.view == 0 else X[:, 1:2]
+        r = x @ w[:-1] + w[-1] - T
+        value, slope = G._smooth(np.abs(r) - p.epsilon, 0.5)
+        assert f == pytest.approx(value.mean()) and np.allclose(g, np.append(x.T @ (slope * np.sign(r)), (slope * np.sign(r)).sum()) / 240)
+        assert s["n"] == 240 and s["mse"] == pytest.approx(np.square(r).mean()) and s["r2"] == pytest.approx(np.corrcoef(r + T, T)[0, 1] ** 2)

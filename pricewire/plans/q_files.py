@@ -91,10 +91,7 @@ def q_prices_file(spark, sf_dir):
     rows = p.select(F.concat(F.lit("stock_"), F.col("symbol"), F.lit(".csv")).alias("name"), F.col("date").cast("string").alias("Date"),
                     F.col("open").alias("Open"), F.greatest("open", "close").alias("High"), F.least("open", "close").alias("Low"),
                     F.col("close").alias("Close"))
-    # one task writes a symbol, so there is one file each; the tasks move their own files to their places
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    rows.repartition(tasks, "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2") \
-        .partitionBy("name").csv(path, header=True)
+    K.sink_named_csv(rows, "name", path)
     return rounded(S.src_prices(spark, path))
 
 

@@ -12,6 +12,9 @@ first id).  The per-block table has one row per file block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,18 @@ def with_line_numbers(df: DataFrame, out: str = "line_no", whole: bool = False,
     return j.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_blk", "_mid", "_off", "_first")
 
 
+@contextmanager
+def listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Readers made inside list many folders in a few tasks a core; Spark's setting is a task for each, up to 10000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def file_name(c: Column | None = None) -> Column:
     """Name of the file; one that Spark wrote as a folder of part files, also as a partition folder ``column=name``,
     has the folder's name."""
@@ -124,13 +139,17 @@ def _collection_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def src_prices(spark: SparkSession, path: str) -> DataFrame:
     """S6 + U1: one CSV per symbol (header), symbol = file name after the last
-    ``_`` without ``.csv``; one directory scan for all symbols."""
+    ``_`` without ``.csv``; one directory scan for all symbols, in a few tasks a
+    core (Spark's packing counts 4 MB for a file, which makes a task of 32)."""
     schema = T.StructType([T.StructField(c, T.StringType() if c == "Date" else T.DoubleType()) for c in PRICE_COLUMNS])
-    df = spark.read.csv(path, header=True, schema=schema)
+    with listed_by_cores(spark):  # the symbol comes from the name, so folders need not be read as partition values
+        # the parser makes its buffer anew for each file; a longer line fills it more than once
+        df = spark.read.option("inputBufferSize", 1 << 14).csv(path, header=True, schema=schema, recursiveFileLookup=True)
     sym = F.regexp_extract(file_name(), r"([^_]*)\.csv$", 1)
     return df.select(sym.alias("symbol"), F.to_date("Date").alias("date"),
                      P.nan_to_null("Open").alias("open"), P.nan_to_null("High").alias("high"),
-                     P.nan_to_null("Low").alias("low"), P.nan_to_null("Close").alias("close"))
+                     P.nan_to_null("Low").alias("low"), P.nan_to_null("Close").alias("close")) \
+        .coalesce(4 * spark.sparkContext.defaultParallelism)
 
 
 def src_symbol_map(spark: SparkSession, path: str) -> DataFrame:

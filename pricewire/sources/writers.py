@@ -8,7 +8,12 @@ replaces it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewire.plans.base import flatten
@@ -19,6 +24,65 @@ def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "ignore"
 
 
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder that ``path`` is for plain file calls; None in a store that only Hadoop's file systems reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"   # the partition folder of null and empty values, as Spark names it
+ESCAPED = {ord(c): f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\{[]^\x7f"]}
+
+
+def sink_named_csv(rows: DataFrame, name: str, path: str) -> None:
+    """A CSV with a header for each value of the column ``name``, in a new folder: ``name=<value>/part-...csv``.
+
+    One task writes a value, so there is one file each.  Hadoop's local file system starts four processes for the permissions
+    of every file it makes; where the folder is mounted, the tasks make the same files themselves."""
+    spark = rows.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    top = _mounted(spark, path)
+    rows = rows.withColumn(name, F.when(F.col(name) != "", F.col(name)))
+    if top is None:  # the tasks move their own files to their places
+        rows.repartition(tasks, name).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2") \
+            .partitionBy(name).csv(path, header=True)
+        return
+    columns = [c for c in rows.columns if c != name]
+    header = (",".join(columns) + "\n").encode()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = folder = out = None
+        files = 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                os.replace(out.name, f"{folder}/part-00000.csv")  # at once, and the same from another attempt of the task
+        try:
+            for batch in batches:
+                values, lines = (batch.column(i).to_pylist() for i in range(2))
+                cuts = [i for i in range(len(values)) if not i or values[i] != values[i - 1]]
+                for lo, hi in zip(cuts, [*cuts[1:], len(values)], strict=True):
+                    if out is None or values[lo] != value:
+                        close()
+                        value = values[lo]
+                        folder = f"{top}/{name}={value if value == NO_VALUE else value.translate(ESCAPED)}"
+                        os.makedirs(folder, exist_ok=True)
+                        out = open(f"{folder}/.part-{uuid.uuid4().hex}", "wb")
+                        out.write(header)
+                        files += 1
+                    out.write(("\n".join(lines[lo:hi]) + "\n").encode())
+            close()
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+    os.makedirs(top)
+    lines = rows.select(F.coalesce(name, F.lit(NO_VALUE)).alias(name), F.to_csv(F.struct(*columns)).alias("line"))
+    lines.repartition(tasks, name).sortWithinPartitions(name).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def sink_day_corpus(articles: DataFrame, path: str, overwrite: bool = False) -> None:
     """K1: the day corpus as ordered rows ``(date, ord, _id, text)`` per company folder."""
     articles.write.mode(_mode(overwrite)).partitionBy("company").parquet(path)

@@ -10,6 +10,7 @@ from pricewire.functions import text as X
 from pricewire.operators import terms as TM
 from pricewire.operators import topics as TP
 from pricewire.plans import q_files, q_io, q_text
+from pricewire.sources import files
 from pricewire.sources import writers as K
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +60,55 @@ def test_a_symbol_is_one_file(spark, tmp_path, monkeypatch):
     assert len(files) == len({r.symbol for r in rows}) == len(list((tmp_path / "prices").glob("name=*")))
 
 
+def test_named_csv_files_are_spark_s(spark, tmp_path, monkeypatch):
+    """The files that tasks make themselves hold what Spark's writer puts there; rows of a name in several batches are one file."""
+    rows = [("stock_a.csv", "2024-01-01", 1.5, None), ("stock_a.csv", None, None, None), ("a=b/c%1:é", 'say "x", y', -0.0, 1e300), (None, "n", 2.0, 3.0),
+            ("", "e", float("nan"), float("inf")), ("stock_a.csv", "", 1.0, 0.1), ("tail\\", "back\\slash", 123456789.125, 1e-7)] + [("many", str(i), float(i), None) for i in range(50)]
+    df = spark.createDataFrame(rows, "name string, Date string, Open double, Close double")
+    df.repartition(3, "name").write.partitionBy("name").csv(f"{tmp_path}/spark", header=True)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        K.sink_named_csv(df, "name", f"file://{tmp_path}/own")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(K, "_mounted", lambda spark, path: None)
+    K.sink_named_csv(df, "name", f"{tmp_path}/store")
+
+    def held(top):
+        files = [f for f in (tmp_path / top).rglob("*") if f.is_file() and f.name[0] not in "._"]
+        assert len(files) == len({f.parent for f in files})
+        return {f.parent.name: (f.read_text().split("\n")[0], sorted(f.read_text().split("\n"))) for f in files}
+    assert held("own") == held("spark") == held("store") and len(held("own")) == 5
+    assert not [f for f in (tmp_path / "own").rglob(".*")]
+    with pytest.raises(Exception):  # the folder must be new
+        monkeypatch.undo()
+        K.sink_named_csv(df, "name", f"{tmp_path}/own")
+
+
+def test_prices_are_listed_and_read_in_few_tasks(spark, tmp_path):
+    """Many folders of one file each: neither a listing task nor a scan task for a few of them."""
+    n, tracker = 300, spark.sparkContext.statusTracker()
+    for i in range(n):
+        (tmp_path / f"name=stock_s{i}.csv").mkdir()
+        (tmp_path / f"name=stock_s{i}.csv" / "part-0.csv").write_text(f"Date,Open,High,Low,Close\n2024-01-01,{i}.5,nan,,1\n" if i % 2 else "Date,Open,High,Low,Close\n")
+    most, key = 4 * spark.sparkContext.defaultParallelism, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    spark.sparkContext.setJobGroup("prices", "prices")
+    try:
+        df = files.src_prices(spark, str(tmp_path))
+        got = {r.symbol: tuple(r)[2:] for r in df.collect()}
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("prices")]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert spark.conf.get(key) == before
+    assert jobs and all(0 < tracker.getStageInfo(k).numTasks <= most for j in jobs for k in j.stageIds)
+    assert got == {f"s{i}": (i + 0.5, None, None, 1.0) for i in range(1, n, 2)}
+
+
 def test_cleaning_looks_for_no_negated_class(spark):
     """Removing the disallowed characters keeps the runs of allowed ones: the same text, without the slow search."""
     texts = ["", None, "Can't we? We'll -- see.", "tab\there\r\nnext\n\n line", "\u0130stanbul \u212Aelvin \U0001F600smile\U0001F600", "12.5%", "a1b2--c \u00fc\u00f6 ",
